@@ -8,11 +8,11 @@ Self-join by prefix, on two levels.
 * Phrases: values are written after patterns, so the end of a cut value is a strict prefix of longer phrases elsewhere. The
   last phrase of a value (the whole title, the last sentence of a description) is turned into words, with numbers and rare
   words as blanks. All phrases of the table give, for each run of words, what follows it and how often; the prefixes are
-  hashed, whole phrases as well as the last 4 and the last 2 words. A value is cut if the text of others goes on where it
+  hashed: whole phrases, their outlines (all but the commonest words as blanks), the last 4 words and the last 2. A value is cut if the text of others goes on where it
   ends, or if its last word is a strict prefix of the word that stands there elsewhere.
 
-Marks of a loss (an ellipsis, a broken character or escape) are taken off first, so they decide nothing where a phrase stands
-before them; a mark right after a full stop counts as a loss, for nothing else explains it.
+Marks of a loss are taken off first. A broken character, escape or tag at the end counts as a loss; an ellipsis does unless
+phrases of the same wording often close with it, as in "to be continued...".
 
 Nulls, blank and complete values are no case, nor are rows without an id. Repeated deliveries count once. Counts cover the
 whole table; the list of frequent words has at most ``WORDS`` entries, since each has more than 1/WORDS of all words.
@@ -31,14 +31,16 @@ from tideline.llm.common import latest, plain
 from tideline.session import cut_lineage
 
 FIELDS = ("title", "description")
-WORDS = 20_000
+WORDS = 10_000
+COMMON = 60
 SLOTS = 3
 #: Fixed prefix lengths, in characters, by which copies are looked up.
 LENGTHS = (16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 1024, 2048, 4096)
 #: Least number of other phrases from which a decision is made, and the share of them that may end here.
 SUPPORT, ENDS = 4, 0.35
 
-_MARK = re.compile(r"(?:…|\.\.\.|�+|\\u?[0-9a-fA-F]{0,4}|&[a-zA-Z]{0,5}|\[\s*(?:…|\.\.\.)\s*\]?|[​﻿])\s*$")
+_SOFT = re.compile(r"\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\]?)\s*$")
+_HARD = re.compile(r"\s*(?:\ufffd+|\\u?[0-9a-fA-F]{0,4}|&[a-zA-Z]{1,5}|&#\d{0,5}|</?[a-zA-Z]{0,6})\s*$")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|\d+(?:[.,:]\d+)*|[^\W\d_]+|[^\w\s]|_")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。!?])")
 
@@ -47,14 +49,13 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
-def unmarked(text: str) -> tuple[str, bool]:
-    """The text without marks of a loss at its end; whether there was one."""
-    marked = False
-    while m := _MARK.search(text):
-        if not m.group().strip():
-            break
-        text, marked = text[: m.start()], True
-    return text, marked
+def unmarked(text: str) -> tuple[str, int]:
+    """The text without marks of a loss at its end; 2 if there was a broken character, escape or tag, 1 if an ellipsis, 0 if none."""
+    if m := _HARD.search(text):
+        return text[: m.start()], 2
+    if m := _SOFT.search(text):
+        return text[: m.start()], 1
+    return text, 0
 
 
 def phrases(text: str) -> list[str]:
@@ -62,7 +63,7 @@ def phrases(text: str) -> list[str]:
 
 
 def _units(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """id, field -> a row per phrase: its tokens; last: whether it is the value's last; mark: whether a mark was taken off."""
+    """id, field -> a row per phrase: its tokens; last: whether it is the value's last; mark: as from unmarked."""
     for pdf in rows:
         out = []
         for i, field, value in zip(pdf["id"], pdf["field"], pdf["value"]):
@@ -85,20 +86,23 @@ def form(tok: str, known: frozenset[str]) -> str:
     return "W" if tok[0].isupper() else "w"
 
 
-def _contexts(forms: list[str], j: int) -> list[str]:
-    """Keys of what stands before place j: the whole phrase so far, the last four words, the last two."""
-    return ["^" + " ".join(forms[:j]), "4" + " ".join(forms[max(0, j - 4) : j]), "2" + " ".join(forms[max(0, j - 2) : j])]
+def _contexts(toks: list[str], forms: list[str], j: int, common: frozenset[str]) -> list[str]:
+    """Keys of what stands before place j: the whole phrase so far, its outline (all but the commonest words as blanks), the
+    last four words, the last two."""
+    outline = [f if f in common or not f[0].isalpha() else ("W" if t[0].isupper() else "w") for t, f in zip(toks[:j], forms)]
+    return ["^" + " ".join(forms[:j]), "~" + " ".join(outline), "4" + " ".join(forms[max(0, j - 4) : j]), "2" + " ".join(forms[max(0, j - 2) : j])]
 
 
-def _continuations(known: dict[str, frozenset[str]]):
+def _continuations(known: dict[str, frozenset[str]], common: dict[str, frozenset[str]]):
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             count: dict[tuple[str, str, str], int] = {}
             for field, toks in zip(pdf["field"], pdf["toks"]):
+                toks = list(toks)
                 f = [form(t, known[field]) for t in toks]
                 for j in range(1, len(f) + 1):
                     nxt = f[j] if j < len(f) else "$"
-                    for c in _contexts(f, j):
+                    for c in _contexts(toks, f, j, common[field]):
                         k = (field, c, nxt)
                         count[k] = count.get(k, 0) + 1
             yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["field", "ctx", "nxt", "n"])
@@ -106,7 +110,7 @@ def _continuations(known: dict[str, frozenset[str]]):
     return run
 
 
-def _questions(known: dict[str, frozenset[str]]):
+def _questions(known: dict[str, frozenset[str]], common: dict[str, frozenset[str]]):
     """For each value two questions: what follows the whole phrase (part 'end'), what stands at its last word (part 'word')."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,13 +122,12 @@ def _questions(known: dict[str, frozenset[str]]):
                 if not f:
                     continue
                 raw = toks[-1].lower()
-                closed = bool(value) and not value[-1].isspace() and not mark
-                for rank, c in enumerate(_contexts(f, len(f))):
-                    out.append((i, field, "end", rank, c, f[-1], raw, closed))
-                if toks[-1][0].isalpha() and raw not in known[field] and len(f) > 1 and not (value and value[-1].isspace()):
-                    for rank, c in enumerate(_contexts(f, len(f) - 1)):
-                        out.append((i, field, "word", rank, c, f[-1], raw, closed))
-            yield pd.DataFrame(out, columns=["id", "field", "part", "rank", "ctx", "own", "raw", "closed"])
+                for rank, c in enumerate(_contexts(toks, f, len(f), common[field])):
+                    out.append((i, field, "end", rank, c, f[-1], raw))
+                if toks[-1][0].isalpha() and len(f) > 1 and (mark or not value[-1].isspace()):
+                    for rank, c in enumerate(_contexts(toks, f, len(f) - 1, common[field])):
+                        out.append((i, field, "word", rank, c, f[-1], raw))
+            yield pd.DataFrame(out, columns=["id", "field", "part", "rank", "ctx", "own", "raw"])
 
     return run
 
@@ -136,14 +139,16 @@ def _values(clips: DataFrame) -> DataFrame:
     return df.filter(F.length(F.trim("value")) > 0)
 
 
-def _known(units: DataFrame) -> dict[str, frozenset[str]]:
+def _known(units: DataFrame) -> tuple[dict[str, frozenset[str]], dict[str, frozenset[str]]]:
+    """Per field the frequent words (fewer than WORDS) and the commonest (fewer than COMMON)."""
     words = units.select("field", F.explode("toks").alias("t")).filter(F.col("t").rlike(r"^\p{L}")).groupBy("field", F.lower("t").alias("t")).count()
     totals = {r.field: r.n for r in words.groupBy("field").agg(F.sum("count").alias("n")).collect()}
-    out: dict[str, frozenset[str]] = {f: frozenset() for f in FIELDS}
+    known, common = {f: frozenset() for f in FIELDS}, {f: frozenset() for f in FIELDS}
     for field, n in totals.items():
-        rows = words.filter((F.col("field") == field) & (F.col("count") > max(3, n // WORDS))).select("t").collect()
-        out[field] = frozenset(r.t for r in rows)
-    return out
+        rows = words.filter((F.col("field") == field) & (F.col("count") > max(3, n // WORDS))).select("t", "count").collect()
+        known[field] = frozenset(r.t for r in rows)
+        common[field] = frozenset(r.t for r in rows if r["count"] > n // COMMON)
+    return known, common
 
 
 def truncated_copies(values: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -163,15 +168,14 @@ def truncated_copies(values: DataFrame, slots: int = SLOTS) -> DataFrame:
 def truncated(clips: DataFrame) -> DataFrame:
     """id, field, provenance, value, evidence: one row per cut value."""
     values = cut_lineage(_values(clips))
-    units = cut_lineage(values.select("id", "field", "value").mapInPandas(_units, "id string, field string, toks array<string>, last boolean, mark boolean, value string"))
-    known = _known(units)
-    follow = units.select("field", "toks").mapInPandas(_continuations(known), "field string, ctx string, nxt string, n bigint")
+    units = cut_lineage(values.select("id", "field", "value").mapInPandas(_units, "id string, field string, toks array<string>, last boolean, mark int, value string"))
+    known, common = _known(units)
+    follow = units.select("field", "toks").mapInPandas(_continuations(known, common), "field string, ctx string, nxt string, n bigint")
     follow = follow.groupBy(F.xxhash64("field", "ctx").alias("key"), "nxt").agg(F.sum("n").alias("n"))
     # A sentence that closes with its full stop ends where others may go on: only phrases without one are asked about.
     tails = units.filter("last").withColumn("_t", F.element_at("toks", -1))
     stop = F.coalesce(F.col("_t").isin(".", "。", "!", "?", "!", "?"), F.lit(False)) & (F.col("field") != "title")
-    bare = tails.filter((F.size("toks") == 0) | stop)
-    asked = tails.filter((F.size("toks") > 0) & ~stop).drop("_t", "last").mapInPandas(_questions(known), "id string, field string, part string, rank int, ctx string, own string, raw string, closed boolean")
+    asked = tails.filter((F.size("toks") > 0) & ~stop).drop("_t", "last").mapInPandas(_questions(known, common), "id string, field string, part string, rank int, ctx string, own string, raw string")
     asked = cut_lineage(asked.withColumn("key", F.xxhash64("field", "ctx")))
     keys = asked.select("key").distinct()
     seen = follow.join(keys, "key", "left_semi")
@@ -181,10 +185,16 @@ def truncated(clips: DataFrame) -> DataFrame:
     longer = F.aggregate(F.map_entries("nexts"), F.lit(0).cast("bigint"), lambda a, e: a + F.when(e["key"].startswith(F.col("raw")) & (e["key"] != F.col("raw")) & (F.length(e["key"]) > 1), e["value"]).otherwise(0))
     same = F.coalesce(F.element_at("nexts", F.col("own")), F.lit(0))
     ans = ans.withColumn("longer", F.coalesce(longer, F.lit(0))).withColumn("same", same)
-    use = ans.filter(F.col("all") > SUPPORT).withColumn("_r", F.row_number().over(Window.partitionBy("id", "field", "part").orderBy("rank"))).filter("_r = 1")
-    verdict = use.withColumn("cut", F.when(F.col("part") == "end", F.col("ends") <= ENDS * F.col("all")).otherwise((F.col("longer") >= SUPPORT - 1) & (F.col("longer") > 2 * F.col("same"))))
-    phrase = verdict.groupBy("id", "field").agg(F.max("cut").alias("cut")).filter("cut").select("id", "field", F.lit("phrase").alias("evidence"))
-    mark = bare.filter("mark").select("id", "field", F.lit("mark").alias("evidence"))
+    ends = ans.filter((F.col("part") == "end") & (F.col("all") > SUPPORT)).withColumn("_r", F.row_number().over(Window.partitionBy("id", "field").orderBy("rank"))).filter("_r = 1")
+    ends = ends.select("id", "field", "part", (F.col("ends") <= ENDS * F.col("all")).alias("cut"))
+    # The value counts itself once among those that have its last word there.
+    word = ans.filter("part = 'word'").select("id", "field", "part", ((F.col("longer") >= 2) & (F.col("same") <= 1 + F.col("longer") / 2)).alias("cut"))
+    verdict = ends.unionByName(word)
+    verdict = verdict.groupBy("id", "field").agg(F.max("cut").alias("cut"), F.max(F.when(F.col("part") == "end", ~F.col("cut"))).alias("closes"))
+    phrase = verdict.filter("cut").select("id", "field", F.lit("phrase").alias("evidence"))
+    # Broken characters, escapes and tags are a loss whatever stands before; an ellipsis is, unless phrases of this wording close so.
+    marks = tails.filter("mark > 0").select("id", "field", "mark", "toks").join(verdict.select("id", "field", "closes"), ["id", "field"], "left")
+    mark = marks.filter((F.col("mark") == 2) | ~F.coalesce("closes", F.lit(False))).select("id", "field", F.lit("mark").alias("evidence"))
     copies = truncated_copies(values).select("id", "field", F.lit("copy").alias("evidence"))
     found = phrase.unionByName(mark).unionByName(copies).groupBy("id", "field").agg(F.array_join(F.array_sort(F.collect_set("evidence")), "+").alias("evidence"))
     return values.join(found, ["id", "field"]).select("id", "field", "provenance", "value", "evidence")
