@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import grouped_split, leakage, mixing, overlap, sampling, truncation
+from tideline.llm import grouped_split, leakage, mixing, overlap, pii, sampling, truncation
 from tideline.llm.common import registry
 from tideline.llm.sql import SQL
 from tideline.session import table
@@ -93,6 +93,22 @@ def p6_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+@_q("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.mentions(table(spark, d, "documents")).select("doc_id", "kind", "start_pos").distinct()
+
+
+@_q("p7_redacted")
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"))
+
+
+@_q("p7_report")
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    m = pii.mentions(table(spark, d, "documents"))
+    return m.groupBy("kind").agg(F.count("*").alias("n_mentions"), F.count_distinct("doc_id").alias("n_documents"))
+
+
 def queries() -> dict:
     return dict(registry.queries)
 
