@@ -29,10 +29,10 @@ def running_by_value(df: DataFrame, keys: list[str], value: str, width: float, s
 
 def auroc(df: DataFrame, keys: list[str], score: str, positive: Column, width: float) -> DataFrame:
     """Share of (positive, negative) pairs in which the positive scores higher, ties half; null if a class is empty."""
-    c = df.groupBy(*keys, score).agg(F.sum(positive.cast("bigint")).alias("p"), F.sum((~positive).cast("bigint")).alias("n"))
-    c = running_by_value(c, keys, score, width, {"below": F.col("n")})
-    g = c.groupBy(*keys).agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"))
-    return g.select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("u") / (F.col("P") * F.col("N"))).alias("auroc"))
+    c = df.groupBy(*keys, score).agg(F.sum(positive.cast("bigint")).alias("_pos"), F.sum((~positive).cast("bigint")).alias("_neg"))
+    c = running_by_value(c, keys, score, width, {"_below": F.col("_neg")})
+    g = c.groupBy(*keys).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"), F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)).alias("_u"))
+    return g.select(*keys, F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_u") / (F.col("_P") * F.col("_N"))).alias("auroc"))
 
 
 def average_precision(df: DataFrame, keys: list[str], score: str, positive: Column, tie: list[str], width: float) -> DataFrame:

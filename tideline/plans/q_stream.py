@@ -342,3 +342,20 @@ def duplicates_and_late(s: SparkSession, d: str) -> DataFrame:
     late = (F.unix_micros("arrived_at") - F.unix_micros("ts") > 5_000_000).cast("bigint")
     t = f.groupBy("stream_id", "tick").agg(F.count("*").alias("n"), F.sum(F.coalesce(late, F.lit(0))).alias("l"))
     return t.groupBy("stream_id").agg(F.count(F.when(F.col("n") > 1, 1)).alias("n_repeated"), F.sum("l").alias("n_late"))
+
+
+@core.query("stream_structured_cusum", with_(FRAMES) + " SELECT stream_id, count(*) AS n FROM fr WHERE score IS NOT NULL GROUP BY stream_id")
+def structured_cusum(s: SparkSession, d: str) -> DataFrame:
+    """The detector as a streaming query over the table, with its state in the state store; rows folded per stream."""
+    import uuid
+
+    from tideline.streaming.processors import run_available, stateful
+    from tideline.session import shared_dir
+
+    f = frames(s, d, "score").filter("score is not null")
+    base = f"{shared_dir(s)}/tideline/stream-{uuid.uuid4().hex}"
+    f.write.parquet(f"{base}/in")
+    stream = s.readStream.schema(f.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
+    out = stateful(stream, steps.Cusum(), "stream_id", "tick", ["score"], "stat_before_reset double, stat double, alarm boolean")
+    run_available(out, f"{base}/out", f"{base}/checkpoint")
+    return s.read.parquet(f"{base}/out").filter("not late").groupBy("stream_id").agg(F.count("*").alias("n"))
