@@ -62,10 +62,14 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return d.mapInArrow(_counter(tokenizer), "doc_id bigint, source string, tokens bigint")
 
 
+def _named(targets: DataFrame) -> DataFrame:
+    return targets.select("mix_id", "source", "target_share", "max_repeats", "total_tokens").filter("mix_id is not null and source is not null").dropDuplicates()
+
+
 def plan(counts: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per mix and source: tokens wanted, tokens at hand, blocks, rounds needed, short (even with max_repeats rounds)."""
     have = counts.filter("tokens > 0").groupBy(F.col("source").alias("_src")).agg(F.sum("tokens").alias("have"), F.count("*").alias("n_docs"))
-    t = targets.dropDuplicates().withColumn("_src", plain(F.col("source"))).join(have, "_src", "left")
+    t = _named(targets).withColumn("_src", plain(F.col("source"))).join(have, "_src", "left")
     t = t.withColumn("have", F.coalesce("have", F.lit(0))).withColumn("want", F.coalesce(F.col("target_share") * F.col("total_tokens"), F.lit(0.0)))
     reps = F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))
     t = t.withColumn("reps", reps).withColumn("blocks", F.ceil(F.col("have") / block).cast("bigint"))
@@ -74,7 +78,7 @@ def plan(counts: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame
 
 def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     """mix_id, slot, source, k: the source of every slot and the slot's rank among those of its source."""
-    t = targets.dropDuplicates().select("mix_id", plain(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("w"), "total_tokens")
+    t = _named(targets).select("mix_id", plain(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("w"), "total_tokens")
     mixes = t.groupBy("mix_id").agg(F.sort_array(F.collect_list(F.struct("source", "w"))).alias("ws"), F.max("total_tokens").alias("total"), F.sum("w").alias("sw"))
     mixes = mixes.filter("sw > 0").withColumn("slots", F.ceil(F.col("total") * F.col("sw") / block).cast("bigint"))
     # Cumulative weights, as an array per mix: a mix names its sources one by one, so this is small.
