@@ -344,7 +344,7 @@ def duplicates_and_late(s: SparkSession, d: str) -> DataFrame:
     return t.groupBy("stream_id").agg(F.count(F.when(F.col("n") > 1, 1)).alias("n_repeated"), F.sum("l").alias("n_late"))
 
 
-@core.query("stream_structured_cusum", with_(FRAMES) + " SELECT stream_id, count(*) AS n FROM fr WHERE score IS NOT NULL GROUP BY stream_id")
+@core.query("stream_structured_cusum", _RESET + " SELECT stream_id, count(*) AS n, count(*) FILTER (alarm) AS n_alarms FROM a GROUP BY stream_id")
 def structured_cusum(s: SparkSession, d: str) -> DataFrame:
     """The detector as a streaming query over the table, with its state in the state store; rows folded per stream."""
     import uuid
@@ -358,4 +358,4 @@ def structured_cusum(s: SparkSession, d: str) -> DataFrame:
     stream = s.readStream.schema(f.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
     out = stateful(stream, steps.Cusum(), "stream_id", "tick", ["score"], "stat_before_reset double, stat double, alarm boolean")
     run_available(out, f"{base}/out", f"{base}/checkpoint")
-    return s.read.parquet(f"{base}/out").filter("not late").groupBy("stream_id").agg(F.count("*").alias("n"))
+    return s.read.parquet(f"{base}/out").filter("not late").groupBy("stream_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("alarm"), 1)).alias("n_alarms"))
