@@ -63,7 +63,7 @@ def reflected_sum(df: DataFrame, keys: Sequence[str], order: str, x: str, chunk:
     return d.withColumn("stat", F.col("_base") + F.col("_p") - low).drop("_c", "_p", "_m", "_base", "_low")
 
 
-def sliding(df: DataFrame, keys: Sequence[str], t: str, width: float, aggs: dict[str, Callable[[Window], Column]]) -> DataFrame:
+def sliding(df: DataFrame, keys: Sequence[str], t: str, width: int, aggs: dict[str, Callable[[Window], Column]]) -> DataFrame:
     """Aggregates over [t - width, t] of each row: every row also stands in the next chunk of ``width``, so a window never
     leaves its chunk and a long key becomes many groups. Rows of the same time are all in."""
     b = F.floor(F.col(t) / width).cast("bigint")
