@@ -19,16 +19,16 @@ def _state(e: DataFrame) -> tuple[int, int]:
     return int(r.n), int(r.h)
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return join_unique(both.filter("v > u"), least, "u", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    return join_unique(both.filter("v > u"), least, "u", "inner", total=n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = join_unique(down, least, "u", "inner").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = join_unique(down, least, "u", "inner", total=n).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
@@ -43,7 +43,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if before[0] == 0:
             break
-        e = cut_lineage(_small_star(_large_star(e)))
+        e = cut_lineage(_small_star(_large_star(e, before[0]), before[0]))
         now = _state(e)
         if now == before:
             break
