@@ -55,6 +55,6 @@ def run_cascade(frames: DataFrame, cascade: Cascade = Cascade(), rho: float = 0.
     if not 0 < rho <= 1:
         raise ValueError("rho must be within (0, 1]")
     key = (F.col("stream_id"), F.col("tick"))
-    f = frames.withColumn("forced", u01("rho", *key) < rho).withColumn("audited", u01("audit", *key) < epsilon).withColumn("action_in", protocol.step(F.col("action_raw"))["action"])
-    f = f.withColumn("action_in", F.when(F.col("action_raw").isNotNull(), F.col("action_in")))
+    f = frames.withColumn("forced", u01("rho", *key) < rho).withColumn("audited", u01("audit", *key) < epsilon)
+    f = protocol.with_step(f).withColumn("action_in", F.when(F.col("action_raw").isNotNull(), F.col("s.action")))
     return fold(f, ["stream_id"], ["tick", "t_s"], cascade, ["t_s", "score", "ood", "action_in", "err", "forced", "audited"], "stat_before_reset double, alarm boolean, route string, action string, is_open boolean, event_idx bigint, alpha double")

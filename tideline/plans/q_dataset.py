@@ -12,7 +12,7 @@ from tideline.plans.q_join import _PAIRS, step_pairs, stepped
 from tideline.plans.registry import core
 from tideline.plans.sqlparts import CLIPS, EMB, FRAMES, STEPS, with_
 from tideline.rng import u01, u01_sql
-from tideline.session import table
+from tideline.session import cut_lineage, table
 from tideline.sources.tables import clips, frames
 
 R6 = lambda c: F.round(c, 6)
@@ -56,8 +56,9 @@ _WIN = CLIPS + f""", wc AS (SELECT id, media.duration_s AS dur, label.events AS
  we AS (SELECT id, dur, unnest(ev) AS e FROM wc),
  wf AS (SELECT id, 'pos_full' AS kind, greatest(0.0, least(dur, e.t_end_s + 0.5) - 8) AS a, least(dur, e.t_end_s + 0.5) AS b FROM we UNION ALL SELECT id, 'pos_partial', greatest(0.0, e.t_start_s + (e.t_end_s - e.t_start_s) * 0.4 - 8), e.t_start_s + (e.t_end_s - e.t_start_s) * 0.4 FROM we),
  gn AS (SELECT id, ev, unnest(range(1, CAST(floor(dur / 8) AS BIGINT) + 1)) AS k FROM wc WHERE dur >= 8),
- gf AS (SELECT id, ev, k, row_number() OVER (PARTITION BY id ORDER BY {u01_sql('neg', 'id', 'k')}, k) AS r FROM gn WHERE len(list_filter(ev, lambda e: e.t_start_s - 8 < k * 8.0 AND k * 8.0 < e.t_end_s + 8)) = 0),
- ws AS (SELECT id, kind, a, b FROM wf WHERE b > a UNION ALL SELECT id, CASE WHEN len(ev) = 0 THEN 'neg_cross' ELSE 'neg_same' END, k * 8.0 - 8, k * 8.0 FROM gf WHERE r <= 4)"""
+ g0 AS (SELECT id, ev, k, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM gn WHERE len(list_filter(ev, lambda e: e.t_start_s - 8 < k * 8.0 AND k * 8.0 < e.t_end_s + 8)) = 0),
+ gf AS (SELECT id, ev, k FROM g0 WHERE n <= 4 OR i IN (CAST(floor((0 + {u01_sql('neg', 'id', '0')}) * n / 4) AS BIGINT), CAST(floor((1 + {u01_sql('neg', 'id', '1')}) * n / 4) AS BIGINT), CAST(floor((2 + {u01_sql('neg', 'id', '2')}) * n / 4) AS BIGINT), CAST(floor((3 + {u01_sql('neg', 'id', '3')}) * n / 4) AS BIGINT))),
+ ws AS (SELECT id, kind, a, b FROM wf WHERE b > a UNION ALL SELECT id, CASE WHEN len(ev) = 0 THEN 'neg_cross' ELSE 'neg_same' END, k * 8.0 - 8, k * 8.0 FROM gf)"""
 
 
 def windows(s: SparkSession, d: str) -> DataFrame:
@@ -67,10 +68,12 @@ def windows(s: SparkSession, d: str) -> DataFrame:
     end, cut = F.least("dur", F.col("e.t_end_s") + 0.5), F.col("e.t_start_s") + (F.col("e.t_end_s") - F.col("e.t_start_s")) * 0.4
     pair = lambda kind, b: F.struct(F.lit(kind).alias("kind"), F.greatest(F.lit(0.0), b - 8).alias("a"), b.alias("b"))
     pos = e.select("id", F.explode(F.array(pair("pos_full", end), pair("pos_partial", cut))).alias("w")).select("id", "w.*").filter("b > a")
-    # The grid stays in the clip's row: free places are filtered and the four with the smallest hash kept before anything is exploded.
-    k = F.filter(F.sequence(F.lit(1).cast("bigint"), F.floor(F.col("dur") / 8).cast("bigint")), lambda k: ~F.exists("ev", lambda x: (x["t_start_s"] - 8 < k * 8.0) & (k * 8.0 < x["t_end_s"] + 8)))
-    neg = c.filter("dur >= 8").select("id", "ev", F.explode(F.slice(F.array_sort(F.transform(k, lambda k: F.struct(u01("neg", F.col("id"), k).alias("u"), k.alias("k")))), 1, 4)).alias("g"))
-    neg = neg.select("id", F.when(F.size("ev") == 0, "neg_cross").otherwise("neg_same").alias("kind"), (F.col("g.k") * 8.0 - 8).alias("a"), (F.col("g.k") * 8.0).alias("b"))
+    # The grid stays in the clip's row: of the free places one is drawn in each quarter, before anything is exploded.
+    free = F.filter(F.sequence(F.lit(1).cast("bigint"), F.floor(F.col("dur") / 8).cast("bigint")), lambda k: ~F.exists("ev", lambda x: (x["t_start_s"] - 8 < k * 8.0) & (k * 8.0 < x["t_end_s"] + 8)))
+    neg = c.filter("dur >= 8").select("id", F.size("ev").alias("ne"), free.alias("free")).withColumn("n", F.size("free")).filter("n > 0")
+    drawn = F.array_distinct(F.array(*[F.get("free", F.floor((j + u01("neg", F.col("id"), F.lit(j))) * F.col("n") / 4).cast("int")) for j in range(4)]))
+    neg = neg.select("id", "ne", F.explode(F.when(F.col("n") <= 4, F.col("free")).otherwise(drawn)).alias("k"))
+    neg = neg.select("id", F.when(F.col("ne") == 0, "neg_cross").otherwise("neg_same").alias("kind"), (F.col("k") * 8.0 - 8).alias("a"), (F.col("k") * 8.0).alias("b"))
     return pos.unionByName(neg)
 
 
@@ -96,7 +99,7 @@ def sft_kind_counts(s: SparkSession, d: str) -> DataFrame:
 )
 def mix_resample(s: SparkSession, d: str) -> DataFrame:
     """As many of each kind as the scarcest allows, without repeats."""
-    w = windows(s, d).withColumn("ms", F.round(F.col("a") * 1000).cast("bigint")).withColumn("tie", F.concat_ws(":", "id", F.col("ms").cast("string")))
+    w = cut_lineage(windows(s, d)).withColumn("ms", F.round(F.col("a") * 1000).cast("bigint")).withColumn("tie", F.concat_ws(":", "id", F.col("ms").cast("string")))
     n = {r.kind: r["count"] for r in w.groupBy("kind").count().collect()}
     if any(not n.get(k) for k in MIX):
         return w.groupBy("kind").agg(F.count("*").alias("n"))

@@ -202,7 +202,7 @@ def json_extraction(s: SparkSession, d: str) -> DataFrame:
 @core.query("proj20_parse_step", with_(STEPS) + " SELECT stream_id, tick, action, category, citation AS policy_citation, confidence, suggested AS suggested_category FROM st")
 def parse_step(s: SparkSession, d: str) -> DataFrame:
     """Lenient parse (P20) with normalised citations (P21) and the validity rule (P23)."""
-    f = frames(s, d, "action_raw").filter("action_raw is not null").withColumn("s", protocol.step(F.col("action_raw")))
+    f = protocol.with_step(frames(s, d, "action_raw").filter("action_raw is not null"))
     return f.select("stream_id", "tick", *[f"s.{c}" for c in ("action", "category", "policy_citation", "confidence", "suggested_category")])
 
 
@@ -282,5 +282,5 @@ def needle_coverage(s: SparkSession, d: str) -> DataFrame:
 @core.query("proj33_target_json", with_(STEPS) + " SELECT stream_id, tick, '{\"action\":\"flag\",\"category\":\"' || category || '\",\"policy_citation\":\"SW-' || category || '\"}' AS target FROM st WHERE action = 'flag'")
 def target_json(s: SparkSession, d: str) -> DataFrame:
     """What a window is trained to answer (P33), cited by its category (P34)."""
-    f = frames(s, d, "action_raw").filter("action_raw is not null").withColumn("s", protocol.step(F.col("action_raw"))).filter("s.action = 'flag'")
+    f = protocol.with_step(frames(s, d, "action_raw").filter("action_raw is not null")).filter("s.action = 'flag'")
     return f.select("stream_id", "tick", F.to_json(F.struct(F.lit("flag").alias("action"), F.col("s.category").alias("category"), F.concat(F.lit("SW-"), F.col("s.category")).alias("policy_citation"))).alias("target"))

@@ -224,7 +224,7 @@ def context_buffer(s: SparkSession, d: str) -> DataFrame:
 )
 def policy_cache_hits(s: SparkSession, d: str) -> DataFrame:
     """A header is reused where its key equals the one before."""
-    f = frames(s, d, "action_raw").filter("action_raw is not null").withColumn("s", protocol.step(F.col("action_raw"))).filter("s.action = 'flag'").select("stream_id", "tick", F.col("s.policy_citation").alias("c"))
+    f = protocol.with_step(frames(s, d, "action_raw").filter("action_raw is not null")).filter("s.action = 'flag'").select("stream_id", "tick", F.col("s.policy_citation").alias("c"))
     f = f.withColumn("p", F.lag("c").over(Window.partitionBy("stream_id").orderBy("tick")))
     return f.groupBy("stream_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("c") == F.col("p"), 1)).alias("n_hits"))
 
@@ -239,7 +239,7 @@ _SESS = (
 @core.query("stream23_event_sessions", with_(_SESS) + " SELECT stream_id, tick, coalesce(is_open, false) AS is_open, CAST(k AS BIGINT) AS event_idx FROM se")
 def event_sessions(s: SparkSession, d: str) -> DataFrame:
     """flag opens an event, clear closes it (rows T21 and T23), without a fold: the last of the two actions decides."""
-    f = frames(s, d, "action_raw").filter("action_raw is not null").select("stream_id", "tick", protocol.step(F.col("action_raw"))["action"].alias("a"))
+    f = protocol.with_step(frames(s, d, "action_raw").filter("action_raw is not null")).select("stream_id", "tick", F.col("s.action").alias("a"))
     turn = F.when(F.col("a").isin("flag", "clear"), F.col("a"))
     f = carry_last(f, ["stream_id"], "tick", turn, "last_a")
     f = f.withColumn("prev", F.lag("last_a").over(Window.partitionBy("stream_id").orderBy("tick")))
@@ -263,7 +263,7 @@ def pipeline_ticks(s: SparkSession, d: str) -> DataFrame:
 def stream_result(s: SparkSession, d: str) -> DataFrame:
     f = frames(s, d, "t_s", "action_raw", "nu_s")
     nu = f.groupBy("stream_id").agg(F.first("nu_s", ignorenulls=True).alias("nu_s"))
-    g = f.filter("action_raw is not null").withColumn("a", protocol.step(F.col("action_raw"))["action"])
+    g = protocol.with_step(f.filter("action_raw is not null")).withColumn("a", F.col("s.action"))
     g = g.groupBy("stream_id").agg(F.min(F.when(F.col("a") == "flag", F.col("t_s"))).alias("ff"), F.avg((F.col("a") != "hold").cast("double")).alias("rate")).join(nu, "stream_id")
     return g.select("stream_id", R6("ff").alias("first_flag_s"), F.when(F.col("nu_s").isNotNull() & F.col("ff").isNotNull(), R6(F.greatest(F.lit(0.0), F.col("ff") - F.col("nu_s")))).alias("delay_s"), R6("rate").alias("active_rate"))
 

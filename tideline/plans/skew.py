@@ -11,23 +11,26 @@ from pyspark.sql import functions as F
 HEAVY = 256
 
 
-def heavy_keys(df: DataFrame, key: str, share: int = HEAVY, least: int = 10_000) -> list:
-    """The keys with more than 1/share of the rows (and more than ``least`` rows): fewer than ``share`` values by construction."""
+def heavy_keys(df: DataFrame, key: str, share: int = HEAVY, least: int = 10_000, total: int | None = None) -> list:
+    """The keys with more than 1/share of the rows (and more than ``least`` rows): fewer than ``share`` values by construction.
+
+    ``total`` is the number of rows, if the caller knows it (or a smaller number, which only makes the bar lower).
+    """
     counts = df.groupBy(key).count()
-    total = df.count()
+    total = df.count() if total is None else total
     bar = max(least, total // share)
     if total <= least:
         return []
     return [r[0] for r in counts.filter(F.col("count") > bar).select(key).collect() if r[0] is not None]
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left", heavy: Sequence | None = None) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left", heavy: Sequence | None = None, total: int | None = None) -> DataFrame:
     """Join ``left`` to ``right``, in which each key has one row.
 
     Rows of heavy keys meet a broadcast of the fewer than HEAVY rows of ``right`` they need and are never shuffled; the rest
     is an ordinary shuffled join. With no heavy key it is the ordinary join alone.
     """
-    hot = list(heavy_keys(left, key) if heavy is None else heavy)
+    hot = list(heavy_keys(left, key, total=total) if heavy is None else heavy)
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)
