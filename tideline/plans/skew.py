@@ -39,7 +39,7 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     return cold.unionByName(warm)
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: Column, value: Column, out: str, buckets: int = 1024, tie: Sequence[str] = ()) -> DataFrame:
+def running_total(df: DataFrame, keys: Sequence[str], order: Column, value: Column, out: str, buckets: int = 8192, tie: Sequence[str] = ()) -> DataFrame:
     """``out`` = sum of ``value`` over the rows of the same keys that come before this one in a pseudo-random but fixed order.
 
     ``order`` must be a hash (any bigint); rows are cut into ``buckets`` by its value, so no task holds a whole key. Sums per
