@@ -36,8 +36,9 @@ COMMON = 60
 SLOTS = 3
 #: Fixed prefix lengths, in characters, by which copies are looked up.
 LENGTHS = (16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 1024, 2048, 4096)
-#: Least number of other phrases from which a decision is made, and the share of them that may end here.
-SUPPORT, ENDS = 4, 0.35
+#: Least number of other phrases from which a decision is made, and the share of them that may end where a cut one does: whole
+#: phrases, outlines, the last four words, the last two. The narrower the wording, the more of those that end here may be cut too.
+SUPPORT, ENDS = 4, (0.8, 0.6, 0.35, 0.35)
 
 _SOFT = re.compile(r"\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\]?)\s*$")
 _HARD = re.compile(r"\s*(?:\ufffd+|\\u?[0-9a-fA-F]{0,4}|&[a-zA-Z]{1,5}|&#\d{0,5}|</?[a-zA-Z]{0,6})\s*$")
@@ -186,7 +187,7 @@ def truncated(clips: DataFrame) -> DataFrame:
     same = F.coalesce(F.element_at("nexts", F.col("own")), F.lit(0))
     ans = ans.withColumn("longer", F.coalesce(longer, F.lit(0))).withColumn("same", same)
     ends = ans.filter((F.col("part") == "end") & (F.col("all") > SUPPORT)).withColumn("_r", F.row_number().over(Window.partitionBy("id", "field").orderBy("rank"))).filter("_r = 1")
-    ends = ends.select("id", "field", "part", (F.col("ends") <= ENDS * F.col("all")).alias("cut"))
+    ends = ends.select("id", "field", "part", (F.col("ends") <= F.element_at(F.array(*map(F.lit, ENDS)), F.col("rank") + 1) * F.col("all")).alias("cut"))
     # The value counts itself once among those that have its last word there.
     word = ans.filter("part = 'word'").select("id", "field", "part", ((F.col("longer") >= 2) & (F.col("same") <= 1 + F.col("longer") / 2)).alias("cut"))
     verdict = ends.unionByName(word)
