@@ -23,11 +23,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tideline.llm.common import latest, plain
+from tideline.plans.skew import join_unique
 from tideline.session import cut_lineage
 
 FIELDS = ("title", "description")
@@ -35,7 +38,7 @@ WORDS = 10_000
 COMMON = 60
 SLOTS = 3
 #: Fixed prefix lengths, in characters, by which copies are looked up.
-LENGTHS = (16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 1024, 2048, 4096)
+LENGTHS = (16, 32, 64, 128, 256, 512, 1024, 4096, 16384)
 #: Least number of other phrases from which a decision is made, and the share of them that may end where a cut one does: whole
 #: phrases, outlines, the last four words, the last two. The narrower the wording, the more of those that end here may be cut too.
 SUPPORT, ENDS = 4, (0.8, 0.6, 0.35, 0.35)
@@ -87,26 +90,38 @@ def form(tok: str, known: frozenset[str]) -> str:
     return "W" if tok[0].isupper() else "w"
 
 
-def _contexts(toks: list[str], forms: list[str], j: int, common: frozenset[str]) -> list[str]:
-    """Keys of what stands before place j: the whole phrase so far, its outline (all but the commonest words as blanks), the
-    last four words, the last two."""
-    outline = [f if f in common or not f[0].isalpha() else ("W" if t[0].isupper() else "w") for t, f in zip(toks[:j], forms)]
-    return ["^" + " ".join(forms[:j]), "~" + " ".join(outline), "4" + " ".join(forms[max(0, j - 4) : j]), "2" + " ".join(forms[max(0, j - 2) : j])]
+def _contexts(field: str, toks: list[str], forms: list[str], common: frozenset[str]) -> list[tuple[int, int, int, int]]:
+    """For each place j from 0 on, keys of what stands before it: the whole phrase so far, its outline (all but the commonest words
+    as blanks), the last four words, the last two. The first two are chained hashes, so a phrase costs as much as it is long."""
+    whole, out = xxh64_intdigest("^" + field), xxh64_intdigest("~" + field)
+    keys = []
+    for j in range(len(forms) + 1):
+        if j:
+            f = forms[j - 1]
+            whole = xxh64_intdigest(f, whole)
+            o = f if f in common or not f[0].isalpha() else ("W" if toks[j - 1][0].isupper() else "w")
+            out = xxh64_intdigest(o, out)
+        keys.append((whole, out, xxh64_intdigest("4" + field + " ".join(forms[max(0, j - 4) : j])), xxh64_intdigest("2" + field + " ".join(forms[max(0, j - 2) : j]))))
+    return keys
+
+
+def _signed(keys: list[int]) -> np.ndarray:
+    return np.array(keys, np.uint64).astype(np.int64)
 
 
 def _continuations(known: dict[str, frozenset[str]], common: dict[str, frozenset[str]]):
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            count: dict[tuple[str, str, str], int] = {}
+            count: dict[tuple[int, str], int] = {}
             for field, toks in zip(pdf["field"], pdf["toks"]):
                 toks = list(toks)
                 f = [form(t, known[field]) for t in toks]
-                for j in range(1, len(f) + 1):
+                for j, keys in enumerate(_contexts(field, toks, f, common[field])):
                     nxt = f[j] if j < len(f) else "$"
-                    for c in _contexts(toks, f, j, common[field]):
-                        k = (field, c, nxt)
+                    for c in keys if j else ():
+                        k = (c, nxt)
                         count[k] = count.get(k, 0) + 1
-            yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["field", "ctx", "nxt", "n"])
+            yield pd.DataFrame({"key": _signed([k for k, _ in count]), "nxt": [x for _, x in count], "n": np.fromiter(count.values(), np.int64, len(count))})
 
     return run
 
@@ -123,12 +138,12 @@ def _questions(known: dict[str, frozenset[str]], common: dict[str, frozenset[str
                 if not f:
                     continue
                 raw = toks[-1].lower()
-                for rank, c in enumerate(_contexts(toks, f, len(f), common[field])):
-                    out.append((i, field, "end", rank, c, f[-1], raw))
+                keys = _contexts(field, toks, f, common[field])
+                out += [(i, field, "end", rank, c, f[-1], raw) for rank, c in enumerate(keys[-1])]
                 if toks[-1][0].isalpha() and len(f) > 1 and (mark or not value[-1].isspace()):
-                    for rank, c in enumerate(_contexts(toks, f, len(f) - 1, common[field])):
-                        out.append((i, field, "word", rank, c, f[-1], raw))
-            yield pd.DataFrame(out, columns=["id", "field", "part", "rank", "ctx", "own", "raw"])
+                    out += [(i, field, "word", rank, c, f[-1], raw) for rank, c in enumerate(keys[-2])]
+            df = pd.DataFrame(out, columns=["id", "field", "part", "rank", "key", "own", "raw"])
+            yield df.assign(key=_signed([r[4] for r in out]))
 
     return run
 
@@ -171,27 +186,28 @@ def truncated(clips: DataFrame) -> DataFrame:
     values = cut_lineage(_values(clips))
     units = cut_lineage(values.select("id", "field", "value").mapInPandas(_units, "id string, field string, toks array<string>, last boolean, mark int, value string"))
     known, common = _known(units)
-    follow = units.select("field", "toks").mapInPandas(_continuations(known, common), "field string, ctx string, nxt string, n bigint")
-    follow = follow.groupBy(F.xxhash64("field", "ctx").alias("key"), "nxt").agg(F.sum("n").alias("n"))
+    follow = units.select("field", "toks").mapInPandas(_continuations(known, common), "key bigint, nxt string, n bigint")
+    follow = follow.groupBy("key", "nxt").agg(F.sum("n").alias("n"))
     # A sentence that closes with its full stop ends where others may go on: only phrases without one are asked about.
     tails = units.filter("last").withColumn("_t", F.element_at("toks", -1))
     stop = F.coalesce(F.col("_t").isin(".", "。", "!", "?", "!", "?"), F.lit(False)) & (F.col("field") != "title")
-    asked = tails.filter((F.size("toks") > 0) & ~stop).drop("_t", "last").mapInPandas(_questions(known, common), "id string, field string, part string, rank int, ctx string, own string, raw string")
-    asked = cut_lineage(asked.withColumn("key", F.xxhash64("field", "ctx")))
+    asked = tails.filter((F.size("toks") > 0) & ~stop).drop("_t", "last").mapInPandas(_questions(known, common), "id string, field string, part string, rank int, key bigint, own string, raw string")
+    asked = cut_lineage(asked)
     keys = asked.select("key").distinct()
     seen = follow.join(keys, "key", "left_semi")
     # What follows a run of words, in one row per run; slots and words together are bounded by the list of known words.
     seen = seen.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("nxt") == "$", F.col("n")).otherwise(0)).alias("ends"), F.map_from_entries(F.collect_list(F.struct("nxt", "n"))).alias("nexts"))
-    ans = asked.join(seen, "key", "left").withColumn("all", F.coalesce("all", F.lit(0)))
+    ans = join_unique(asked, seen, "key", "left").withColumn("all", F.coalesce("all", F.lit(0)))
     longer = F.aggregate(F.map_entries("nexts"), F.lit(0).cast("bigint"), lambda a, e: a + F.when(e["key"].startswith(F.col("raw")) & (e["key"] != F.col("raw")) & (F.length(e["key"]) > 1), e["value"]).otherwise(0))
     same = F.coalesce(F.element_at("nexts", F.col("own")), F.lit(0))
     ans = ans.withColumn("longer", F.coalesce(longer, F.lit(0))).withColumn("same", same)
-    ends = ans.filter((F.col("part") == "end") & (F.col("all") > SUPPORT)).withColumn("_r", F.row_number().over(Window.partitionBy("id", "field").orderBy("rank"))).filter("_r = 1")
-    ends = ends.select("id", "field", "part", (F.col("ends") <= F.element_at(F.array(*map(F.lit, ENDS)), F.col("rank") + 1) * F.col("all")).alias("cut"))
+    # Of the contexts with enough phrases the widest wording is asked last: per value the answer of the lowest rank.
+    share = F.element_at(F.array(*map(F.lit, ENDS)), F.col("rank") + 1)
+    is_end = F.when((F.col("part") == "end") & (F.col("all") > SUPPORT), F.struct("rank", (F.col("ends") <= share * F.col("all")).alias("cut")))
     # The value counts itself once among those that have its last word there.
-    word = ans.filter("part = 'word'").select("id", "field", "part", ((F.col("longer") >= 2) & (F.col("same") <= 1 + F.col("longer") / 2)).alias("cut"))
-    verdict = ends.unionByName(word)
-    verdict = verdict.groupBy("id", "field").agg(F.max("cut").alias("cut"), F.max(F.when(F.col("part") == "end", ~F.col("cut"))).alias("closes"))
+    is_word = (F.col("part") == "word") & (F.col("longer") >= 2) & (F.col("same") <= 1 + F.col("longer") / 2)
+    verdict = ans.groupBy("id", "field").agg(F.min(is_end)["cut"].alias("e"), F.max(F.coalesce(is_word, F.lit(False))).alias("w"))
+    verdict = cut_lineage(verdict.select("id", "field", (F.coalesce("e", F.lit(False)) | F.col("w")).alias("cut"), (~F.col("e")).alias("closes")))
     phrase = verdict.filter("cut").select("id", "field", F.lit("phrase").alias("evidence"))
     # Broken characters, escapes and tags are a loss whatever stands before; an ellipsis is, unless phrases of this wording close so.
     marks = tails.filter("mark > 0").select("id", "field", "mark", "toks").join(verdict.select("id", "field", "closes"), ["id", "field"], "left")
