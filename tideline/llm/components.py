@@ -3,6 +3,9 @@
 Every step joins the edges to one row per node (its smallest neighbour); the rows of nodes with more than 1/256 of the edges
 meet a broadcast of those fewer than 256 rows, so a hub that holds a third of all edges is not gathered in one task. The
 edges are written to the shared folder after each step.
+
+Before the first step nodes with one edge, to a smaller node, are set aside: they have the root of that neighbour and can change
+nobody's. Where most entities are seen once, what is stepped over is a small part of the graph.
 """
 
 from __future__ import annotations
@@ -38,7 +41,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Nodes are of any one type with an order. No edges give no rows. Raises if it has not settled after ``rounds`` rounds
     (the number of rounds grows with the logarithm of the number of nodes).
     """
-    e = cut_lineage(edges.select("u", "v").filter("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = edges.select("u", "v").filter("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = cut_lineage(e)
+    single = e.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count("*").alias("deg")).filter("deg = 1")
+    e = cut_lineage(e.join(single, "u", "left").select("u", "v", F.col("deg").isNotNull().alias("leaf")))
+    leaves = e.filter("leaf").select(F.col("u").alias("node"), "v")
+    core = _settle(e.filter("not leaf").select("u", "v"), rounds)
+    roots = core.select(F.col("node").alias("v"), "root")
+    hung = join_unique(leaves, roots, "v", "left").select("node", F.coalesce("root", "v").alias("root"))
+    alone = leaves.select("v").distinct().join(roots, "v", "left_anti").select(F.col("v").alias("node"), F.col("v").alias("root"))
+    return core.unionByName(hung).unionByName(alone)
+
+
+def _settle(e: DataFrame, rounds: int) -> DataFrame:
     before = _state(e)
     for _ in range(rounds):
         if before[0] == 0:
