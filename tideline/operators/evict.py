@@ -49,3 +49,7 @@ def coverage(df: DataFrame, key: str, order: str, vector: str, k: int) -> DataFr
         last = far.groupBy(key).agg(F.max_by(F.struct(order, vector), F.struct("dist", -F.col(order))).alias("c"))
         kept = kept.unionByName(last.select(key, F.col(f"c.{order}").alias(order), F.lit(i).alias("rank")))
     return kept
+
+
+#: By name: each takes the rows, the key columns, the order column and k.
+POLICIES = {"fifo": newest, "stride": stride}

@@ -280,3 +280,17 @@ def protocol_scorecard(s: SparkSession, d: str) -> DataFrame:
     r = resolve(f, table(s, d, "policy_clauses"), "citation")
     n = lambda c: F.count(F.when(c, 1))
     return r.groupBy("stream_id").agg(F.count("*").alias("n"), n(F.col("a") == "flag").alias("n_flag"), n(F.col("a") == "invalid").alias("n_invalid"), R6(1 - n(F.col("a") == "invalid") / F.count("*")).alias("valid_rate"), n(F.col("reason") == "exact").alias("n_exact"), n(F.col("reason") == "prefix").alias("n_prefix"), n(F.col("reason").isin("ordinal", "unknown", "ambiguous_prefix", "not_enforced")).alias("n_unresolved"))
+
+
+@core.query("agg17_compare_bounds")
+def compare_bounds(s: SparkSession, d: str) -> DataFrame:
+    """The bounds side by side for small counts of misses, and whether betting certifies a risk of .05."""
+    import numpy as np
+
+    rows = []
+    for n, k in ((45, 0), (105, 2), (265, 5), (466, 9), (1657, 33)):
+        m = k / n
+        v = m * (1 - m) * n / (n - 1)
+        log = np.log(20.0)
+        rows.append((n, k, round(float(min(1, m + np.sqrt(np.log(10) / (2 * n)))), 6), round(float(min(1, m + np.sqrt(2 * v * log / n) + 7 * log / (3 * (n - 1)))), 6), round(bounds.exact_ucb(k, n, 0.1), 6), bounds.ecrc_certify(np.repeat([1.0, 0.0], [k, n - k]), 0.05, 0.1)))
+    return s.createDataFrame(rows, "n int, misses int, hoeffding double, bernstein double, exact double, certified boolean")

@@ -284,3 +284,23 @@ def target_json(s: SparkSession, d: str) -> DataFrame:
     """What a window is trained to answer (P33), cited by its category (P34)."""
     f = protocol.with_step(frames(s, d, "action_raw").filter("action_raw is not null")).filter("s.action = 'flag'")
     return f.select("stream_id", "tick", F.to_json(F.struct(F.lit("flag").alias("action"), F.col("s.category").alias("category"), F.concat(F.lit("SW-"), F.col("s.category")).alias("policy_citation"))).alias("target"))
+
+
+@core.query(
+    "proj32_histogram_encoder",
+    with_(EMB) + " SELECT vec_id, " + ", ".join(f"round(len(list_filter(v, lambda x: greatest(0, least(3, floor((x + 0.2) / 0.4 * 4))) = {b})) / 64, 6) AS h{b}" for b in range(4)) + " FROM em",
+)
+def histogram_encoder(s: SparkSession, d: str) -> DataFrame:
+    """The encoder that needs no model, over the values of each vector."""
+    from tideline.operators.encoders import histogram
+
+    e = table(s, d, "embeddings").select("vec_id", histogram(vectors.doubles(F.col("embedding")), -0.2, 0.2, 4).alias("h"))
+    return e.select("vec_id", *[R6(F.get("h", F.lit(b))).alias(f"h{b}") for b in range(4)])
+
+
+@core.query("proj32_random_projection")
+def projection_encoder(s: SparkSession, d: str) -> DataFrame:
+    from tideline.operators.encoders import random_projection
+
+    p = random_projection(table(s, d, "embeddings"), "vec_id", "embedding")
+    return p.select("vec_id", R6(F.get("code", F.lit(0))).alias("first_"), F.size("code").cast("bigint").alias("dim"))
