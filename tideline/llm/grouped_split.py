@@ -56,7 +56,7 @@ def groups(clips: DataFrame) -> DataFrame:
 def assign(clips: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
     """id, grp, size, split."""
     g = cut_lineage(groups(clips))
-    shares = [(r.split, float(r.target_share or 0)) for r in targets.select("split", "target_share").distinct().orderBy("split").limit(1000).collect() if r.split is not None]
+    shares = [(r.split, float(r.target_share or 0)) for r in targets.select("split", "target_share").distinct().orderBy("split").collect() if r.split is not None]
     if not shares or sum(s for _, s in shares) <= 0:
         return g.withColumn("split", F.lit(None).cast("string"))
     whole = sum(s for _, s in shares)
