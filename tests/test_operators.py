@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import bounds, evict, ranking, steps
-from tideline.operators.boundary import conformal, most_misses
+from tideline.operators.boundary import against, conformal, most_misses
 from tideline.operators.leakage_audit import position_test
 from tideline.operators.ordered import carry_last, fold, reflected_sum, running, sliding
 from tideline.operators.retrieval import top_similar
@@ -129,7 +129,8 @@ def test_bounds_published_values():
     assert bounds.exact_ucb(5, 5, 0.1) == 1.0 and bounds.exact_ucb(0, 0, 0.1) == 1.0
     assert 0 < bounds.exact_ucb(3000, 1_000_000, 0.1) < 0.0032
     assert math.isclose(bounds.binomial_cdf(2, 5, 0.3), 0.83692, abs_tol=1e-6)
-    assert bounds.ecrc_certify(np.zeros(300), 0.05, 0.1) and not bounds.ecrc_certify(np.ones(300), 0.05, 0.1)
+    assert bounds.ecrc_certify(300, 0, 0.05, 0.1) and not bounds.ecrc_certify(300, 300, 0.05, 0.1)
+    assert bounds.ecrc_certify(300, 0, 0.05, 0.1, block=7) and not bounds.ecrc_certify(0, 0, 0.05, 0.1)
 
 
 def test_bound_columns(spark):
@@ -227,3 +228,16 @@ def test_position_test():
     skewed = {b: (50, 5 if b < 5 else 95) for b in range(10)}
     assert position_test(same)[1] > 0.5 and position_test(skewed)[1] < 0.01
     assert position_test({0: (0, 5)}) == (0.0, 1.0)
+
+
+def test_references_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 4)) / 4
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]], 1.0 if i % 2 else -1.0) for i in range(60)], "k bigint, v array<double>, y double")
+    refs = df.filter("k < 20")
+    cos = v @ v[:20].T
+    y = np.array([1.0 if i % 2 else -1.0 for i in range(20)])
+    for block in (4096, 6):
+        for r in against(df, refs, "k", "v", "y", block).collect():
+            assert math.isclose(r.cache, (np.exp(-5 * (1 - cos[r.k])) * y).mean(), abs_tol=1e-9) and math.isclose(r.ood, min(1, max(0, 1 - cos[r.k].max())), abs_tol=1e-9)
+    assert against(df, refs.limit(0), "k", "v", "y").filter("ood = 0 and cache is null").count() == 60

@@ -23,23 +23,39 @@ def class_means(df: DataFrame, label: str, vector: str) -> DataFrame:
     return m.select(label, F.transform("_m", lambda x: x / F.col("_n")).alias("proto"))
 
 
-def against(rows: DataFrame, key: str, vector: str, refs: np.ndarray, weights: np.ndarray, kernel: str) -> DataFrame:
-    """``key``, value: per row the mean of weight * exp(-5 (1 - cos)) over the references (kernel 'cache'), or 1 less the largest
-    cosine, within [0, 1] (kernel 'ood'). References are a stated, bounded set and go out once."""
-    shared = rows.sparkSession.sparkContext.broadcast((refs, weights))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, w = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = b.column(1)
-            m = v.values.to_numpy(zero_copy_only=False).astype(np.float64)[v.offsets[0].as_py() : v.offsets[-1].as_py()].reshape(b.num_rows, -1)
-            cos = m @ r.T
-            out = (np.exp(-5 * (1 - cos)) * w).mean(1) if kernel == "cache" else np.clip(1 - cos.max(1), 0, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=[key, "value"])
-
-    return rows.select(F.col(key).cast("bigint"), vector).filter(F.col(vector).isNotNull()).mapInArrow(run, f"{key} bigint, value double")
+#: References go out in blocks of at most so many.
+BLOCK = 4096
+
+
+def against(rows: DataFrame, refs: DataFrame, key: str, vector: str, weight: str, block: int = BLOCK) -> DataFrame:
+    """``key``, cache, ood: per row the mean of weight * exp(-5 (1 - cos)) over the references, and 1 less the largest cosine,
+    within [0, 1]. References are a stated set; blocks of bounded size are broadcast and their sums and maxima joined."""
+    r = refs.select(key, vector, weight).filter(F.col(vector).isNotNull())
+    n = r.count()
+    if not n:
+        return rows.select(F.col(key).cast("bigint"), F.lit(None).cast("double").alias("cache"), F.lit(0.0).alias("ood"))
+    blocks, out = max(1, -(-n // block)), None
+    for i in range(blocks):
+        part = r.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).collect()
+        if not part:
+            continue
+        shared = rows.sparkSession.sparkContext.broadcast((np.array([p[1] for p in part], float), np.array([p[2] for p in part], float)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            m, w = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                v = b.column(1)
+                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)[v.offsets[0].as_py() : v.offsets[-1].as_py()].reshape(b.num_rows, -1)
+                cos = x @ m.T
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array((np.exp(-5 * (1 - cos)) * w).sum(1)), pa.array(cos.max(1))], names=[key, "s", "m"])
+
+        one = rows.select(F.col(key).cast("bigint"), vector).filter(F.col(vector).isNotNull()).mapInArrow(run, f"{key} bigint, s double, m double")
+        out = one if out is None else out.unionByName(one)
+    if blocks > 1:
+        out = out.groupBy(key).agg(F.sum("s").alias("s"), F.max("m").alias("m"))
+    return out.select(key, (F.col("s") / n).alias("cache"), vectors.clip(1 - F.col("m"), 0.0, 1.0).alias("ood"))
 
 
 def most_misses(n: int, target: float, delta: float = 0.1) -> int | None:

@@ -61,16 +61,28 @@ def bernstein_ucb(mean: Column, var: Column, n: Column, delta: float) -> Column:
     return F.when(n < 2, 1.0).otherwise(F.least(F.lit(1.0), mean + F.sqrt(2 * var * log / n) + 7 * log / (3 * (n - 1))))
 
 
-def ecrc_certify(risks: np.ndarray, alpha: float, delta: float, orderings: int = 22, seed: int = 0) -> bool:
-    """Whether the wealth of bets against 'risk above alpha' reaches 1/delta in every one of the orderings."""
-    if not len(risks):
+def ecrc_certify(n: int, k: int, alpha: float, delta: float, orderings: int = 22, seed: int = 0, block: int = 65_536) -> bool:
+    """Whether the wealth of bets against 'risk above alpha' reaches 1/delta in every ordering of n risks of which k are 1.
+
+    Orderings are drawn in blocks from the counts, so that n may be of any size, and each ends where it is decided.
+    """
+    if n < 1:
         return False
     for o in range(orderings):
-        r = np.random.default_rng(seed + o).permutation(risks)
-        seen = np.concatenate([[0.0], np.cumsum(r)[:-1]]) / np.maximum(1, np.arange(len(r)))
-        bet = np.clip((alpha - seen) / max(alpha * (1 - alpha), 1e-6), 0, 0.5)
-        bet[0] = 0
-        if np.log1p(bet * (alpha - r)).cumsum().max() < math.log(1 / delta):
+        rng = np.random.default_rng(seed + o)
+        left, ones, seen, total, wealth, done = n, k, 0, 0.0, 0.0, False
+        while left and not done:
+            m = min(block, left)
+            x = rng.hypergeometric(ones, left - ones, m) if ones else 0
+            r = rng.permutation(np.repeat([1.0, 0.0], [x, m - x]))
+            before = total + np.concatenate([[0.0], np.cumsum(r)[:-1]])
+            bet = np.clip((alpha - before / np.maximum(1, seen + np.arange(m))) / max(alpha * (1 - alpha), 1e-6), 0, 0.5)
+            if seen == 0:
+                bet[0] = 0
+            w = wealth + np.log1p(bet * (alpha - r)).cumsum()
+            done = bool(w.max() >= math.log(1 / delta))
+            left, ones, seen, total, wealth = left - m, ones - x, seen + m, total + r.sum(), float(w[-1])
+        if not done:
             return False
     return True
 
@@ -81,13 +93,13 @@ def exact_ucb_col(k: pd.Series, n: pd.Series, delta: pd.Series) -> pd.Series:
     return pd.Series([memo.setdefault((a, b, c), exact_ucb(int(a), int(b), float(c))) for a, b, c in zip(k, n, delta)])
 
 
-def ecrc_by_key(df: DataFrame, key: str, risk: str, alpha: float, delta: float, blocks: int = 64) -> DataFrame:
-    """Certification per key from a bounded sketch: risks are 0 or 1 here, so counts per key carry all that orderings need."""
+def ecrc_by_key(df: DataFrame, key: str, risk: str, alpha: float, delta: float) -> DataFrame:
+    """Certification per key: risks count as 0 or 1, so two counts per key are all that orderings need."""
     counts = df.filter(F.col(risk).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.sum((F.col(risk) > 0).cast("bigint")).alias("k"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            ok = [ecrc_certify(np.repeat([1.0, 0.0], [int(k), int(n - k)]), alpha, delta) for n, k in zip(p["n"], p["k"])]
+            ok = [ecrc_certify(int(n), int(k), alpha, delta) for n, k in zip(p["n"], p["k"])]
             yield p.assign(certified=ok)
 
     return counts.mapInPandas(run, f"{key} string, n bigint, k bigint, certified boolean")

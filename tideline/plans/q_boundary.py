@@ -23,9 +23,8 @@ def emb(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select("vec_id", "label", vectors.doubles(F.col("embedding")).alias("v"))
 
 
-def exemplars(s: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
-    rows = emb(s, d).filter(F.col("vec_id") % EXEMPLARS == 0).orderBy("vec_id").limit(4096).collect()
-    return np.array([r.v for r in rows]), np.array([1.0 if r.label < 5 else -1.0 for r in rows])
+def exemplars(s: SparkSession, d: str) -> DataFrame:
+    return emb(s, d).filter(F.col("vec_id") % EXEMPLARS == 0).select("vec_id", "v", F.when(F.col("label") < 5, 1.0).otherwise(-1.0).alias("y"))
 
 
 @core.query("bound01_prototype", with_(_UN) + " SELECT un.vec_id, round(list_dot_product(un.v, pt.p), 6) AS own_cos FROM un JOIN pt ON pt.label = un.label")
@@ -40,10 +39,8 @@ _CACHE = EMB + ", ex AS (SELECT v, CASE WHEN label < 5 THEN 1.0 ELSE -1.0 END AS
 @core.query("bound02_exemplar_cache", with_(_CACHE) + " SELECT em.vec_id, round(avg(y * exp(-5 * (1 - list_dot_product(em.v, ex.v)))), 6) AS cache_score, round(greatest(0, least(1, 1 - max(list_dot_product(em.v, ex.v)))), 6) AS ood FROM em, ex GROUP BY em.vec_id")
 def exemplar_cache(s: SparkSession, d: str) -> DataFrame:
     """Kernel mean over the cached exemplars (L2) and distance to the nearest of them (P12)."""
-    refs, y = exemplars(s, d)
-    a = boundary.against(emb(s, d), "vec_id", "v", refs, y, "cache").withColumnRenamed("value", "c")
-    b = boundary.against(emb(s, d), "vec_id", "v", refs, y, "ood").withColumnRenamed("value", "o")
-    return a.join(b, "vec_id").select("vec_id", R6("c").alias("cache_score"), R6("o").alias("ood"))
+    x = boundary.against(emb(s, d), exemplars(s, d), "vec_id", "v", "y")
+    return x.select("vec_id", R6("cache").alias("cache_score"), R6("ood").alias("ood"))
 
 
 _HEAD = EMB + ", dm AS (SELECT i, avg(v[i]) FILTER (label < 5) - avg(v[i]) FILTER (label >= 5) AS x FROM em, range(1, 65) t(i) GROUP BY i), w0 AS (SELECT list(x ORDER BY i) AS w FROM dm), wn AS (SELECT list_transform(w, lambda x: x / greatest(sqrt(list_dot_product(w, w)), 1e-12)) AS w FROM w0)"
@@ -76,15 +73,14 @@ def logistic_head(s: SparkSession, d: str) -> DataFrame:
 
 @core.query("bound04_combined_score", with_(_HEAD, _CACHE.replace(EMB + ", ", "")) + " SELECT em.vec_id, round(0.5 * any_value(list_dot_product(em.v, w)) + 0.5 * avg(y * exp(-5 * (1 - list_dot_product(em.v, ex.v)))), 6) AS score FROM em, wn, ex GROUP BY em.vec_id")
 def combined_score(s: SparkSession, d: str) -> DataFrame:
-    refs, y = exemplars(s, d)
-    c = boundary.against(emb(s, d), "vec_id", "v", refs, y, "cache")
+    c = boundary.against(emb(s, d), exemplars(s, d), "vec_id", "v", "y")
     e = emb(s, d)
     lab = F.col("label") < 5
     w = e.select(lab.alias("y"), F.posexplode("v").alias("i", "x")).groupBy("i").agg((F.avg(F.when(F.col("y"), F.col("x"))) - F.avg(F.when(~F.col("y"), F.col("x")))).alias("x")).orderBy("i").collect()
     vec = np.array([r.x for r in w])
     unit = (vec / max(float(np.linalg.norm(vec)), 1e-12)).tolist()
     h = e.select("vec_id", vectors.dot(F.col("v"), F.array(*map(F.lit, unit))).alias("h"))
-    return h.join(c, "vec_id").select("vec_id", R6(0.5 * F.col("h") + 0.5 * F.col("value")).alias("score"))
+    return h.join(c, "vec_id").select("vec_id", R6(0.5 * F.col("h") + 0.5 * F.col("cache")).alias("score"))
 
 
 @core.query("bound05_conformal_threshold")
@@ -110,7 +106,7 @@ def grouped_split(s: SparkSession, d: str) -> DataFrame:
 def zero_shot(s: SparkSession, d: str) -> DataFrame:
     """Nearest prototype of one side less nearest of the other; a row per label, so the prototypes are literals."""
     e = emb(s, d)
-    p = boundary.class_means(e, "label", "v").orderBy("label").limit(4096).collect()
+    p = boundary.class_means(e, "label", "v").orderBy("label").collect()
     side = lambda ok: [vectors.dot(F.col("v"), F.array(*map(F.lit, r.proto))) for r in p if ok(r.label)]
     sc = e.select((F.col("label") < 5).alias("y"), R6(F.greatest(*side(lambda x: x < 5)) - F.greatest(*side(lambda x: x >= 5))).alias("s"))
     return ranking.auroc(sc, [], "s", F.col("y"), 0.02).select(R6("auroc").alias("auroc"))

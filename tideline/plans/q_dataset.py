@@ -205,7 +205,7 @@ def counterfactual_reward(s: SparkSession, d: str) -> DataFrame:
 def policy_augmentation(s: SparkSession, d: str) -> DataFrame:
     """A subset of the active clauses per sample, in random order; a quarter lacks the clause it needs. The clauses are one array
     literal, so samples are never multiplied by a join."""
-    clauses = [(r.id, r.category.split("_")[0]) for r in table(s, d, "policy_clauses").filter("status = 'active'").select("id", "category").orderBy("seq").limit(1000).collect()]
+    clauses = [(r.id, r.category.split("_")[0]) for r in table(s, d, "policy_clauses").filter("status = 'active'").select("id", "category").orderBy("seq").collect()]  # a policy is a document
     arr = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(k).alias("ck")) for i, k in clauses])
     x = table(s, d, "documents").select("doc_id").withColumn("mismatch", u01("mm", F.col("doc_id")) < 0.25).withColumn("target", F.concat(F.lit("C"), (1 + F.col("doc_id") % 6).cast("string")))
     keep = F.filter(arr, lambda c: F.when(c["ck"] == F.col("target"), ~F.col("mismatch")).otherwise(u01("sub", F.col("doc_id"), c["id"]) < 0.7))

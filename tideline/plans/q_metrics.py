@@ -292,5 +292,5 @@ def compare_bounds(s: SparkSession, d: str) -> DataFrame:
         m = k / n
         v = m * (1 - m) * n / (n - 1)
         log = np.log(20.0)
-        rows.append((n, k, round(float(min(1, m + np.sqrt(np.log(10) / (2 * n)))), 6), round(float(min(1, m + np.sqrt(2 * v * log / n) + 7 * log / (3 * (n - 1)))), 6), round(bounds.exact_ucb(k, n, 0.1), 6), bounds.ecrc_certify(np.repeat([1.0, 0.0], [k, n - k]), 0.05, 0.1)))
+        rows.append((n, k, round(float(min(1, m + np.sqrt(np.log(10) / (2 * n)))), 6), round(float(min(1, m + np.sqrt(2 * v * log / n) + 7 * log / (3 * (n - 1)))), 6), round(bounds.exact_ucb(k, n, 0.1), 6), bounds.ecrc_certify(n, k, 0.05, 0.1)))
     return s.createDataFrame(rows, "n int, misses int, hoeffding double, bernstein double, exact double, certified boolean")
