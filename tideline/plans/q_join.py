@@ -17,7 +17,7 @@ CLAUSES = 10_000
 
 
 def stepped(s: SparkSession, d: str, *cols: str) -> DataFrame:
-    return protocol.with_step(frames(s, d, "action_raw", *cols).filter("action_raw is not null"))
+    return protocol.with_step(frames(s, d, "action_raw", *cols, where="action_raw is not null"))
 
 
 def resolve(citations: DataFrame, clauses: DataFrame, column: str) -> DataFrame:

@@ -150,7 +150,7 @@ _RISK = FRAMES + ", g AS (SELECT stream_id, count(risk) AS n, avg(CAST(risk > 0
     with_(_RISK) + " SELECT stream_id, n, round(least(1.0, m + sqrt(ln(10) / (2 * n))), 6) AS hoeffding, round(CASE WHEN n < 2 THEN 1.0 ELSE least(1.0, m + sqrt(2 * v * ln(20) / n) + 7 * ln(20) / (3 * (n - 1))) END, 6) AS bernstein FROM g",
 )
 def risk_bounds(s: SparkSession, d: str) -> DataFrame:
-    f = frames(s, d, "risk").filter("risk is not null").withColumn("x", (F.col("risk") > 0).cast("double"))
+    f = frames(s, d, "risk", where="risk is not null").withColumn("x", (F.col("risk") > 0).cast("double"))
     g = f.groupBy("stream_id").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("v"))
     n = F.col("n")
     return g.select("stream_id", "n", R6(bounds.hoeffding_ucb(F.col("m"), n, 0.1)).alias("hoeffding"), R6(bounds.bernstein_ucb(F.col("m"), F.col("v"), n, 0.1)).alias("bernstein"))
@@ -170,7 +170,7 @@ def ecrc(s: SparkSession, d: str) -> DataFrame:
 )
 def abstention_floor(s: SparkSession, d: str) -> DataFrame:
     """Least share that must abstain to reach a risk of .05, and what one audited miss costs in items (rows A18 and A19)."""
-    g = frames(s, d, "risk").filter("risk is not null").groupBy("stream_id").agg(F.avg((F.col("risk") > 0).cast("double")).alias("m"))
+    g = frames(s, d, "risk", where="risk is not null").groupBy("stream_id").agg(F.avg((F.col("risk") > 0).cast("double")).alias("m"))
     m = F.col("m")
     return g.select("stream_id", R6(F.greatest(F.lit(0.0), (m - 0.05) / (1 - 0.05))).alias("floor"), (m <= 0.05).alias("certifiable"), R6(F.when(m > 0, 1 / (0.01 * m))).alias("audit_items_per_miss"))
 

@@ -171,7 +171,7 @@ _U = "least(1.0, 0.4 * exp(-power(score, 2)) + 0.6 * coalesce(ood, 0.0))"
 )
 def llr_uncertainty(s: SparkSession, d: str) -> DataFrame:
     """Likelihood ratio (P13), boundary and combined uncertainty (P14, P15), value of asking (P16), sigmoid (P18)."""
-    f = frames(s, d, "score", "ood").filter("score is not null")
+    f = frames(s, d, "score", "ood", where="score is not null")
     b, u = scores.boundary_uncertainty(F.col("score")), scores.uncertainty(F.col("score"), F.col("ood"))
     return f.select("stream_id", "tick", R6(scores.llr(F.col("score"))).alias("llr"), R6(b).alias("boundary"), R6(u).alias("uncertainty"), R6(scores.voi(u, b)).alias("voi"), R6(vectors.sigmoid(F.col("score"))).alias("p"))
 
@@ -181,7 +181,7 @@ _ROUTE = f"""WITH {FRAMES}, x AS (SELECT *, exp(-power(score, 2)) AS b, {_U} AS
 
 
 def routed(s: SparkSession, d: str) -> DataFrame:
-    f = frames(s, d, "score", "ood", "t_s").filter("score is not null")
+    f = frames(s, d, "score", "ood", "t_s", where="score is not null")
     return f.withColumn("forced", u01("rho", F.col("stream_id"), F.col("tick")) < 0.02).withColumn("route", scores.route(F.col("score"), F.col("ood"), F.col("forced"), F.lit(False)))
 
 
@@ -195,20 +195,20 @@ def competence_route(s: SparkSession, d: str) -> DataFrame:
     with_(FRAMES) + f", j AS (SELECT stream_id, tick, {json_text('action_raw')} AS js FROM fr WHERE action_raw IS NOT NULL) SELECT stream_id, tick, js AS json_text, coalesce(json_valid(js), false) AS ok FROM j",
 )
 def json_extraction(s: SparkSession, d: str) -> DataFrame:
-    f = frames(s, d, "action_raw").filter("action_raw is not null").withColumn("json_text", protocol.json_text(F.col("action_raw")))
+    f = frames(s, d, "action_raw", where="action_raw is not null").withColumn("json_text", protocol.json_text(F.col("action_raw")))
     return f.select("stream_id", "tick", "json_text", protocol.parsed(F.col("json_text")).isNotNull().alias("ok"))
 
 
 @core.query("proj20_parse_step", with_(STEPS) + " SELECT stream_id, tick, action, category, citation AS policy_citation, confidence, suggested AS suggested_category FROM st")
 def parse_step(s: SparkSession, d: str) -> DataFrame:
     """Lenient parse (P20) with normalised citations (P21) and the validity rule (P23)."""
-    f = protocol.with_step(frames(s, d, "action_raw").filter("action_raw is not null"))
+    f = protocol.with_step(frames(s, d, "action_raw", where="action_raw is not null"))
     return f.select("stream_id", "tick", *[f"s.{c}" for c in ("action", "category", "policy_citation", "confidence", "suggested_category")])
 
 
 @core.query("proj22_strict_parse", with_(FRAMES) + " SELECT stream_id, tick, CASE WHEN json_valid(action_raw) AND trim(action_raw)[1] = '{' AND json_extract_string(action_raw, '$.action') IN ('hold', 'flag', 'clear', 'uncovered') THEN json_extract_string(action_raw, '$.action') END AS action FROM fr WHERE action_raw IS NOT NULL")
 def strict_parse(s: SparkSession, d: str) -> DataFrame:
-    f = frames(s, d, "action_raw").filter("action_raw is not null")
+    f = frames(s, d, "action_raw", where="action_raw is not null")
     return f.select("stream_id", "tick", protocol.strict_action(F.col("action_raw")).alias("action"))
 
 
@@ -282,7 +282,7 @@ def needle_coverage(s: SparkSession, d: str) -> DataFrame:
 @core.query("proj33_target_json", with_(STEPS) + " SELECT stream_id, tick, '{\"action\":\"flag\",\"category\":\"' || category || '\",\"policy_citation\":\"SW-' || category || '\"}' AS target FROM st WHERE action = 'flag'")
 def target_json(s: SparkSession, d: str) -> DataFrame:
     """What a window is trained to answer (P33), cited by its category (P34)."""
-    f = protocol.with_step(frames(s, d, "action_raw").filter("action_raw is not null")).filter("s.action = 'flag'")
+    f = protocol.with_step(frames(s, d, "action_raw", where="action_raw is not null")).filter("s.action = 'flag'")
     return f.select("stream_id", "tick", F.to_json(F.struct(F.lit("flag").alias("action"), F.col("s.category").alias("category"), F.concat(F.lit("SW-"), F.col("s.category")).alias("policy_citation"))).alias("target"))
 
 

@@ -20,7 +20,7 @@ _LIND = FRAMES + ", x AS (SELECT *, score - 0.6 AS x FROM fr WHERE score IS NOT
 
 
 def lindley(s: SparkSession, d: str) -> DataFrame:
-    f = frames(s, d, "score", "t_s", "nu_s").filter("score is not null").withColumn("x", scores.llr(F.col("score")) - 0.1)
+    f = frames(s, d, "score", "t_s", "nu_s", where="score is not null").withColumn("x", scores.llr(F.col("score")) - 0.1)
     return reflected_sum(f, ["stream_id"], "tick", "x")
 
 
@@ -35,7 +35,7 @@ _RESET = f"""WITH RECURSIVE {FRAMES}, o AS (SELECT stream_id, tick, t_s, nu_s, s
 
 
 def cusum_reset(s: SparkSession, d: str) -> DataFrame:
-    f = frames(s, d, "score", "t_s", "nu_s").filter("score is not null")
+    f = frames(s, d, "score", "t_s", "nu_s", where="score is not null")
     return fold(f, ["stream_id"], ["tick", "t_s", "nu_s"], steps.Cusum(), ["score"], "stat_before_reset double, stat double, alarm boolean")
 
 
@@ -163,7 +163,7 @@ _ACI = FRAMES + ", l AS (SELECT stream_id, list(CAST(err AS DOUBLE) ORDER BY tic
 @core.query("stream12_aci", with_(_ACI) + " SELECT stream_id, t AS n_feedback, CAST(list_sum(es) AS BIGINT) AS n_errors, round(alpha, 6) AS alpha_t FROM r")
 def aci(s: SparkSession, d: str) -> DataFrame:
     """Adaptive level after each stream's feedback; ticks without feedback don't move it (row T12)."""
-    f = fold(frames(s, d, "err").filter("err is not null"), ["stream_id"], ["tick"], steps.Aci(gamma=0.02), ["err"], "alpha double")
+    f = fold(frames(s, d, "err", where="err is not null"), ["stream_id"], ["tick"], steps.Aci(gamma=0.02), ["err"], "alpha double")
     f = f.join(frames(s, d, "err"), ["stream_id", "tick"])
     return f.groupBy("stream_id").agg(F.count("*").alias("n_feedback"), F.sum(F.col("err").cast("bigint")).alias("n_errors"), R6(F.max_by("alpha", "tick")).alias("alpha_t"))
 
@@ -173,7 +173,7 @@ def aci(s: SparkSession, d: str) -> DataFrame:
     with_(FRAMES) + ", g AS (SELECT stream_id, count(err) AS n, avg(CAST(err AS DOUBLE)) AS e FROM fr GROUP BY stream_id HAVING count(err) > 0) SELECT stream_id, n, round(e, 6) AS empirical_error, round(e - 0.05, 6) AS coverage_gap, round((0.05 + 1 / 0.02) / n, 6) AS gap_bound FROM g",
 )
 def aci_observables(s: SparkSession, d: str) -> DataFrame:
-    g = frames(s, d, "err").filter("err is not null").groupBy("stream_id").agg(F.count("*").alias("n"), F.avg(F.col("err").cast("double")).alias("e"))
+    g = frames(s, d, "err", where="err is not null").groupBy("stream_id").agg(F.count("*").alias("n"), F.avg(F.col("err").cast("double")).alias("e"))
     return g.select("stream_id", "n", R6("e").alias("empirical_error"), R6(F.col("e") - 0.05).alias("coverage_gap"), R6((0.05 + 1 / 0.02) / F.col("n")).alias("gap_bound"))
 
 
@@ -185,7 +185,7 @@ def aci_observables(s: SparkSession, d: str) -> DataFrame:
 )
 def dtaci(s: SparkSession, d: str) -> DataFrame:
     """Four experts with different rates, mixed by their loss over the last 200 feedbacks."""
-    f = frames(s, d, "err").filter("err is not null")
+    f = frames(s, d, "err", where="err is not null")
     out = None
     for gamma in (0.005, 0.02, 0.08, 0.32):
         a = fold(f, ["stream_id"], ["tick"], steps.Aci(gamma=gamma), ["err"], "alpha double").groupBy("stream_id").agg(F.max_by("alpha", "tick").alias("alpha"))
@@ -200,7 +200,7 @@ def dtaci(s: SparkSession, d: str) -> DataFrame:
 def anytime_monitor(s: SparkSession, d: str) -> DataFrame:
     """One bet per stream and threshold over the samples below it; the largest certified threshold and the share not emitted
     (rows T16 and T17)."""
-    f = frames(s, d, "score", "risk").filter("risk is not null and score is not null")
+    f = frames(s, d, "score", "risk", where="risk is not null and score is not null")
     taus = [-1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5]
     x = f.withColumn("tau", F.explode(F.array(*map(F.lit, taus)))).filter("score < tau")
     m = fold(x, ["stream_id", "tau"], ["tick"], steps.Monitor(alpha=0.2), ["risk"], "wealth double, certified boolean")
@@ -224,7 +224,7 @@ def context_buffer(s: SparkSession, d: str) -> DataFrame:
 )
 def policy_cache_hits(s: SparkSession, d: str) -> DataFrame:
     """A header is reused where its key equals the one before."""
-    f = protocol.with_step(frames(s, d, "action_raw").filter("action_raw is not null")).filter("s.action = 'flag'").select("stream_id", "tick", F.col("s.policy_citation").alias("c"))
+    f = protocol.with_step(frames(s, d, "action_raw", where="action_raw is not null")).filter("s.action = 'flag'").select("stream_id", "tick", F.col("s.policy_citation").alias("c"))
     f = f.withColumn("p", F.lag("c").over(Window.partitionBy("stream_id").orderBy("tick")))
     return f.groupBy("stream_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("c") == F.col("p"), 1)).alias("n_hits"))
 
@@ -239,7 +239,7 @@ _SESS = (
 @core.query("stream23_event_sessions", with_(_SESS) + " SELECT stream_id, tick, coalesce(is_open, false) AS is_open, CAST(k AS BIGINT) AS event_idx FROM se")
 def event_sessions(s: SparkSession, d: str) -> DataFrame:
     """flag opens an event, clear closes it (rows T21 and T23), without a fold: the last of the two actions decides."""
-    f = protocol.with_step(frames(s, d, "action_raw").filter("action_raw is not null")).select("stream_id", "tick", F.col("s.action").alias("a"))
+    f = protocol.with_step(frames(s, d, "action_raw", where="action_raw is not null")).select("stream_id", "tick", F.col("s.action").alias("a"))
     turn = F.when(F.col("a").isin("flag", "clear"), F.col("a"))
     f = carry_last(f, ["stream_id"], "tick", turn, "last_a")
     f = f.withColumn("prev", F.lag("last_a").over(Window.partitionBy("stream_id").orderBy("tick")))
@@ -273,7 +273,7 @@ def stream_result(s: SparkSession, d: str) -> DataFrame:
     with_(FRAMES) + " SELECT stream_id, count(*) AS n, round(quantile_cont(score, 0.95), 6) AS tau, round(greatest(stddev_pop(score), 1e-3), 6) AS margin FROM fr WHERE score IS NOT NULL AND (nu_s IS NULL OR t_s < nu_s) GROUP BY stream_id HAVING count(*) >= 10",
 )
 def router_calibration(s: SparkSession, d: str) -> DataFrame:
-    f = frames(s, d, "score", "t_s", "nu_s").filter("score is not null and (nu_s is null or t_s < nu_s)")
+    f = frames(s, d, "score", "t_s", "nu_s", where="score is not null and (nu_s is null or t_s < nu_s)")
     g = f.groupBy("stream_id").agg(F.count("*").alias("n"), F.percentile("score", 0.95).alias("tau"), F.stddev_pop("score").alias("sd")).filter("n >= 10")
     return g.select("stream_id", "n", R6("tau").alias("tau"), R6(F.greatest("sd", F.lit(1e-3))).alias("margin"))
 
@@ -352,7 +352,7 @@ def structured_cusum(s: SparkSession, d: str) -> DataFrame:
     from tideline.streaming.processors import run_available, stateful
     from tideline.session import shared_dir
 
-    f = frames(s, d, "score").filter("score is not null")
+    f = frames(s, d, "score", where="score is not null")
     base = f"{shared_dir(s)}/tideline/stream-{uuid.uuid4().hex}"
     f.write.parquet(f"{base}/in")
     stream = s.readStream.schema(f.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")

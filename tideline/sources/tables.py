@@ -12,9 +12,11 @@ from tideline.session import table
 ALL_POOLS = ("exemplar", "compile", "calibration", "eval")
 
 
-def frames(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """One row per (stream_id, tick); ``columns`` of the rest, so the scan reads no more."""
+def frames(spark: SparkSession, d: str, *columns: str, where: str | None = None) -> DataFrame:
+    """One row per (stream_id, tick); ``columns`` of the rest, so the scan reads no more. ``where`` is applied before the repeated
+    rows meet, and so reaches the scan; it must hold for all deliveries of a row alike."""
     f = table(spark, d, "frames")
+    f = f.filter(where) if where else f
     return f.select("stream_id", "tick", *columns).dropDuplicates(["stream_id", "tick"])
 
 
