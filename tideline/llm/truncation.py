@@ -3,8 +3,8 @@
 Self-join by prefix, on two levels.
 
 * Copies: the value is a strict prefix of a longer value of the same field elsewhere. Prefixes of fixed lengths are hashed;
-  a value is looked up by its longest such prefix, then compared in full. The shared part must hold ``SLOTS`` numbers or rare
-  words, else unrelated values that open alike would count.
+  a value is looked up by its longest such prefix, then compared in full. The shared part must hold ``DIGITS``
+  digits, else unrelated values that open alike would count.
 * Phrases: values are written after patterns, so the end of a cut value is a strict prefix of longer phrases elsewhere. The
   last phrase of a value (the whole title, the last sentence of a description) is turned into words, with numbers and rare
   words as blanks. All phrases of the table give, for each run of words, what follows it and how often; the prefixes are
@@ -36,7 +36,7 @@ from tideline.session import cut_lineage
 FIELDS = ("title", "description")
 WORDS = 10_000
 COMMON = 60
-SLOTS = 3
+DIGITS = 6
 #: Fixed prefix lengths, in characters, by which copies are looked up.
 LENGTHS = (16, 32, 64, 128, 256, 512, 1024, 4096, 16384)
 #: Least number of other phrases from which a decision is made, and the share of them that may end where a cut one does: whole
@@ -167,13 +167,14 @@ def _known(units: DataFrame) -> tuple[dict[str, frozenset[str]], dict[str, froze
     return known, common
 
 
-def truncated_copies(values: DataFrame, slots: int = SLOTS) -> DataFrame:
+def truncated_copies(values: DataFrame, digits: int = DIGITS) -> DataFrame:
     """id, field of values that are strict prefixes of longer ones elsewhere."""
-    core = F.regexp_replace("value", r"\s*(?:…|\.\.\.|\x{FFFD}+)\s*$", "")
+    ends = F.substring("value", -1, 1).isin("…", ".", "\ufffd", " ")
+    core = F.when(ends, F.regexp_replace("value", r"\s*(?:…|\.\.\.|\x{FFFD}+)\s*$", "")).otherwise(F.col("value"))
     v = values.select("id", "field", core.alias("core"), "value")
     lens = F.array(*map(F.lit, LENGTHS))
-    numbers = F.size(F.regexp_extract_all("core", F.lit(r"(\d+(?:[.,:]\d+)*)"), F.lit(1)))
-    short = v.filter((F.length("core") >= LENGTHS[0]) & (numbers >= slots)).withColumn("ln", F.array_max(F.filter(lens, lambda x: x <= F.length("core"))))
+    numbers = F.length("core") - F.length(F.translate("core", "0123456789", ""))
+    short = v.filter((F.length("core") >= LENGTHS[0]) & (numbers >= digits)).withColumn("ln", F.array_max(F.filter(lens, lambda x: x <= F.length("core"))))
     short = short.withColumn("key", F.xxhash64("field", F.substring("core", F.lit(1), F.col("ln"))))
     full = v.select("field", "value").distinct().withColumn("ln", F.explode(F.filter(lens, lambda x: x < F.length("value"))))
     full = full.withColumn("key", F.xxhash64("field", F.substring("value", F.lit(1), F.col("ln")))).select("key", F.col("field").alias("f2"), F.col("ln").alias("ln2"), F.col("value").alias("whole"))
@@ -197,6 +198,8 @@ def truncated(clips: DataFrame) -> DataFrame:
     seen = follow.join(keys, "key", "left_semi")
     # What follows a run of words, in one row per run; slots and words together are bounded by the list of known words.
     seen = seen.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("nxt") == "$", F.col("n")).otherwise(0)).alias("ends"), F.map_from_entries(F.collect_list(F.struct("nxt", "n"))).alias("nexts"))
+    # Both halves of the join below read it.
+    seen = cut_lineage(seen)
     ans = join_unique(asked, seen, "key", "left").withColumn("all", F.coalesce("all", F.lit(0)))
     longer = F.aggregate(F.map_entries("nexts"), F.lit(0).cast("bigint"), lambda a, e: a + F.when(e["key"].startswith(F.col("raw")) & (e["key"] != F.col("raw")) & (F.length(e["key"]) > 1), e["value"]).otherwise(0))
     same = F.coalesce(F.element_at("nexts", F.col("own")), F.lit(0))
