@@ -176,8 +176,13 @@ def truncated_copies(values: DataFrame, digits: int = DIGITS) -> DataFrame:
     numbers = F.length("core") - F.length(F.translate("core", "0123456789", ""))
     short = v.filter((F.length("core") >= LENGTHS[0]) & (numbers >= digits)).withColumn("ln", F.array_max(F.filter(lens, lambda x: x <= F.length("core"))))
     short = short.withColumn("key", F.xxhash64("field", F.substring("core", F.lit(1), F.col("ln"))))
-    full = v.select("field", "value").distinct().withColumn("ln", F.explode(F.filter(lens, lambda x: x < F.length("value"))))
+    full = v.select("field", "value").withColumn("ln", F.explode(F.filter(lens, lambda x: x < F.length("value"))))
     full = full.withColumn("key", F.xxhash64("field", F.substring("value", F.lit(1), F.col("ln")))).select("key", F.col("field").alias("f2"), F.col("ln").alias("ln2"), F.col("value").alias("whole"))
+    # Hashes and lengths meet first; texts follow for those prefixes only that a longer value has too.
+    longest = full.groupBy("key").agg(F.max(F.length("whole")).alias("most"))
+    both = short.select("key", F.length("core").alias("len")).join(longest, "key").filter(F.col("most") > F.col("len") + 1).select("key").distinct()
+    both = cut_lineage(both)
+    short, full = short.join(both, "key", "left_semi"), full.join(both, "key", "left_semi")
     longer = (F.col("field") == F.col("f2")) & (F.col("ln") == F.col("ln2")) & (F.length("whole") > F.length("core") + 1) & F.col("whole").startswith(F.col("core")) & ~F.col("whole").rlike(r"(?:…|\.\.\.)\s*$")
     return short.join(full, (short["key"] == full["key"]) & longer, "left_semi").select("id", "field").distinct()
 
