@@ -6,7 +6,7 @@ ones the most probable (of equally probable ones, to a tenth, the longest). Reda
 
 Labels for the fit come from what the formats guarantee in public (:func:`label`): top-level domains and number ranges
 that nobody can hold, against the same shapes after words that name something else (orders, tickets, rolls). The trees do not
-see those ranges as such; they see lengths, groups, signs, shapes and how the words around were labelled in the sample. The fit takes
+see those ranges as such; they see lengths, groups, signs, shapes and how the words around were labelled in the sample. The fit of the trees takes
 at most ``SAMPLE`` documents, those with the smallest hashes; everything else reads all documents and whole texts.
 
 Null and blank texts hold nothing; rows with a null id are dropped; repeated texts are reported under each id. An empty table
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 #: Most documents to which the models are fitted, all their characters, and those of one of them (longer ones are not sampled).
 SAMPLE, SAMPLE_CHARS, SAMPLE_TEXT = 1500, 4_000_000, 100_000
 
-# Given names; a parameter of `fit`, which adds those it finds after titles and labels in its sample.
+# Given names; a parameter of `fit`, which adds those it counts after titles and labels in all documents.
 GIVEN_NAMES = (
     "Anouk", "Anselm", "Åsa", "Bruna", "Celia", "Davor", "Elske", "Emeka", "Farida", "Greta", "Henrik", "Ilvar", "Ivo", "Jorun", "Jörun", "Kasper",
     "Kirra", "Lennart", "Liv", "Mara", "Marek", "Milos", "Nadine", "Noor", "Odile", "Oskel", "Petra", "Rasmus", "Ruvan", "Salome", "Sanne", "Stellan",
@@ -71,7 +71,11 @@ _UP = "A-ZÀ-ÖØ-Þ"
 _OTHER_NAMES = re.compile(
     rf"(?<!\w)(?:((?<!\.)[{_UP}]\.{_S}[{_UP}][^\W\d_]+(?:-[{_UP}][^\W\d_]+)?(?![\w@]))|[{_UP}]{{3,}}(?:-[{_UP}]{{2,}})?,{_S}[{_UP}][^\W\d_]+(?!\w))"
 )
-_CUES = re.compile(rf"(?:\b(?:Mr|Ms|Mrs|Miss|Dr|Prof|Herr|Frau|Sr|Sra)\.?{_S}|\b(?:Name|Reporter|Witness|Firmado|Unterschrift|Signed|Contact):?{_S}|\b(?:[Cc]all|sent by|[Ee]scalated by|Gemeldet von|Avisó|Paquete para|geht an){_S})([{_UP}][^\W\d_]{{1,14}}){_S}(?:[{_UP}]\.{_S})?[{_UP}][^\W\d_]{{2,}}")
+_CUE = rf"(?:\b(?:Mr|Ms|Mrs|Miss|Dr|Prof|Herr|Frau|Sr|Sra)\.?{_S}|\b(?:Name|Reporter|Witness|Firmado|Unterschrift|Signed|Contact):?{_S}|\b(?:[Cc]all|sent by|[Ee]scalated by|Gemeldet von|Avisó|Paquete para|geht an){_S})"
+_CUES = re.compile(rf"{_CUE}([{_UP}][^\W\d_]{{1,14}}){_S}(?:[{_UP}]\.{_S})?([{_UP}][^\W\d_]{{2,}})")
+_LED = re.compile(rf"{_CUE}$")
+#: Any two words in title case or capitals, perhaps with an initial between; matches may overlap.
+_PAIR = re.compile(rf"[{_UP}](?<![\w@.\-+/].)(?=([^\W\d_]+(?:-[{_UP}][^\W\d_]+)?(?:{_S}[{_UP}]\.)?{_S}[{_UP}][^\W\d_]{{2,}}(?:-[^\W\d_]{{3,}})?)(?![\w@＠]|[._+][\w]))")
 
 
 def names_regex(given: tuple[str, ...]) -> re.Pattern:
@@ -106,17 +110,25 @@ def spans(text: str, names: re.Pattern) -> list[tuple[str, int, int, int]]:
             for m in rx.finditer(text):
                 rest = _REST.match(text, m.end())
                 out.append(("address", m.start(), rest.end() if rest else m.end(), k))
-    out += [("name", *m.span(), 0) for m in names.finditer(text)]
+    known = {m.span() for m in names.finditer(text)}
+    out += [("name", *m, 0) for m in sorted(known)]
+    out += [("name", m.start(), m.end(1), 3) for m in _PAIR.finditer(text) if (m.start(), m.end(1)) not in known]
     out += [("name", *m.span(), 1 if m[1] else 2) for m in _OTHER_NAMES.finditer(text)]
     return out
 
 
+_LOWER = re.compile(r"\b[a-zà-öø-ÿ]{4,}\b")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _SHAPE = (re.compile(r"\d"), re.compile(r"[a-zà-öø-ÿ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"))
 #: The last so many characters before and the first so many after a span are its context.
 CONTEXT = 40
 
 
+def _led(text: str, a: int) -> bool:
+    """Whether a title or label that names go with stands right before."""
+    return bool(_LED.search(text, max(0, a - 24), a))
+
+
 def describe(text: str, kind: str, a: int, b: int, gen: int, given: frozenset[str]) -> tuple[tuple[str, ...], list[float]]:
     """Keys that are scored by how they were labelled in the sample, and plain numbers."""
     s = text[a:b]
@@ -138,7 +150,7 @@ def describe(text: str, kind: str, a: int, b: int, gen: int, given: frozenset[st
         "e" + (last[-3:] if kind in ("name", "email") else tail[-1][-3:].lower() if kind == "address" else s[:1]),
     )
     groups = re.findall(r"\d+", s)
-    nums = [b - a, digits, len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, s.count("A") + sum(c.isupper() for c in s), s[0] == "+", "(" in s, "@" in s or "＠" in s, gen, len(tail), s.count("."), kind == "name" and (tail[-1] if gen == 2 else tail[0]).lower() in given]
+    nums = [b - a, digits, len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, s.count("A") + sum(c.isupper() for c in s), s[0] == "+", "(" in s, "@" in s or "＠" in s, gen, len(tail), s.count("."), kind == "name" and (tail[-1] if gen == 2 else tail[0]).lower() in given, kind == "name" and _led(text, a)]
     return keys, [float(x) for x in nums]
 
 
@@ -164,14 +176,53 @@ def label(text: str, kind: str, a: int, b: int, gen: int, family: frozenset[str]
     fam = words[0] if gen == 2 else words[-1]
     if gen == 2 and words[-1].lower() not in given:
         return False
+    if gen == 3:
+        first = words[0].lower()
+        if _PLACES.search(first) or first in family or fam.lower() in family or not (first in given or _led(text, a)):
+            return False
     return (gen != 1 or fam.lower()[-3:] in family) and not _PLACES.search(fam) and fam not in family
 
 
+_OTHERS = re.compile(r"(?:batch|order|ticket|roll|version|build|frames)\W*$", re.I)
+
+
+def plausible(text: str, kind: str, a: int) -> bool:
+    """The rule for a kind of which the sample holds no candidate: its format, unless the word before names something else."""
+    return kind in ("email", "address") or kind == "phone" and not _OTHERS.search(text[max(0, a - 24) : a])
+
+
+def cue_counts(texts: list[str]) -> dict[str, int]:
+    """g + given name: how often it follows a title or label; t: how often any does; c + word: documents with the lower-case word."""
+    n: dict[str, int] = defaultdict(int)
+    for t in texts:
+        for m in _CUES.finditer(t):
+            if not _PLACES.search(m[2]):
+                n["g" + m[1].title()] += 1
+                n["t"] += 1
+        for w in set(_LOWER.findall(t)):
+            n["c" + w] += 1
+    return n
+
+
+def end_counts(texts: list[str], names: re.Pattern) -> dict[str, int]:
+    """Endings of the family names that follow given names."""
+    n: dict[str, int] = defaultdict(int)
+    for t in texts:
+        for m in names.finditer(t):
+            n["e" + re.split(r"[\s,.]+", m.group())[-1].lower()[-3:]] += 1
+    return n
+
+
 class Detector:
     """Fitted models; plain values only, so it is small to send."""
 
     def __init__(self, given: tuple[str, ...] = GIVEN_NAMES) -> None:
         self.given = tuple(given)
+        #: In lower case: all given names (those counted after cues three times or more too), what is no family name.
+        self.known: frozenset[str] = frozenset(x.lower() for x in given)
+        self.family: frozenset[str] = frozenset()
+        #: Kinds that had a candidate in the sample.
+        self.seen: frozenset[str] = frozenset()
         self.odds: dict[str, dict[str, float]] = {}
         self.trees: dict[str, Trees] = {}
         self._names: re.Pattern | None = None
@@ -185,33 +236,30 @@ class Detector:
             self._names = names_regex(self.given)
         return self._names
 
-    def fit(self, texts: list[str]) -> "Detector":
-        found: dict[str, int] = defaultdict(int)
-        for t in texts:
-            for m in _CUES.finditer(t):
-                found[m[1].title()] += 1
-        # A new given name stands in at least one in 2000 of the sample's cues, and not once only.
-        bar = max(3, sum(found.values()) // 2000)
-        self.given = tuple(dict.fromkeys([*self.given, *sorted(n for n, c in found.items() if c >= bar)]))
+    def fit(self, texts: list[str], count: Callable | None = None, n: int | None = None) -> "Detector":
+        """``count(f, least)`` sums f over all ``n`` documents and keeps counts of at least least[first letter]; without it the
+        texts are all there is."""
+        n = len(texts) if n is None else n
+        count = count or (lambda f, least: {k: c for k, c in f(texts).items() if c >= least[k[0]]})
+        # Lower-case words of more than a hundredth of the documents are no family names (they are longer than three letters).
+        first = count(cue_counts, {"g": 3, "t": 0, "c": n // 100 + 1})
+        found = {k[1:]: c for k, c in first.items() if k[0] == "g"}
+        # The expression takes given names of at least one in 2000 cues; others stand in `known` and are met as pairs of words.
+        bar = max(3, first.get("t", 0) // 2000)
+        self.given = tuple(dict.fromkeys([*self.given, *sorted(x for x, c in found.items() if c >= bar)]))
         self._names = None
-        ends: dict[str, int] = defaultdict(int)
-        for t in texts:
-            for m in self.names.finditer(t):
-                fam = re.split(r"[\s,.]+", m.group())[-1].lower()
-                ends[fam[-3:]] += 1
-        # Endings of family names, and lower-case words of the sample, which are none (they are longer than three letters).
-        common: dict[str, int] = defaultdict(int)
-        for t in texts:
-            for w in set(re.findall(r"\b[a-zà-öø-ÿ]{4,}\b", t)):
-                common[w] += 1
-        family = frozenset(e for e, c in ends.items() if c >= 2) | frozenset(w for w, c in common.items() if c > len(texts) / 100)
+        names = self.names
+        ends = count(lambda t: end_counts(t, names), {"e": 2})
+        self.family = family = frozenset(k[1:] for k in (*ends, *first) if k[0] in "ec")
+        self.known = low = frozenset(x.lower() for x in (*self.given, *found))
         rows: dict[str, list] = {k: [] for k in KINDS}
-        low = frozenset(x.lower() for x in self.given)
-        for n, t in enumerate(texts):
+        for k, t in enumerate(texts):
             for kind, a, b, gen in spans(t, self.names):
-                rows[kind].append((*describe(t, kind, a, b, gen, low), label(t, kind, a, b, gen, family, low), n % 3))
+                rows[kind].append((*describe(t, kind, a, b, gen, low), label(t, kind, a, b, gen, family, low), k % 3))
+        self.seen = frozenset(kind for kind, r in rows.items() if r)
         for kind, r in rows.items():
-            if not r:
+            # Nothing can be learnt of a kind without a mention in the sample; `find` has a rule for it.
+            if not any(x[2] for x in r):
                 continue
             y = np.array([x[2] for x in r], float)
             fold = np.array([x[3] for x in r])
@@ -240,13 +288,16 @@ class Detector:
     def find(self, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
         """Per text the mentions (kind, start, end, probability) in order, none overlapping."""
         cand: dict[str, list] = {k: [] for k in KINDS}
-        low = frozenset(x.lower() for x in self.given)
+        keep: list[list] = [[] for _ in texts]
         for n, t in enumerate(texts):
             if t:
                 for kind, a, b, gen in spans(t, self.names):
                     if kind in self.trees:
-                        cand[kind].append((n, a, b, *describe(t, kind, a, b, gen, low)))
-        keep: list[list] = [[] for _ in texts]
+                        cand[kind].append((n, a, b, *describe(t, kind, a, b, gen, self.known)))
+                    elif label(t, kind, a, b, gen, self.family, self.known):
+                        keep[n].append((kind, a, b, 1.0))
+                    elif kind not in self.seen and plausible(t, kind, a):
+                        keep[n].append((kind, a, b, 0.5))
         for kind, c in cand.items():
             if c:
                 odds = self.odds[kind]
@@ -264,8 +315,31 @@ class Detector:
         return out
 
 
+def _counted(documents: DataFrame) -> Callable:
+    """``count`` of :meth:`Detector.fit` over a table: sums of tasks, then of keys; only counts that are large enough reach the driver."""
+
+    def count(f: Callable, least: dict[str, float]) -> dict[str, int]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[str, int] = defaultdict(int)
+            out = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["k", "n"])
+            for b in batches:
+                for at in range(0, b.num_rows, 2000):
+                    for k, c in f(b.column("text").slice(at, 2000).to_pylist()).items():
+                        total[k] += c
+                    if len(total) > 200_000:
+                        yield out()
+                        total.clear()
+            yield out()
+
+        rows = documents.select("text").mapInArrow(run, "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+        bar = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])
+        return {r.k: r.n for r in rows.filter(F.col("n") >= bar[F.substring("k", 1, 1)]).collect()}
+
+    return count
+
+
 def fit(documents: DataFrame, most: int = SAMPLE, given: tuple[str, ...] = GIVEN_NAMES) -> Detector:
-    """Models from the ``most`` documents with the smallest hashes."""
+    """Trees from the ``most`` documents with the smallest hashes; counts of given names, endings and common words from all."""
     d = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_TEXT))
     h = F.xxhash64(F.lit(29), "doc_id")
     n = d.count()
@@ -278,7 +352,8 @@ def fit(documents: DataFrame, most: int = SAMPLE, given: tuple[str, ...] = GIVEN
         if used > SAMPLE_CHARS:
             break
         texts.append(r.text)
-    return Detector(given).fit(texts)
+    whole = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    return Detector(given).fit(texts, _counted(whole), whole.count())
 
 
 def _mentions(broadcast):
