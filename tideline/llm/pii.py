@@ -53,14 +53,13 @@ _DOTS = r"(?:\.|" + _S + r"\." + _S + r"|" + _S + r"?[\[({]" + _S + r"?(?:dot|DO
 _HOST = r"(?:" + _LABEL + r"(?:" + _DOTS + _LABEL + r"){0,4}?" + _DOTS + r"[A-Za-z]{2,12})(?![A-Za-z0-9]|-[A-Za-z0-9])(?!" + _DOTS + r"[A-Za-z]{2,12}(?![A-Za-z0-9]))"
 _DOMAIN = re.compile(_SIGN + _HOST)
 _SAID = re.compile(_S + r"(?:at|AT)" + _S + _HOST)
-#: A said "at" is looked into where a dot is said too, or where a host name follows it.
-_SAID_HOST = re.compile(r" at [A-Za-z0-9\-]+\.[A-Za-z]{2}|[\u00a0\u2009\u202f](?:at|AT)[\u00a0\u2009\u202f]| AT [A-Za-z0-9\-]+\.[A-Za-z]{2}")
+#: What every match of _DOMAIN holds.
+_AT = re.compile(r"[@＠]|[\[({]" + _S + r"?(?:at|AT)")
 _LOCAL = re.compile(r"(?<![\w.+%\-])[\w](?:[\w.+%\-]*[\w])?(?:" + _S + r"(?:dot|DOT|underscore|UNDERSCORE|dash|plus)" + _S + r"[\w](?:[\w.+%\-]*[\w])?){0,4}$")
-_ENGLISH = re.compile(rf"(?<![\w:.,\-/‑])\d{{1,4}}[A-Za-z]?(?:{_S}?[\-–]{_S}?\d{{1,4}}[A-Za-z]?)?{_S}(?:[^\W\d_][\w'’\-]*{_S}){{1,3}}?(?:{STREETS})\b\.?", re.I)
+_ENGLISH = re.compile(rf"\d(?<![\w:.,\-/‑].)\d{{0,3}}[A-Za-z]?(?:{_S}?[\-–]{_S}?\d{{1,4}}[A-Za-z]?)?{_S}(?:[^\W\d_][\w'’\-]*{_S}){{1,3}}?(?:{STREETS})\b\.?", re.I)
 _GERMAN = re.compile(rf"(?<!\w)(?:[A-ZÄÖÜ][\w\-]*?(?:{_STRASSEN})|[A-ZÄÖÜ][\w\-]+[ \-](?:Straße|Weg|Allee|Platz)){_S}\d{{1,4}}{_S}?(?:[a-z](?!\w))?(?!\d)")
 _SPANISH = re.compile(rf"(?<!\w)(?:{_CALLES}){_S}(?:(?:de|del|de la){_S})?[^\W\d_][\w\-]*(?:{_S}[A-Z][\w\-]*){{0,2}},?{_S}(?:n\.?{_S}?[º°o]\.?{_S}?)?\d{{1,4}}(?!\d)")
 #: Parts of which a text must hold one before the expression is tried.
-_GERMAN_WORDS = ("straße ", "strasse ", "str. ", "weg ", "allee ", "gasse ", "platz ", "ring ", "damm ", "ufer ", "Straße", "Weg", "Allee", "Platz")
 _SPANISH_WORDS = ("Calle", "C/", "Avda", "Avenida", "Plaza", "Paseo", "Camino", "Ronda", "Carrera")
 _REST = re.compile(
     rf"(?:,?{_S}(?:Flat|Apt\.?|Apartment|Unit|Suite|#){_S}?#?\d{{1,4}}[A-Za-z]?)?(?:,{_S}(?:Hinterhaus|Vorderhaus|bajo{_S}[A-Z]|\d\.º{_S}\w+))?(?:,{_S}\d{{5}}{_S}[A-ZÄÖÜ][\w\-]+|(?:,{_S}|\n)(?!(?:he|she|they|the|a|an)\b)[^\W\d_]{{4,}}(?=,{_S}[A-Z]{{1,2}}\d|{_S}\d{{5}}|[\".,;]|$|\n|{_S}lol|{_S}and{_S}does))?(?:,{_S}[A-Z]{{1,2}}\d{{1,2}}{_S}\d[A-Z]{{2}}|{_S}\d{{5}}(?!\d))?",
@@ -95,17 +94,17 @@ def spans(text: str, names: re.Pattern) -> list[tuple[str, int, int, int]]:
         a, b = m.span()
         out.append(("phone", a, b, 0))
         out.append(("id_number", a, b, 0))
-    low = text
-    if " zero" in low or " five " in low or " cero " in low or " null " in low:
-        out += [("phone", *m.span(), 1) for m in _SPOKEN.finditer(text)]
-    said = ("dot" in text or "DOT" in text or _SAID_HOST.search(text)) and _SAID
-    for rx in (("@" in text or "＠" in text or "at]" in text or "at)" in text or "at}" in text or "AT]" in text or "AT)" in text or "AT}" in text or "[ at" in text or "( at" in text or "{ at" in text) and _DOMAIN, said):
+    # In lower case, letter by letter where that changes the length.
+    low = text.lower()
+    low = low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    out += [("phone", *m.span(), 1) for m in _SPOKEN.finditer(low)]
+    for rx in (_AT.search(text) and _DOMAIN, _SAID):
         for m in rx.finditer(text) if rx else ():
             a = m.start()
             left = _LOCAL.search(text, max(0, a - 90), a)
             if left:
                 out.append(("email", left.start(), m.end(), 0 if "@" in m.group() or "＠" in m.group() else 1))
-    for k, (words, rx) in enumerate(((None, _ENGLISH), (_GERMAN_WORDS, _GERMAN), (_SPANISH_WORDS, _SPANISH))):
+    for k, (words, rx) in enumerate(((None, _ENGLISH), (None, _GERMAN), (_SPANISH_WORDS, _SPANISH))):
         if words is None or any(w in text for w in words):
             for m in rx.finditer(text):
                 rest = _REST.match(text, m.end())
@@ -117,6 +116,7 @@ def spans(text: str, names: re.Pattern) -> list[tuple[str, int, int, int]]:
     return out
 
 
+_SEPARATOR, _GROUP, _NINES = re.compile(r"[\s,.]+"), re.compile(r"\d+"), re.compile("9+")
 _LOWER = re.compile(r"\b[a-zà-öø-ÿ]{4,}\b")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _SHAPE = (re.compile(r"\d"), re.compile(r"[a-zà-öø-ÿ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"))
@@ -139,18 +139,18 @@ def describe(text: str, kind: str, a: int, b: int, gen: int, given: frozenset[st
     shape = _SHAPE[2].sub("A", _SHAPE[1].sub("a", _SHAPE[0].sub("9", s)))
     digits = shape.count("9")
     words = [w for w in prev if w[0].isalpha()]
-    tail = re.split(r"[\s,.]+", s.strip(". "))
+    tail = _SEPARATOR.split(s.strip(". "))
     last = (tail[0] if gen == 2 else tail[-1]).lower()
     keys = (
         "1" + p1,
         "2" + " ".join(prev[-2:]),
         "w" + (words[-1] if words else "^"),
         "n" + (after[0].lower() if after and not after[0].isdigit() else "#" if after else "$"),
-        "s" + (shape if kind in ("phone", "id_number") else re.sub(r"9+", "9", shape)),
+        "s" + (shape if kind in ("phone", "id_number") else _NINES.sub("9", shape)),
         "e" + (last[-3:] if kind in ("name", "email") else tail[-1][-3:].lower() if kind == "address" else s[:1]),
     )
-    groups = re.findall(r"\d+", s)
-    nums = [b - a, digits, len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, s.count("A") + sum(c.isupper() for c in s), s[0] == "+", "(" in s, "@" in s or "＠" in s, gen, len(tail), s.count("."), kind == "name" and (tail[-1] if gen == 2 else tail[0]).lower() in given, kind == "name" and _led(text, a)]
+    groups = _GROUP.findall(s)
+    nums = [b - a, digits, len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, s.count("A") + sum(map(str.isupper, s)), s[0] == "+", "(" in s, "@" in s or "＠" in s, gen, len(tail), s.count("."), kind == "name" and (tail[-1] if gen == 2 else tail[0]).lower() in given, kind == "name" and _led(text, a)]
     return keys, [float(x) for x in nums]
 
 
@@ -172,7 +172,7 @@ def label(text: str, kind: str, a: int, b: int, gen: int, family: frozenset[str]
         return bool(_ID_RANGES.match(s)) and not re.search(r"(?:order|ticket|roll|batch|version|build|frames)\W*$", before, re.I)
     if kind == "address":
         return gen > 0 or bool(re.search(r"(?:lives at|resident at|gear to|address:|reading \"?|at home,?|wohnt in der|moved to)\s*$", before, re.I))
-    words = re.split(r"[\s,.]+", s)
+    words = _SEPARATOR.split(s)
     fam = words[0] if gen == 2 else words[-1]
     if gen == 2 and words[-1].lower() not in given:
         return False
@@ -209,7 +209,7 @@ def end_counts(texts: list[str], names: re.Pattern) -> dict[str, int]:
     n: dict[str, int] = defaultdict(int)
     for t in texts:
         for m in names.finditer(t):
-            n["e" + re.split(r"[\s,.]+", m.group())[-1].lower()[-3:]] += 1
+            n["e" + _SEPARATOR.split(m.group())[-1].lower()[-3:]] += 1
     return n
 
 
