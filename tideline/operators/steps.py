@@ -5,6 +5,8 @@ Each takes the state (a tuple) and a row's values and returns the new state and
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from dataclasses import dataclass
 
 
@@ -60,6 +62,32 @@ class Aci:
         return (a, t + 1, n + 1, e + int(bool(err)), c + (a != want)), (a,)
 
 
+@dataclass(frozen=True)
+class DtAci:
+    """Adaptive levels of several rates; each weighs exp(-eta * its mean of |level - error| over the last ``window`` feedbacks)."""
+
+    alpha: float = 0.05
+    gammas: tuple[float, ...] = (0.005, 0.02, 0.08, 0.32)
+    eta: float = 2.0
+    window: int = 200
+
+    @property
+    def initial(self) -> tuple:
+        return (tuple(Aci(self.alpha, g).initial for g in self.gammas), tuple(deque(maxlen=self.window) for _ in self.gammas))
+
+    def __call__(self, state: tuple, err: bool | None) -> tuple[tuple, tuple]:
+        """State: those of the experts, their last losses. Output: mixed level."""
+        experts, recent = state
+        stepped = [Aci(self.alpha, g)(x, err) for g, x in zip(self.gammas, experts)]
+        levels = [out[0] for _, out in stepped]
+        if err is not None and err == err:
+            for r, a in zip(recent, levels):
+                r.append(abs(a - float(err)))
+        losses = [sum(r) / len(r) if r else 0.0 for r in recent]
+        w = [math.exp(-self.eta * (x - min(losses))) for x in losses]
+        return (tuple(x for x, _ in stepped), recent), (sum(x * a for x, a in zip(w, levels)) / sum(w),)
+
+
 @dataclass(frozen=True)
 class DecodeBudget:
     """At most cap decodes per window; a window starts with the first row at or past the end of the last one."""

@@ -184,16 +184,9 @@ def aci_observables(s: SparkSession, d: str) -> DataFrame:
  w AS (SELECT *, exp(-2 * (abs(alpha - e) - min(abs(alpha - e)) OVER (PARTITION BY stream_id))) AS w FROM ex) SELECT stream_id, round(sum(w * alpha) / sum(w), 6) AS alpha_t FROM w GROUP BY stream_id""",
 )
 def dtaci(s: SparkSession, d: str) -> DataFrame:
-    """Four experts with different rates, mixed by their loss over the last 200 feedbacks."""
-    f = frames(s, d, "err", where="err is not null")
-    out = None
-    for gamma in (0.005, 0.02, 0.08, 0.32):
-        a = fold(f, ["stream_id"], ["tick"], steps.Aci(gamma=gamma), ["err"], "alpha double").groupBy("stream_id").agg(F.max_by("alpha", "tick").alias("alpha"))
-        out = a if out is None else out.unionByName(a)
-    recent = f.withColumn("r", F.row_number().over(Window.partitionBy("stream_id").orderBy(F.desc("tick")))).filter("r <= 200").groupBy("stream_id").agg(F.avg(F.col("err").cast("double")).alias("e"))
-    x = out.join(recent, "stream_id").withColumn("loss", F.abs(F.col("alpha") - F.col("e")))
-    x = x.withColumn("w", F.exp(-2 * (F.col("loss") - F.min("loss").over(Window.partitionBy("stream_id")))))
-    return x.groupBy("stream_id").agg(R6(F.sum(F.col("w") * F.col("alpha")) / F.sum("w")).alias("alpha_t"))
+    """Four experts with different rates, mixed by their mean loss |level - error| over the last 200 feedbacks, with the level of each."""
+    f = fold(frames(s, d, "err", where="err is not null"), ["stream_id"], ["tick"], steps.DtAci(), ["err"], "alpha double")
+    return f.groupBy("stream_id").agg(R6(F.max_by("alpha", "tick")).alias("alpha_t"))
 
 
 @core.query("stream16_anytime_monitor")
