@@ -164,21 +164,23 @@ _REWARD = (
 )
 def trajectory_reward(s: SparkSession, d: str) -> DataFrame:
     """Reward of each stream's answers: the first right flag counts with its delay, all others as false alarms; a flag without
-    citation voids it. Answers that do not parse strictly are left out, for every stream here has some."""
+    citation voids it, and so does an answer that does not parse strictly (``gate``: which of them came first)."""
     f = frames(s, d, "t_s", "action_raw", "nu_s")
     nu = f.groupBy("stream_id").agg(F.first("nu_s", ignorenulls=True).alias("nu"))
     cat = table(s, d, "stream_outcomes").groupBy("stream_id").agg(F.first("category", ignorenulls=True).alias("cat"))
-    x = f.filter("action_raw is not null").withColumn("p", protocol.parsed(F.col("action_raw"))).withColumn("a", protocol.strict_action(F.col("action_raw"))).filter("a is not null")
+    x = f.filter("action_raw is not null").withColumn("p", protocol.parsed(F.col("action_raw"))).withColumn("a", protocol.strict_action(F.col("action_raw")))
     x = x.join(nu, "stream_id").join(cat, "stream_id", "left")
     flag = F.col("a") == "flag"
     good = flag & F.col("nu").isNotNull() & (F.col("t_s") >= F.col("nu")) & (F.col("cat").isNull() | F.coalesce(F.col("p.category") == F.col("cat"), F.lit(False)))
     n = lambda c: F.count(F.when(c, 1))
-    g = x.groupBy("stream_id").agg(F.first("nu").alias("nu"), n(flag & (F.coalesce("p.policy_citation", F.lit("")) == "")).alias("nocite"), n(flag).alias("nf"), n(good).alias("ng"), F.min(F.when(good, F.col("t_s"))).alias("th"), n(F.col("a") == "uncovered").alias("nun"))
+    void = F.when(F.col("a").isNull(), "format").when(flag & (F.coalesce("p.policy_citation", F.lit("")) == ""), "citation")
+    x = x.withColumn("void", void)
+    g = x.groupBy("stream_id").agg(F.first("nu").alias("nu"), F.min_by("void", F.when(F.col("void").isNotNull(), F.col("tick"))).alias("gate"), n(flag).alias("nf"), n(good).alias("ng"), F.min(F.when(good, F.col("t_s"))).alias("th"), n(F.col("a") == "uncovered").alias("nun"))
     delay, hit = F.col("th") - F.col("nu"), F.col("ng") > 0
     fa = F.when(hit, F.col("nf") - 1).otherwise(F.col("nf"))
     base = F.when(hit, 1 - 0.5 * F.least(delay / 8, F.lit(20.0)) / 20).when(F.col("nu").isNotNull(), -0.5).otherwise(0.0)
     total = base - 0.3 * fa - F.when(F.col("nu").isNull(), 0.3).otherwise(0.4) * F.col("nun")
-    return g.select("stream_id", F.col("nf").alias("n_flags"), fa.alias("n_false_alarms"), R6(F.when(hit, delay)).alias("delay_s"), R6(F.when(F.col("nocite") > 0, 0.0).otherwise(total)).alias("reward"))
+    return g.select("stream_id", F.col("nf").alias("n_flags"), fa.alias("n_false_alarms"), R6(F.when(hit, delay)).alias("delay_s"), R6(F.when(F.col("gate").isNotNull(), 0.0).otherwise(total)).alias("reward"), "gate")
 
 
 @core.query("data10_break_even", "SELECT alpha, beta, gamma, round((beta - alpha) / (gamma + beta), 6) AS break_even_precision, round(beta / gamma, 6) AS exchange_rate FROM (VALUES (0.5::DOUBLE, 0.3::DOUBLE, 1.0::DOUBLE), (0.1, 0.6, 1.0), (0.2, 0.4, 0.8)) t(alpha, beta, gamma)")
