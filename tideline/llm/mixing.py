@@ -2,9 +2,9 @@
 
 Texts are counted in tokens of a public tokenizer. Per mix, slots 0, 1, 2, ... of ``block`` tokens each take the point
 frac(i * golden ratio) through the cumulative weights to a source, so every stretch of the schedule has the target shares
-within a few slots. The k-th slot of a source takes the k-th block of its documents, which are shuffled by hash and cut into
-blocks of equal tokens; after the last block the next round begins, up to ``max_repeats`` rounds. Slots beyond that stay
-empty and are reported.
+within a few slots. The k-th slot of a source takes the k-th ``block`` tokens of its documents, which are shuffled by hash and laid end to
+end; where they end the next round begins, within the slot if need be, up to ``max_repeats`` rounds. So a slot is worth as
+much in a small source as in a large one. Slots beyond the last round stay empty and are reported.
 
 Running totals and ranks are taken in ranges (see :func:`tideline.plans.skew.running_total`), so a source with a third of all
 documents is never in one task. Null, blank and unknown-source documents are in no mix; repeated texts under other ids are
@@ -66,13 +66,13 @@ def _named(targets: DataFrame) -> DataFrame:
     return targets.select("mix_id", "source", "target_share", "max_repeats", "total_tokens").filter("mix_id is not null and source is not null").dropDuplicates()
 
 
-def plan(counts: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per mix and source: tokens wanted, tokens at hand, blocks, rounds needed, short (even with max_repeats rounds)."""
+def plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per mix and source: tokens wanted, tokens at hand, rounds needed, short (even with max_repeats rounds)."""
     have = counts.filter("tokens > 0").groupBy(F.col("source").alias("_src")).agg(F.sum("tokens").alias("have"), F.count("*").alias("n_docs"))
     t = _named(targets).withColumn("_src", plain(F.col("source"))).join(have, "_src", "left")
     t = t.withColumn("have", F.coalesce("have", F.lit(0))).withColumn("want", F.coalesce(F.col("target_share") * F.col("total_tokens"), F.lit(0.0)))
     reps = F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))
-    t = t.withColumn("reps", reps).withColumn("blocks", F.ceil(F.col("have") / block).cast("bigint"))
+    t = t.withColumn("reps", reps)
     return t.withColumn("rounds", F.when(F.col("have") > 0, F.col("want") / F.col("have"))).withColumn("short", F.col("have") * F.col("reps") < F.col("want") - 1e-6)
 
 
@@ -98,10 +98,10 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def blocks(counts: DataFrame, block: int = BLOCK, seed: int = 3) -> DataFrame:
-    """doc_id, source, tokens, block: documents shuffled by hash, blocks of equal tokens within a source."""
+    """doc_id, source, tokens, before, block: documents shuffled by hash, tokens before each, blocks of equal tokens within a source."""
     c = counts.filter("tokens > 0 and source is not null")
     c = running_total(c, ["source"], F.xxhash64(F.lit(seed), "doc_id"), F.col("tokens"), "before", tie=["doc_id"])
-    return c.select("doc_id", "source", "tokens", F.floor(F.col("before") / block).cast("bigint").alias("block"))
+    return c.select("doc_id", "source", "tokens", "before", F.floor(F.col("before") / block).cast("bigint").alias("block"))
 
 
 def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK, seed: int = 3) -> DataFrame:
@@ -111,18 +111,24 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
 
 def _mixed(counts: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int = 3) -> DataFrame:
     b = blocks(counts, block, seed)
-    p = plan(counts, targets, block).select("mix_id", F.col("_src").alias("source"), "blocks", "reps")
-    s = schedule(targets, block).join(p, ["mix_id", "source"]).filter("blocks > 0")
-    s = s.withColumn("round", F.floor(F.col("k") / F.col("blocks")).cast("bigint")).filter("round < reps").withColumn("block", F.col("k") % F.col("blocks"))
+    p = plan(counts, targets).select("mix_id", F.col("_src").alias("source"), "have", "reps").filter("have > 0 and reps > 0")
+    s = schedule(targets, block).join(p, ["mix_id", "source"]).withColumn("at", F.col("k") * block)
+    # The rounds that a slot reaches into, and the stretch [lo, hi) of tokens it takes of each; a stretch lies in two blocks at most.
+    first, last = F.floor(F.col("at") / F.col("have")).cast("bigint"), F.floor((F.col("at") + block - 1) / F.col("have")).cast("bigint")
+    s = s.filter(first < F.col("reps")).withColumn("round", F.explode(F.sequence(first, F.least(last, F.col("reps").cast("bigint") - 1))))
+    start = F.col("at") - F.col("round") * F.col("have")
+    s = s.withColumn("lo", F.greatest(start, F.lit(0))).withColumn("hi", F.least(start + block, F.col("have")))
+    s = s.withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block)).cast("array<bigint>"))))
     # Blocks meet slots on (source, block): neither side has more rows of a key than a block has documents or mixes times rounds.
-    return s.join(b, ["source", "block"]).select("mix_id", "slot", "source", "doc_id", "tokens", "round")
+    j = s.join(b, ["source", "block"]).filter("before >= lo and before < hi")
+    return j.select("mix_id", "slot", "source", "doc_id", "tokens", "round")
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK) -> DataFrame:
     """Per mix and source: target share, tokens wanted, at hand, mixed, actual share, rounds, short."""
     counts = cut_lineage(token_counts(documents, tokenizer))
     got = _mixed(counts, targets, block).groupBy("mix_id", "source").agg(F.sum("tokens").alias("mixed"), F.max("round").alias("r"))
-    r = plan(counts, targets, block).drop("rounds").join(got.withColumnRenamed("source", "_src"), ["mix_id", "_src"], "left").withColumn("mixed", F.coalesce("mixed", F.lit(0)))
+    r = plan(counts, targets).drop("rounds").join(got.withColumnRenamed("source", "_src"), ["mix_id", "_src"], "left").withColumn("mixed", F.coalesce("mixed", F.lit(0)))
     total = F.sum("mixed").over(Window.partitionBy("mix_id"))
     return r.select("mix_id", "source", "target_share", F.round("want", 3).alias("want"), "have", "mixed", F.when(total > 0, F.round(F.col("mixed") / total, 6)).alias("actual_share"), (F.coalesce("r", F.lit(-1)) + 1).alias("rounds_used"), "short")
 
