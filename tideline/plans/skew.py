@@ -39,6 +39,22 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     return cold.unionByName(warm)
 
 
+def join_grid(left: DataFrame, right: DataFrame, keys: Sequence[str], side: int = 2000) -> DataFrame:
+    """Every pair of rows of ``left`` and ``right`` with equal ``keys``, for results that are pairs by definition.
+
+    A key with m rows on the left and n on the right is cut into ceil(m / side) x ceil(n / side) cells. A row stands in each
+    cell of its line, so no task holds more than ``side`` rows of a key on either side, however hot the key is; keys under
+    ``side`` rows are one cell and nothing is repeated. Rows with a null key are dropped.
+    """
+    size = lambda d, out: d.dropna(subset=list(keys)).groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(side)).cast("int").alias(out))
+    many = size(left, "_m").join(size(right, "_n"), list(keys)).filter("_m > 1 or _n > 1")
+    own = lambda d, n: F.pmod(F.xxhash64(*d.columns), F.coalesce(F.col(n), F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    a = left.join(many, list(keys), "left").select(*left.columns, own(left, "_m").alias("_i"), every("_n").alias("_j"))
+    b = right.join(many, list(keys), "left").select(*right.columns, own(right, "_n").alias("_j"), every("_m").alias("_i"))
+    return a.join(b, [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
 def running_total(df: DataFrame, keys: Sequence[str], order: Column, value: Column, out: str, buckets: int = 8192, tie: Sequence[str] = ()) -> DataFrame:
     """``out`` = sum of ``value`` over the rows of the same keys that come before this one in a pseudo-random but fixed order.
 

@@ -6,8 +6,10 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def get_spark(app: str = "tideline", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,30 +42,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="tideline-shared-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+#: Tables written by this process and not yet removed.
+_written: dict[str, SparkSession] = {}
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path, None)
     try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the session has ended; the cluster clears its own folder
         pass
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so a lost executor costs one task and not the whole history.
+def _remove_all() -> None:
+    for path in list(_written):
+        _remove(path)
 
-    Parquet instead of ``checkpoint()``: columns stay prunable and the files are compressed. Removed when Python ends.
-    """
+
+atexit.register(_remove_all)
+
+
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tideline/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so a lost executor costs one task and not the whole history.
+
+    Parquet instead of ``checkpoint()``: columns stay prunable and the files are compressed. Removed when Python or the
+    surrounding :func:`scope` ends.
+    """
+    return _write(df)[0]
+
+
+class Rounds:
+    """The one current table of an iteration: each :meth:`put` writes the next and removes the last. Numbers about a table are
+    observed while it is written, so no job reads it again for them."""
+
+    def __init__(self) -> None:
+        self.path: str | None = None
+
+    def put(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        out, path = _write(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]) if metrics else df)
+        if self.path:
+            _remove(self.path)
+        self.path = path
+        return out, seen.get if metrics else {}
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that queries write inside are removed at its end; results must have been read or written by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in set(_written) - before:
+            _remove(path)
