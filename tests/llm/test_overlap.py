@@ -86,3 +86,37 @@ def test_empty_and_report(spark):
     assert overlap.overlap_report(clips(spark, [])).count() == 0
     r = overlap.overlap_report(clips(spark, [clip("a", sha=SHA), clip("b", "test", sha=SHA, provenance=None)])).collect()
     assert [(x.split, x.provenance, x.n_clips, x.n_overlapping, x.n_pairs) for x in r] == [("test", "unknown", 1, 1, 1)]
+
+
+def test_agreement_of_many_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (3, 5), (9, 7), (40, 44)):
+        a, b = rng.integers(0, 5, (50, n)), rng.integers(0, 5, (50, m))
+        full = overlap.agreement(a, b, n, m)
+        assert full.tolist() == [lcs(x.tolist(), y.tolist()) for x, y in zip(a, b)]
+        need = max(1, min(n, m) - 2)
+        near = overlap.agreement(a, b, n - need, m - need)
+        assert [x >= need for x in near] == [x >= need for x in full] and (near <= full).all()
+
+
+def test_heavy_segments_files_and_links_are_cut_into_cells(spark, monkeypatch):
+    """A third of the clips have one file; others are made of heavy inserts only. Cells are small, so each of them is cut."""
+    from tideline.plans import skew
+
+    monkeypatch.setattr(skew.join_grid, "__defaults__", (7,))
+    rows = [clip(f"t{i:03d}", "train", sha=SHA) for i in range(30)] + [clip(f"e{i:03d}", "test", sha=SHA) for i in range(20)]
+    few = ["b-1", "b-2", "b-3", "b-4"]
+    rng = random.Random(5)
+    strings = [[rng.choice(few) for _ in range(8)] for _ in range(60)]
+    rows += [clip(f"s{i:03d}", ("train", "calib")[i % 2], cuts=x) for i, x in enumerate(strings)]
+    df = clips(spark, rows)
+    want = {(f"e{i:03d}", f"t{j:03d}") for i in range(20) for j in range(30)}
+    want |= {(f"s{i:03d}", f"s{j:03d}") for i in range(1, 60, 2) for j in range(0, 60, 2) if lcs(strings[i], strings[j]) >= 6}
+    assert pairs(df) == want and len(want) > 620
+    report = {(r.split, r.n_clips, r.n_overlapping, r.n_pairs, r.n_same_file) for r in overlap.overlap_report(df).collect()}
+    edit = {p for p in want if p[0][0] == "s"}
+    assert report == {("test", 20, 20, 600, 600), ("calib", 30, len({p[0] for p in edit}), len(edit), 0)}
+    cl = [r for r in overlap.class_report(df).collect() if r.kind == "file"]
+    assert len(cl) == 50 and all(r.n_links == 1 for r in cl)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideline.llm import grouped_split, leakage, mixing, overlap, pii, sampling, truncation
 from tideline.llm.common import registry
 from tideline.llm.sql import SQL
-from tideline.session import table
+from tideline.session import cut_lineage, table
 
 
 def _q(name: str):
@@ -17,8 +17,13 @@ def _q(name: str):
 
 @_q("p1_found")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    o = overlap.overlaps(table(spark, d, "clips"))
-    return o.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
+    o = overlap.pairs(cut_lineage(overlap.edits(table(spark, d, "clips"))))
+    return o.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b"))
+
+
+@_q("p1_classes")
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.class_report(table(spark, d, "clips"))
 
 
 @_q("p1_report")
