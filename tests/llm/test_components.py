@@ -61,11 +61,14 @@ def test_split_keeps_groups_and_shares(spark):
     rows = [clip(f"g{i}-{j}", host=f"host-{i}") for i in range(300) for j in range(2)] + [clip(f"big{j}", host="host-9999") for j in range(200)]
     t = spark.createDataFrame([("train", 0.7), ("validation", 0.15), ("test", 0.15)], "split string, target_share double")
     a = grouped_split.assign(clips(spark, rows), t).collect()
-    by = {}
-    for r in a:
+    by, placed = {}, grouped_split.assign(clips(spark, rows), t, giant=200).collect()
+    for r in [*a, *[x for x in placed if x.grp == 9999]]:
         by.setdefault(r.grp, set()).add(r.split)
     assert all(len(v) == 1 for v in by.values())
-    n = {k: sum(r.split == k for r in a) / len(a) for k in ("train", "validation", "test")}
+    # By hashes alone the group of a quarter of all clips goes where its hash says; placed first, the shares are met.
+    small = [r for r in a if r["size"] < 200]
+    assert abs(sum(r.split == "train" for r in small) / len(small) - 0.7) < 0.06
+    n = {k: sum(r.split == k for r in placed) / len(placed) for k in ("train", "validation", "test")}
     assert abs(n["train"] - 0.7) < 0.06 and abs(n["test"] - 0.15) < 0.05
     assert grouped_split.assign(clips(spark, []), t).count() == 0
     assert {r.split for r in grouped_split.assign(clips(spark, rows[:4]), t.limit(0)).collect()} == {None}

@@ -14,12 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.plans.skew import join_unique
-from tideline.session import cut_lineage
-
-
-def _state(e: DataFrame) -> tuple[int, int]:
-    r = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).collect()[0]
-    return int(r.n), int(r.h)
+from tideline.session import Rounds, cut_lineage
 
 
 def _large_star(e: DataFrame, n: int) -> DataFrame:
@@ -54,12 +49,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _settle(e: DataFrame, rounds: int) -> DataFrame:
-    before = _state(e)
+    table = Rounds()
+    # Observed while the edges of a step are written: when both stay, the steps have settled.
+    state = {"n": F.count("*"), "h": F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))}
+    e, before = table.put(e, **state)
     for _ in range(rounds):
-        if before[0] == 0:
+        if before["n"] == 0:
             break
-        e = cut_lineage(_small_star(_large_star(e, before[0]), before[0]))
-        now = _state(e)
+        e, now = table.put(_small_star(_large_star(e, before["n"]), before["n"]), **state)
         if now == before:
             break
         before = now

@@ -2,9 +2,11 @@
 
 Entities (hosts, inserts) are the nodes; each clip ties its entities to the smallest of them, and connected components are
 found by alternating large-star small-star (:mod:`tideline.llm.components`). Component identifiers are hashed into the ranges
-of the target shares. Components with more than 1/``GIANT`` of all clips (fewer than GIANT of them) would throw hashed shares
-off, so they are placed first, largest first, each where most is still missing; the ranges for the rest are what then remains.
+of the target shares. One component with a large part of all clips throws hashed shares off by its size; who would rather have
+exact shares than hashes alone gives :func:`assign` the parameter ``giant``: components with more than 1/giant of all clips
+(fewer than giant of them) are then placed first, largest first, each where most is still missing. It is off by default.
 
+``pool`` and ``split`` play no part: the new split is made whatever they say today.
 Absent or unreadable ids tie nothing. Clips tied to nothing are their own groups. Rows without id are dropped; repeated
 deliveries count once. Without targets (empty table) every split is null.
 """
@@ -19,7 +21,6 @@ from tideline.llm.components import components
 from tideline.plans.skew import join_unique
 from tideline.session import cut_lineage
 
-GIANT = 200
 _BASE = 10**15  # an identifier has 15 digits at most
 
 
@@ -53,28 +54,21 @@ def groups(clips: DataFrame) -> DataFrame:
     return tied.unionByName(df.filter("first is null").select("id", F.lit(None).cast("bigint").alias("grp"), F.lit(1).cast("bigint").alias("size")))
 
 
-def assign(clips: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
+def assign(clips: DataFrame, targets: DataFrame, seed: int = 11, giant: int | None = None) -> DataFrame:
     """id, grp, size, split."""
     g = cut_lineage(groups(clips))
     shares = [(r.split, float(r.target_share or 0)) for r in targets.select("split", "target_share").distinct().orderBy("split").collect() if r.split is not None]
     if not shares or sum(s for _, s in shares) <= 0:
         return g.withColumn("split", F.lit(None).cast("string"))
-    whole = sum(s for _, s in shares)
-    total = g.count()
-    left = {k: total * s / whole for k, s in shares}
-    giants = g.filter((F.col("size") * GIANT > total) & (F.col("size") > 1)).select("grp", "size").distinct().collect()
-    placed = {}
-    for r in sorted(giants, key=lambda r: (-r["size"], r["grp"])):
-        best = max(left, key=lambda k: (left[k], k))
-        placed[r["grp"]] = best
-        left[best] -= r["size"]
-    rest = {k: max(0.0, v) for k, v in left.items()}
-    room = sum(rest.values()) or 1.0
+    room, placed = dict(shares), _placed(g, shares, giant) if giant else {}
+    if placed:
+        room = placed.pop(None)
+    whole = sum(room.values()) or 1.0
     # Groups without an entity are single clips and hash by their id.
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("grp").cast("string"), "id")), 11) / F.lit(float(2**53))
-    names, edges, edge = list(rest), [], 0.0
+    names, edges, edge = list(room), [], 0.0
     for k in names:
-        edge += rest[k] / room
+        edge += room[k] / whole
         edges.append(edge)
     split = F.lit(names[-1])
     for k, x in list(zip(names, edges))[-2::-1]:
@@ -84,9 +78,21 @@ def assign(clips: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
     return g.withColumn("_u", u).withColumn("split", split).drop("_u")
 
 
-def split_report(clips: DataFrame, targets: DataFrame) -> DataFrame:
+def _placed(g: DataFrame, shares: list[tuple[str, float]], giant: int) -> dict:
+    """Split of each group with more than 1/giant of all clips; under None the clips that are then still missing per split."""
+    total, whole = g.count(), sum(s for _, s in shares)
+    left = {k: total * s / whole for k, s in shares}
+    placed: dict = {}
+    large = g.filter((F.col("size") * giant > total) & (F.col("size") > 1)).select("grp", "size").distinct().collect()
+    for r in sorted(large, key=lambda r: (-r["size"], r["grp"])):
+        placed[r["grp"]] = best = max(left, key=lambda k: (left[k], k))
+        left[best] -= r["size"]
+    return placed | {None: {k: max(0.0, v) for k, v in left.items()}}
+
+
+def split_report(clips: DataFrame, targets: DataFrame, giant: int | None = None) -> DataFrame:
     """Per split: target share, clips, groups, actual share."""
-    a = assign(clips, targets)
+    a = assign(clips, targets, giant=giant)
     n = a.groupBy("split").agg(F.count("*").alias("n_clips"), F.count_distinct(F.coalesce(F.col("grp").cast("string"), "id")).alias("n_groups"))
     n = n.withColumn("total", F.sum("n_clips").over(Window.partitionBy(F.lit(1))))  # a row per split
     t = targets.select("split", "target_share").dropDuplicates(["split"])

@@ -2,7 +2,7 @@
 
 Texts are counted in tokens of a public tokenizer. Per mix, slots 0, 1, 2, ... of ``block`` tokens each take the point
 frac(i * golden ratio) through the cumulative weights to a source, so every stretch of the schedule has the target shares
-within a few slots. The k-th slot of a source takes the k-th ``block`` tokens of its documents, which are shuffled by hash and laid end to
+within a few slots, and each source has as many slots as its share fills. The k-th slot of a source takes the k-th ``block`` tokens of its documents, which are shuffled by hash and laid end to
 end; where they end the next round begins, within the slot if need be, up to ``max_repeats`` rounds. So a slot is worth as
 much in a small source as in a large one. Slots beyond the last round stay empty and are reported.
 
@@ -14,9 +14,11 @@ documents of their own. Shares of a mix that don't sum to 1 are taken as they ar
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +36,11 @@ _loaded: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """The tokenizer of a file of ranks; loaded once per Python worker."""
+    """The tokenizer of a file of ranks that came with the job; loaded once per Python worker."""
     if path not in _loaded:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _loaded[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _loaded[path]
@@ -59,7 +61,8 @@ def _counter(path: str):
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, source (plain spelling), tokens."""
     d = documents.select("doc_id", plain(F.col("source")).alias("source"), "text").filter("text is not null")
-    return d.mapInArrow(_counter(tokenizer), "doc_id bigint, source string, tokens bigint")
+    documents.sparkSession.sparkContext.addFile(tokenizer)  # executors need not have it
+    return d.mapInArrow(_counter(os.path.basename(tokenizer)), "doc_id bigint, source string, tokens bigint")
 
 
 def _named(targets: DataFrame) -> DataFrame:
@@ -67,34 +70,44 @@ def _named(targets: DataFrame) -> DataFrame:
 
 
 def plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per mix and source: tokens wanted, tokens at hand, rounds needed, short (even with max_repeats rounds)."""
+    """Per mix and source: tokens wanted, tokens at hand, repeats allowed."""
     have = counts.filter("tokens > 0").groupBy(F.col("source").alias("_src")).agg(F.sum("tokens").alias("have"), F.count("*").alias("n_docs"))
     t = _named(targets).withColumn("_src", plain(F.col("source"))).join(have, "_src", "left")
     t = t.withColumn("have", F.coalesce("have", F.lit(0))).withColumn("want", F.coalesce(F.col("target_share") * F.col("total_tokens"), F.lit(0.0)))
-    reps = F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))
-    t = t.withColumn("reps", reps)
-    return t.withColumn("rounds", F.when(F.col("have") > 0, F.col("want") / F.col("have"))).withColumn("short", F.col("have") * F.col("reps") < F.col("want") - 1e-6)
+    return t.withColumn("reps", F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)))
 
 
 def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """mix_id, slot, source, k: the source of every slot and the slot's rank among those of its source."""
-    t = _named(targets).select("mix_id", plain(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("w"), "total_tokens")
-    mixes = t.groupBy("mix_id").agg(F.sort_array(F.collect_list(F.struct("source", "w"))).alias("ws"), F.max("total_tokens").alias("total"), F.sum("w").alias("sw"))
-    mixes = mixes.filter("sw > 0").withColumn("slots", F.ceil(F.col("total") * F.col("sw") / block).cast("bigint"))
+    """mix_id, slot, source, k, size: the source of every slot, the slot's rank among those of its source, the tokens it takes.
+
+    Every source has exactly the slots its share of ``total_tokens`` fills, the last of them in part. The points give each
+    source its slots to within a few; what is too many is left out, what lacks stands at the end of the schedule.
+    """
+    t = _named(targets).select("mix_id", plain(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("w"), "total_tokens").filter("w > 0")
+    t = t.withColumn("want", F.col("w") * F.col("total_tokens"))
+    t = t.withColumn("need", F.ceil(F.col("want") / block - 1e-12).cast("bigint"))
+    mixes = t.groupBy("mix_id").agg(F.sort_array(F.collect_list(F.struct("source", "w"))).alias("ws"), F.sum("need").alias("slots"), F.sum("w").alias("sw")).filter("slots > 0")
     # Cumulative weights, as an array per mix: a mix names its sources one by one, so this is small.
     cum = F.transform("ws", lambda x, i: F.struct(x["source"].alias("source"), (F.aggregate(F.slice("ws", F.lit(1), i + 1), F.lit(0.0), lambda a, y: a + y["w"]) / F.col("sw")).alias("c")))
     mixes = mixes.withColumn("cum", cum)
     chunk = 65_536
-    s = mixes.select("mix_id", "cum", "slots", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest("slots", F.lit(1)) - 1) / chunk))).alias("ch"))
+    s = mixes.select("mix_id", "cum", "slots", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / chunk))).alias("ch"))
     s = s.select("mix_id", "cum", "ch", F.explode(F.sequence(F.col("ch") * chunk, F.least(F.col("slots"), (F.col("ch") + 1) * chunk) - 1)).alias("slot"))
     x = F.pmod((F.col("slot") + 1) * F.lit(GOLDEN), F.lit(1.0))
     hit = F.filter("cum", lambda c: c["c"] > F.col("x"))
     s = s.withColumn("x", x).withColumn("source", F.coalesce(F.get(hit, F.lit(0))["source"], F.element_at("cum", -1)["source"])).select("mix_id", "slot", "ch", "source")
     per = s.groupBy("mix_id", "source", "ch").agg(F.count("*").alias("c"))
-    base = F.coalesce(F.sum("c").over(Window.partitionBy("mix_id", "source").orderBy("ch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.select("mix_id", "source", "ch", base.alias("base"))
+    w = Window.partitionBy("mix_id", "source")
+    base = F.coalesce(F.sum("c").over(w.orderBy("ch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rank = F.row_number().over(Window.partitionBy("mix_id", "source", "ch").orderBy("slot")) - 1
-    return s.withColumn("r", rank).join(per, ["mix_id", "source", "ch"]).select("mix_id", "slot", "source", (F.col("base") + F.col("r")).alias("k"))
+    s = s.withColumn("r", rank).join(per.select("mix_id", "source", "ch", base.alias("base")), ["mix_id", "source", "ch"]).select("mix_id", "slot", "source", (F.col("base") + F.col("r")).alias("k"))
+    due = t.select("mix_id", "source", "need", "want").join(mixes.select("mix_id", "slots"), "mix_id")
+    got = per.groupBy("mix_id", "source").agg(F.sum("c").alias("got"))
+    late = due.join(got, ["mix_id", "source"], "left").filter(F.coalesce("got", F.lit(0)) < F.col("need"))
+    late = late.select("mix_id", "source", "slots", F.explode(F.sequence(F.coalesce("got", F.lit(0)), F.col("need") - 1)).alias("k"))
+    late = late.select("mix_id", (F.col("slots") + F.col("k")).alias("slot"), "source", "k")
+    s = s.unionByName(late).join(due.select("mix_id", "source", "need", "want"), ["mix_id", "source"]).filter("k < need")
+    return s.select("mix_id", "slot", "source", "k", F.least(F.lit(float(block)), F.col("want") - F.col("k") * block).alias("size"))
 
 
 def blocks(counts: DataFrame, block: int = BLOCK, seed: int = 3) -> DataFrame:
@@ -114,21 +127,24 @@ def _mixed(counts: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int
     p = plan(counts, targets).select("mix_id", F.col("_src").alias("source"), "have", "reps").filter("have > 0 and reps > 0")
     s = schedule(targets, block).join(p, ["mix_id", "source"]).withColumn("at", F.col("k") * block)
     # The rounds that a slot reaches into, and the stretch [lo, hi) of tokens it takes of each; a stretch lies in two blocks at most.
-    first, last = F.floor(F.col("at") / F.col("have")).cast("bigint"), F.floor((F.col("at") + block - 1) / F.col("have")).cast("bigint")
+    first, last = F.floor(F.col("at") / F.col("have")).cast("bigint"), F.floor((F.col("at") + F.ceil("size") - 1) / F.col("have")).cast("bigint")
     s = s.filter(first < F.col("reps")).withColumn("round", F.explode(F.sequence(first, F.least(last, F.col("reps").cast("bigint") - 1))))
     start = F.col("at") - F.col("round") * F.col("have")
-    s = s.withColumn("lo", F.greatest(start, F.lit(0))).withColumn("hi", F.least(start + block, F.col("have")))
-    s = s.withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block)).cast("array<bigint>"))))
+    s = s.withColumn("lo", F.greatest(start, F.lit(0)).cast("double")).withColumn("hi", F.least(start + F.col("size"), F.col("have").cast("double")))
+    s = s.withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("lo") / block), F.floor((F.ceil("hi") - 1) / block)).cast("array<bigint>"))))
     # Blocks meet slots on (source, block): neither side has more rows of a key than a block has documents or mixes times rounds.
     j = s.join(b, ["source", "block"]).filter("before >= lo and before < hi")
     return j.select("mix_id", "slot", "source", "doc_id", "tokens", "round")
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK) -> DataFrame:
-    """Per mix and source: target share, tokens wanted, at hand, mixed, actual share, rounds, short."""
+    """Per mix and source: target share, tokens wanted, at hand, mixed, actual share, rounds, short.
+
+    ``short`` is seen on what was mixed. A document counts where it begins, so the slots of a source hold at least the tokens
+    wanted as long as documents are left, and fewer only if all of them were used ``max_repeats`` times.
+    """
     counts = cut_lineage(token_counts(documents, tokenizer))
     got = _mixed(counts, targets, block).groupBy("mix_id", "source").agg(F.sum("tokens").alias("mixed"), F.max("round").alias("r"))
-    r = plan(counts, targets).drop("rounds").join(got.withColumnRenamed("source", "_src"), ["mix_id", "_src"], "left").withColumn("mixed", F.coalesce("mixed", F.lit(0)))
+    r = plan(counts, targets).join(got.withColumnRenamed("source", "_src"), ["mix_id", "_src"], "left").withColumn("mixed", F.coalesce("mixed", F.lit(0)))
     total = F.sum("mixed").over(Window.partitionBy("mix_id"))
-    return r.select("mix_id", "source", "target_share", F.round("want", 3).alias("want"), "have", "mixed", F.when(total > 0, F.round(F.col("mixed") / total, 6)).alias("actual_share"), (F.coalesce("r", F.lit(-1)) + 1).alias("rounds_used"), "short")
-
+    return r.select("mix_id", "source", "target_share", F.round("want", 3).alias("want"), "have", "mixed", F.when(total > 0, F.round(F.col("mixed") / total, 6)).alias("actual_share"), (F.coalesce("r", F.lit(-1)) + 1).alias("rounds_used"), (F.col("mixed") < F.col("want") - 1e-6).alias("short"))
