@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.session import cut_lineage
+
 #: A key is heavy if it has more than 1/HEAVY of all rows, so there are fewer than HEAVY heavy keys whatever the data.
 HEAVY = 256
 
@@ -39,19 +41,40 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     return cold.unionByName(warm)
 
 
+#: Keys are counted in so many groups by hash before any is counted by itself.
+GROUPS = 1 << 20
+
+
+def _crowded(df: DataFrame, keys: Sequence[str], side: int) -> DataFrame | None:
+    """keys and count of those with more than ``side`` rows; None if there is none. Only keys in a group of so many rows are counted
+    exactly, so for most data this is one aggregate to at most GROUPS rows."""
+    d = df.select(*keys).dropna().withColumn("_g", F.pmod(F.xxhash64(*keys), F.lit(GROUPS)))
+    full = [r["_g"] for r in d.groupBy("_g").count().filter(F.col("count") > side).select("_g").collect()]
+    if not full:
+        return None
+    groups = df.sparkSession.createDataFrame([(g,) for g in full], "_g bigint")
+    return d.join(F.broadcast(groups), "_g").groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(side)).cast("int").alias("_c")).filter("_c > 1")
+
+
 def join_grid(left: DataFrame, right: DataFrame, keys: Sequence[str], side: int = 2000) -> DataFrame:
     """Every pair of rows of ``left`` and ``right`` with equal ``keys``, for results that are pairs by definition.
 
     A key with m rows on the left and n on the right is cut into ceil(m / side) x ceil(n / side) cells. A row stands in each
     cell of its line, so no task holds more than ``side`` rows of a key on either side, however hot the key is; keys under
-    ``side`` rows are one cell and nothing is repeated. Rows with a null key are dropped.
+    ``side`` rows are one cell and nothing is repeated. Rows with a null key are dropped. Both inputs are read twice: give
+    written tables where they are dear.
     """
-    size = lambda d, out: d.dropna(subset=list(keys)).groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(side)).cast("int").alias(out))
-    many = size(left, "_m").join(size(right, "_n"), list(keys)).filter("_m > 1 or _n > 1")
+    keys = list(keys)
+    m, n = _crowded(left, keys, side), _crowded(right, keys, side)
+    if m is None and n is None:
+        return left.join(right, keys)
+    none = (left if m is None else right).select(*keys).limit(0).withColumn("_c", F.lit(1))
+    many = (none if m is None else m).withColumnRenamed("_c", "_m").join((none if n is None else n).withColumnRenamed("_c", "_n"), keys, "full").fillna(1, ["_m", "_n"])
+    many = cut_lineage(many)
     own = lambda d, n: F.pmod(F.xxhash64(*d.columns), F.coalesce(F.col(n), F.lit(1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
-    a = left.join(many, list(keys), "left").select(*left.columns, own(left, "_m").alias("_i"), every("_n").alias("_j"))
-    b = right.join(many, list(keys), "left").select(*right.columns, own(right, "_n").alias("_j"), every("_m").alias("_i"))
+    a = left.join(many, keys, "left").select(*left.columns, own(left, "_m").alias("_i"), every("_n").alias("_j"))
+    b = right.join(many, keys, "left").select(*right.columns, own(right, "_n").alias("_j"), every("_m").alias("_i"))
     return a.join(b, [*keys, "_i", "_j"]).drop("_i", "_j")
 
 
