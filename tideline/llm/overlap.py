@@ -106,7 +106,7 @@ def string_pairs(rows: DataFrame, agree: float = AGREE) -> DataFrame:
     # Before a place of the evaluation string stand at most nn1 - need inserts that the other lacks, and the other way round.
     need = F.expr(least("greatest(n1, n2)"))
     near = (need <= F.least("nn1", "nn2")) & (F.col("p1") - F.col("p2") <= F.col("nn1") - need) & (F.col("p2") - F.col("p1") <= F.col("nn2") - need)
-    found = join_grid(ev, tr, ["key"]).filter(near).select("eval_sid", "train_sid").distinct()
+    found = join_grid(cut_lineage(ev), cut_lineage(tr), ["key"]).filter(near).select("eval_sid", "train_sid").distinct()
     text = lambda role, a: strings.filter(F.col("role") == role).select(F.col("sid").alias(f"{role}_sid"), F.col("toks").alias(a), F.col("n").alias(f"n_{role}"))
     found = found.join(text("eval", "a"), "eval_sid").join(text("train", "b"), "train_sid").withColumn("need", F.expr(least("greatest(n_eval, n_train)")))
     return found.withColumn("same", agreeing("a", "b", "need")).filter("same >= need").select("eval_sid", "train_sid", "same", "n_eval", "n_train")
@@ -131,7 +131,7 @@ def pairs(rows: DataFrame, agree: float = AGREE) -> DataFrame:
     m = members(rows)
     side = lambda role: m.filter(F.col("role") == role).select("kind", F.col("class").alias(f"{role}_class"), F.col("id").alias(f"{role}_id"))
     # A class may have many clips and many links, so both joins are cut into cells.
-    ev = join_grid(links(rows, agree), side("eval"), ["kind", "eval_class"]).select("kind", "train_class", "eval_id")
+    ev = join_grid(cut_lineage(links(rows, agree)), side("eval"), ["kind", "eval_class"]).select("kind", "train_class", "eval_id")
     both = join_grid(cut_lineage(ev), side("train"), ["kind", "train_class"])
     return both.groupBy("eval_id", "train_id").agg(F.bool_or(F.col("kind") == "file").alias("same_file"), F.bool_or(F.col("kind") == "edit").alias("same_edit"))
 
