@@ -53,14 +53,45 @@ def test_planted_passages(spark):
 
 
 def test_blocks_of_items_change_nothing(spark):
+    """Down to the lengths of passages; items of an opening of their own, of which few are in one block, among them."""
     docs, items, want = build()
-    assert got(spark, docs, items, block_bytes=9000) == want
+    rng = random.Random(9)
+    mine = "these nine words are how eight of us begin"
+    items += [(200 + i, mine + " " + " ".join(rng.choice(WORDS) for _ in range(30))) for i in range(8)]
+    docs += [(500 + i, items[40 + i][1]) for i in range(8)]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    results = [{tuple(r) for r in leakage.leaks(d, i, block_bytes=n).collect()} for n in (10**9, 9000, 4000)]
+    assert results[0] == results[1] == results[2]
+    assert {r[:2] for r in results[0]} == want | {(500 + k, 200 + k) for k in range(8)}
+    assert all(r[2] == 30 for r in results[0] if r[0] >= 500)
+
+
+def test_equal_items_are_reported_each_and_no_opening(spark):
+    rng = random.Random(11)
+    text = " ".join(rng.choice(WORDS) for _ in range(50))
+    assert got(spark, [(1, "so " + text)], [(i, text) for i in range(7)]) == {(1, i) for i in range(7)}
+
+
+def test_longest_run_against_all_runs():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (1, 23, 24, 40, 90):
+        for p in (0.02, 0.1, 0.2):
+            c = rng.random(n) > p
+            runs = [e - s for s in range(n) for e in range(s + 24, n + 1) if 10 * (~c[s:e]).sum() <= e - s]
+            assert leakage.longest(c) == max(runs, default=0)
+
+
+def test_a_passage_repeated_many_times(spark):
+    docs, items, _ = build()
+    assert got(spark, [(1, (items[3][1] + " ") * 400)], items) == {(1, 3)}
 
 
 def test_against_brute_force(spark):
     """Every window of an item against every place of a document."""
     docs, items, _ = build(8)
-    bodies = dict(leakage.bodies(items))
+    bodies = {r.item_id: list(r.body) for r in leakage.bodies(spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     want = set()
     import pyarrow as pa
 

@@ -3,29 +3,35 @@
 Prefix-filtered set join over shingles of five words. Every window of ``WINDOW`` words of an item has WINDOW - 4 shingles; if
 one word in ten may be altered (``ALTERED`` in a window that lies unluckily), at least ``LEAST`` of them stand unaltered in the
 document. The shingles are ordered by how many documents hold them, counted over the whole corpus, and a document must hold one of the
-WINDOW - 4 - LEAST + 1 rarest of a window: only these are join tokens. Pairs then need ``LEAST`` shingles in all, and what is
-left is verified word by word over item-sized windows of the document: at least WINDOW words of the item in a row, one in ten
-altered at most. Passages may be broken by other text of up to ``GAP`` words.
+WINDOW - 4 - LEAST + 1 rarest of a window: these are the join tokens, and only they are posted, so a pair of document and item exists only
+where both hold such a token, at places between which a passage fits (positional bound). Pairs then need ``LEAST`` shingles
+in all, and what is left is verified word by word over item-sized windows of the document: at least WINDOW words of the item in a
+row, one in ten altered at most. Passages may be broken by other text of up to ``GAP`` words.
 
 Looks don't count: mark-up, letter case, punctuation, soft hyphens, odd blanks, line breaks and wide characters are taken
-away on both sides. Words are what blanks separate. The sentence with which items of a language open alike (see
-:func:`bodies`) is no part of an item.
+away on both sides. Words are what blanks separate; they are compared by 64-bit hashes. The sentence with which items of a language
+open alike is no part of an item (:func:`bodies`, computed over all items).
 
-Items are a stated query set: they are taken in blocks of at most ``BLOCK_BYTES`` of text, each broadcast once, so what is
-broadcast never grows with the corpus. Per block the corpus is read once; it keeps word numbers only. Null or blank texts
-hold nothing; equal documents are reported each; rows with a null id are dropped. Extra columns are ignored.
+The corpus is read once: words become numbers, and those documents are written that hold LEAST shingles of any item, together
+with the counts of shingles over all documents. Which shingles are looked for is a bitmap of at most ``BITS`` bits; where it errs, a
+document too many is written. Items are a stated query set: against what was written they are taken in blocks of at most ``BLOCK_BYTES``
+of text, each broadcast once, so what is broadcast never grows with the corpus. Results don't depend on the blocks.
+
+Null or blank texts hold nothing; equal documents and equal items are reported each; rows with a null id are dropped; of several
+texts of one item_id the first in order counts. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tideline.session import cut_lineage
 
@@ -35,6 +41,10 @@ ALTERED = 0.1
 LEAST = 4
 GAP = 40
 BLOCK_BYTES = 4_000_000
+#: Items that begin with the same so many words and are so many at least open alike, as far as so many of them agree.
+OPENING, ALIKE, AGREE = 6, 5, 0.9
+#: Most bits of the bitmap of shingles (16 MB); 64 per shingle where that is less.
+BITS = 1 << 27
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,134 +63,182 @@ def words(texts: pa.Array) -> pa.Array:
     return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(t))
 
 
-def bodies(items: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
-    """Items as words, without the opening that five or more of them share (their common prefix, by their first six words)."""
-    ws = words(pa.array([t for _, t in items], pa.string())).to_pylist()
-    opening: dict[tuple, list[list[str]]] = defaultdict(list)
-    for w in ws:
-        opening[tuple(w[:6])].append(w)
-    cut = {}
-    for k, group in opening.items():
-        n = 0
-        if len(group) >= 5:
-            short = min(map(len, group))
-            while n < short and Counter(w[n] for w in group).most_common(1)[0][1] >= 0.9 * len(group):
-                n += 1
-        cut[k] = n
-    return [(i, w[cut[tuple(w[:6])] :]) for (i, _), w in zip(items, ws)]
-
-
-class Index:
-    """Words and shingles of one block of items."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.ids, self.bodies = [], []
-        for i, w in bodies(items):
-            if len(w) >= WINDOW:
-                self.ids.append(i)
-                self.bodies.append(w)
-        self.vocab = sorted({x for w in self.bodies for x in w})
-        number = {x: k for k, x in enumerate(self.vocab)}
-        self.seqs = [np.array([number[x] for x in w], np.int32) for w in self.bodies]
-        codes = [shingles(s) for s in self.seqs]
-        self.codes = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.uint64)
-        self.of = [np.searchsorted(self.codes, c) for c in codes]
-        sh = np.concatenate(self.of) if codes else np.zeros(0, np.int64)
-        owner = np.concatenate([np.full(len(c), k) for k, c in enumerate(codes)]) if codes else sh
-        pos = np.concatenate([np.arange(len(c)) for c in codes]) if codes else sh
-        o = np.argsort(sh, kind="stable")
-        self.owner, self.pos = owner[o], pos[o]
-        self.start = np.searchsorted(sh[o], np.arange(len(self.codes) + 1))
-        self.prefix = np.ones(len(self.codes), bool)
-        del self.bodies
-
-    def rank(self, counts: np.ndarray) -> None:
-        """Mark the join tokens: the rarest shingles of each window, as many as the prefix filter needs."""
-        per = WINDOW - SHINGLE + 1
-        need = per - LEAST + 1
-        order = np.lexsort((np.arange(len(counts)), counts)).argsort()
-        self.prefix[:] = False
-        for o in self.of:
-            for s in range(len(o) - per + 1):
-                w = o[s : s + per]
-                self.prefix[w[np.argsort(order[w])[:need]]] = True
+def numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, one after the other, and where each text's begin and the last one's end."""
+    lists = words(texts)
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    off = lists.offsets.to_numpy()
+    coded = lists.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+    seen = np.fromiter((xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return seen[coded.indices.to_numpy()] if len(seen) else np.zeros(0, np.uint64), off - off[0]
 
 
 def shingles(seq: np.ndarray) -> np.ndarray:
-    """Codes of the runs of five words of ``seq``; 0 where a word is unknown (-1)."""
+    """Codes of the runs of five words of ``seq``."""
     n = len(seq) - SHINGLE + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    s = (seq.astype(np.int64) + 1).astype(np.uint64)
-    code, ok = np.zeros(n, np.uint64), np.ones(n, bool)
+    code = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
-        part = s[k : k + n]
-        code = (code ^ part) * _MIX
+        code = (code ^ seq[k : k + n]) * _MIX
         code ^= code >> np.uint64(29)
-        ok &= part > 0
-    return np.where(ok, code | np.uint64(1), np.uint64(0))
+    return code
 
 
-def _lookup(index: Index, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``codes`` that hold a shingle of the index, and which."""
-    at = np.flatnonzero(codes)
-    if not len(at) or not len(index.codes):
-        return at[:0], at[:0]
-    c = codes[at]
-    k = np.searchsorted(index.codes, c)
-    k[k == len(index.codes)] = 0
-    hit = index.codes[k] == c
-    return at[hit], k[hit]
+def _inside(at: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text of each place, and whether a shingle from there on ends within it."""
+    doc = np.searchsorted(off, at, side="right") - 1
+    return doc, at + SHINGLE <= off[np.minimum(doc + 1, len(off) - 1)]
 
 
-def _numbers(broadcast):
-    """Documents -> word numbers, of those documents that hold at least LEAST shingles of any item."""
+def bodies(items: DataFrame) -> DataFrame:
+    """item_id, class (the smallest id with that body), body (words): items without the opening they share with others, at least
+    WINDOW words long. Counted over all items: how many different ones begin with the same words, and which word most of
+    these have at each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = broadcast.value
-        vocab = pa.array(index.vocab, pa.string())
+        for b in batches:
+            lists = words(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists], names=["item_id", "w"])
+
+    one = items.select("item_id", "text").filter("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    w = cut_lineage(one.mapInArrow(run, "item_id bigint, w array<string>").withColumn("h", F.md5(F.concat_ws(" ", "w"))).withColumn("g", F.md5(F.concat_ws(" ", F.slice("w", 1, OPENING)))))
+    differ = w.dropDuplicates(["h"])
+    sizes = differ.groupBy("g").agg(F.count("*").alias("size")).filter(F.col("size") >= ALIKE)
+    at = differ.join(sizes, "g").select("g", "size", F.posexplode("w").alias("p", "x")).groupBy("g", "size", "p", "x").agg(F.count("*").alias("c"))
+    at = at.groupBy("g", "p").agg((F.max("c") >= AGREE * F.first("size")).alias("same"))
+    # The opening ends at the first place where too few agree, or behind the last place there is.
+    opening = at.groupBy("g").agg(F.coalesce(F.min(F.when(~F.col("same"), F.col("p"))), F.max("p") + 1).alias("n"))
+    body = w.join(opening, "g", "left").select("item_id", F.expr("slice(w, coalesce(n, 0) + 1, size(w))").alias("body")).filter(F.size("body") >= WINDOW)
+    body = body.withColumn("h", F.md5(F.concat_ws(" ", "body")))
+    return cut_lineage(body.join(body.groupBy("h").agg(F.min("item_id").alias("class")), "h").select("item_id", "class", "body"))
+
+
+def _hashed(body: pa.Array) -> list[np.ndarray]:
+    """Word hashes of each body."""
+    return [np.fromiter(map(xxh64_intdigest, b), np.uint64, len(b)) for b in body.to_pylist()]
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        c = [shingles(x) for x in _hashed(b.column("body"))]
+        if c:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(c)).view(np.int64))], names=["code"])
+
+
+def _bitmap(body: DataFrame) -> np.ndarray:
+    """64 bits a word; bit (code mod size) is set for each shingle of an item. Words are put together by the cluster."""
+    n = body.agg(F.coalesce(F.sum(F.size("body")), F.lit(0)).alias("n")).collect()[0].n
+    size = min(BITS, 1 << max(12, int(64 * n).bit_length()))
+    at = F.pmod("code", F.lit(size))
+    rows = body.select("body").mapInArrow(_codes, "code bigint").groupBy(F.floor(at / 64).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(code, 64) as int))")).alias("v")).collect()  # at most BITS / 64
+    out = np.zeros(size // 64, np.int64)
+    out[[r.k for r in rows]] = [r.v for r in rows]
+    return out.view(np.uint64)
+
+
+_SCANNED = "doc_id bigint, ids array<bigint>, code bigint, n bigint"
+
+
+def _scan(bitmap):
+    """Documents -> rows (doc_id, ids) of those that hold LEAST shingles of items, and rows (code, n): documents that hold it."""
+
+    def counted(total: dict[int, int]) -> pa.RecordBatch:
+        none = pa.nulls(len(total), pa.int64())
+        k = np.fromiter(total, np.uint64, len(total)).view(np.int64)
+        return pa.RecordBatch.from_arrays([none, pa.nulls(len(total), pa.list_(pa.int64())), pa.array(k), pa.array(list(total.values()), pa.int64())], names=["doc_id", "ids", "code", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        mask = np.uint64(len(bits) * 64 - 1)
+        total: dict[int, int] = {}
         for big in batches:
             for a in range(0, big.num_rows, 2000):
                 b = big.slice(a, 2000)
-                lists = words(b.column("text"))
-                if isinstance(lists, pa.ChunkedArray):
-                    lists = lists.combine_chunks()
-                off = lists.offsets.to_numpy()
-                ids = pc.fill_null(pc.index_in(lists.values, value_set=vocab), -1).to_numpy(zero_copy_only=False).astype(np.int32)
-                base = off[0]
-                off = off - base
-                ids = ids[: off[-1]] if base == 0 else ids[base : base + off[-1]]
-                at, _ = _lookup(index, shingles(ids))
-                doc = np.searchsorted(off, at, side="right") - 1
-                inside = at + SHINGLE <= off[doc + 1]
-                n = np.bincount(doc[inside], minlength=b.num_rows)
-                keep = np.flatnonzero(n >= LEAST)
+                ids, off = numbers(b.column("text"))
+                code = shingles(ids)
+                low = code & mask
+                at = np.flatnonzero((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1))
+                doc, ok = _inside(at, off)
+                at, doc = at[ok], doc[ok]
+                if not len(at):
+                    continue
+                keep = np.flatnonzero(np.bincount(doc, minlength=b.num_rows) >= LEAST)
+                o = np.lexsort((code[at], doc))
+                c, d = code[at][o], doc[o]
+                once = np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
+                for k, n in zip(*(x.tolist() for x in np.unique(c[once], return_counts=True))):
+                    total[k] = total.get(k, 0) + n
                 if len(keep):
                     parts = [ids[off[k] : off[k + 1]] for k in keep]
-                    o = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keep)), pa.ListArray.from_arrays(o, pa.array(np.concatenate(parts), pa.int32()))], names=["doc_id", "ids"])
+                    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+                    none = pa.nulls(len(keep), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keep)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts).view(np.int64))), none, none], names=["doc_id", "ids", "code", "n"])
+                if len(total) > 500_000:
+                    yield counted(total)
+                    total = {}
+        if total:
+            yield counted(total)
 
     return run
 
 
-def _count(broadcast):
-    """In how many documents of this partition each shingle of the index stands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = broadcast.value
-        total = np.zeros(len(index.codes), np.int64)
-        for b in batches:
-            lists = b.column("ids")
-            off = lists.offsets.to_numpy()
-            at, k = _lookup(index, shingles(lists.values.to_numpy()[: off[-1]]))
-            doc = np.searchsorted(off, at, side="right") - 1
-            inside = (doc >= 0) & (at + SHINGLE <= off[np.minimum(doc + 1, len(off) - 1)])
-            pair = np.unique(doc[inside] * len(index.codes) + k[inside])
-            total += np.bincount(pair % len(index.codes), minlength=len(index.codes))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k], pa.int64())], names=["k", "n"])
+class Index:
+    """Shingles of one block of items, the join tokens among them, and where these stand."""
 
-    return run
+    def __init__(self, items: list[tuple[int, list[str]]], counts: dict[int, int]) -> None:
+        self.ids = [i for i, _ in items]
+        self.seqs = [np.fromiter(map(xxh64_intdigest, w), np.uint64, len(w)) for _, w in items]
+        codes = [shingles(s) for s in self.seqs]
+        self.codes = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.uint64)
+        of = [np.searchsorted(self.codes, c) for c in codes]
+        # Per item its shingles in order of their number, and their places.
+        self.order = [np.argsort(x, kind="stable") for x in of]
+        self.sorted = [x[o] for x, o in zip(of, self.order)]
+        n = np.array([counts.get(c, 0) for c in self.codes.view(np.int64).tolist()], np.int64)
+        rank = np.lexsort((np.arange(len(n)), n)).argsort()  # rarest first, equally rare ones by their code
+        per = WINDOW - SHINGLE + 1
+        need = per - LEAST + 1
+        owner, pos, token = [], [], []
+        for k, x in enumerate(of):
+            w = np.lib.stride_tricks.sliding_window_view(rank[x], per)
+            first = np.argpartition(w, need - 1, axis=1)[:, :need] if need < per else np.tile(np.arange(per), (len(w), 1))
+            p = np.unique(first + np.arange(len(w))[:, None])
+            owner.append(np.full(len(p), k)), pos.append(p), token.append(x[p])
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        owner, pos, token = join(owner), join(pos), join(token)
+        o = np.argsort(token, kind="stable")
+        self.owner, self.pos = owner[o], pos[o]
+        self.start = np.searchsorted(token[o], np.arange(len(self.codes) + 1))
+        self.length = np.array([len(s) for s in self.seqs])
+
+    def lookup(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``codes`` that hold a shingle of the block, and which."""
+        if not len(self.codes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        at = np.flatnonzero(self.codes[k] == codes)
+        return at, k[at]
+
+    def shared(self, item: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For shingles k of a document: those that the item has too (their places in k) and where the item has them."""
+        lo, hi = np.searchsorted(self.sorted[item], k, "left"), np.searchsorted(self.sorted[item], k, "right")
+        many = hi - lo
+        rep = np.repeat(np.arange(len(k)), many)
+        return rep, self.order[item][np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+
+
+def longest(cover: np.ndarray) -> int:
+    """Length of the longest run of which at most one place in ten is not covered; 0 if under WINDOW.
+
+    A run from s to e is one if 10 * bad(s, e) <= e - s, that is g[e] <= g[s] for g = 10 * (bad places before) - place; the first
+    such s for each e is found in the running maximum of g.
+    """
+    g = 10 * np.concatenate([[0], np.cumsum(~cover)]) - np.arange(len(cover) + 1)
+    first = np.searchsorted(np.maximum.accumulate(g), g)
+    best = int((np.arange(len(g)) - first).max())
+    return best if best >= WINDOW else 0
 
 
 def holds(doc: np.ndarray, item: np.ndarray, dpos: np.ndarray, ipos: np.ndarray) -> int:
@@ -190,52 +248,35 @@ def holds(doc: np.ndarray, item: np.ndarray, dpos: np.ndarray, ipos: np.ndarray)
     visible); pieces that follow each other in item and document, at most GAP words apart, add up.
     """
     n = len(item)
-    diags: dict[int, list[int]] = defaultdict(list)
-    for d, i in zip((dpos - ipos).tolist(), ipos.tolist()):
-        diags[d].append(i)
     pieces = []
-    for d, at in diags.items():
+    o = np.lexsort((ipos, dpos - ipos))
+    diag = (dpos - ipos)[o]
+    for part in np.split(o, np.flatnonzero(np.diff(diag)) + 1):
+        d = int(dpos[part[0]] - ipos[part[0]])
         lo, hi = max(0, -d), min(n, len(doc) - d)
-        eq = np.zeros(n, bool)
-        eq[lo:hi] = doc[lo + d : hi + d] == item[lo:hi]
-        seen = np.zeros(n, bool)
-        for i in at:
-            seen[i : i + SHINGLE] = True
-        # From a shared shingle on, words go on counting over gaps of up to two words.
-        for step in (1, -1):
-            miss, on = 9, False
-            for j in range(n) if step == 1 else range(n - 1, -1, -1):
-                if seen[j]:
-                    on, miss = True, 0
-                elif on and eq[j]:
-                    seen[j], miss = True, 0
-                elif on:
-                    miss += 1
-                    on = miss <= 2
-        k = np.flatnonzero(seen)
+        good = np.flatnonzero(doc[lo + d : hi + d] == item[lo:hi]) + lo
+        # Equal words belong to a shared shingle if no more than two others stand between any two on the way to it.
+        run = np.concatenate([[0], np.cumsum(np.diff(good) > 3)])
+        good = good[np.isin(run, run[np.searchsorted(good, ipos[part])])]
         # Far parts of one diagonal are still one piece: between them the document has other words.
-        pieces.append((int(k[0]), int(k[-1]) + 1, d, seen))
-    pieces.sort()
+        pieces.append((int(good[0]) + d, int(good[0]), int(good[-1]) + 1, d, good))
+    pieces.sort(key=lambda p: p[:4])
+    begin = np.array([p[0] for p in pieces])
     best = 0
-    chains = []
-    for a, b, d, seen in pieces:
-        cover = seen.copy()
+    for a_doc, a, b, d, good in pieces:
+        cover = np.zeros(n, bool)
+        cover[good] = True
         end_i, end_d = b, b + d
-        for a2, b2, d2, s2 in pieces:
-            if (a2, d2) > (a, d) and d2 != d and b2 > end_i and a2 >= end_i - SHINGLE - 3 and end_d - 8 <= a2 + d2 <= end_d + GAP:
-                cover |= s2
+        # Of the pieces that begin near where this one ends in the document, each that goes on in the item.
+        k = np.searchsorted(begin, end_d - 8)
+        while k < len(pieces) and begin[k] <= end_d + GAP:
+            _, a2, b2, d2, more = pieces[k]
+            if d2 != d and (a2, d2) > (a, d) and b2 > end_i and a2 >= end_i - SHINGLE - 3 and begin[k] >= end_d - 8:
+                cover[more] = True
                 end_i, end_d = b2, b2 + d2
-        chains.append(cover)
-    for cover in chains:
-        if int(cover.sum()) < int(WINDOW * (1 - ALTERED)):
-            continue
-        bad = np.concatenate([[0], np.cumsum(~cover)])
-        for length in range(n, WINDOW - 1, -1):
-            if length <= best:
-                break
-            if (bad[length:] - bad[:-length]).min() <= int(length * ALTERED):
-                best = length
-                break
+            k += 1
+        if cover.sum() >= int(WINDOW * (1 - ALTERED)):
+            best = max(best, longest(cover))
     return best
 
 
@@ -246,64 +287,61 @@ def _match(broadcast):
         for b in batches:
             lists = b.column("ids")
             off = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy()[: off[-1]]
-            at, k = _lookup(index, shingles(flat))
-            doc = np.searchsorted(off, at, side="right") - 1
-            inside = (doc >= 0) & (at + SHINGLE <= off[np.minimum(doc + 1, len(off) - 1)])
-            at, k, doc = at[inside], k[inside], doc[inside]
+            flat = lists.values.to_numpy()[off[0] : off[-1]].view(np.uint64)
+            off = off - off[0]
+            at, k = index.lookup(shingles(flat))
+            doc, ok = _inside(at, off)
+            at, k, doc = at[ok], k[ok], doc[ok]
+            # Pairs exist where a join token of the item stands in the document with room for a passage around it.
             many = index.start[k + 1] - index.start[k]
             rep = np.repeat(np.arange(len(at)), many)
             post = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index.start[k], many)
             owner, ipos = index.owner[post], index.pos[post]
-            pair = doc[rep] * n_items + owner
-            uniq, inv, n = np.unique(pair, return_inverse=True, return_counts=True)
-            rare = np.zeros(len(uniq), bool)
-            rare[inv[index.prefix[k[rep]]]] = True
-            good = np.flatnonzero((n >= LEAST) & rare)
-            if not len(good):
-                continue
-            order = np.argsort(inv, kind="stable")
-            first = np.concatenate([[0], np.cumsum(n)])
-            out = []
-            ids = b.column("doc_id").to_pylist()
-            for g in good.tolist():
-                sel = order[first[g] : first[g + 1]]
-                d, i = divmod(int(uniq[g]), n_items)
-                got = holds(flat[off[d] : off[d + 1]], index.seqs[i], at[rep[sel]] - off[d], ipos[sel])
-                if got:
-                    out.append((ids[d], index.ids[i], got, len(index.seqs[i])))
+            dpos = at[rep] - off[doc[rep]]
+            room = np.minimum(dpos, ipos) + np.minimum(off[doc[rep] + 1] - off[doc[rep]] - dpos, index.length[owner] - ipos)
+            fits = room >= int(WINDOW * (1 - ALTERED))
+            pairs = np.unique(doc[rep][fits] * n_items + owner[fits])
+            first = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            ids, out = b.column("doc_id").to_pylist(), []
+            for d, i in zip((pairs // n_items).tolist(), (pairs % n_items).tolist()):
+                mine = slice(first[d], first[d + 1])
+                which, ip = index.shared(i, k[mine])
+                dp = at[mine][which] - off[d]
+                if len(np.unique(dp)) >= LEAST:
+                    got = holds(flat[off[d] : off[d + 1]], index.seqs[i], dp, ip)
+                    if got:
+                        out.append((ids[d], index.ids[i], got, len(index.seqs[i])))
             if out:
                 c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())], names=["doc_id", "item_id", "n_words", "item_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())], names=["doc_id", "class", "n_words", "item_words"])
 
     return run
 
 
-_FOUND = "doc_id bigint, item_id bigint, n_words int, item_words int"
-
-
 def leaks(documents: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, n_words (longest passage), item_words: one row per document and item it holds a passage of."""
     spark = documents.sparkSession
-    items = items.select("item_id", "text").filter("item_id is not null and text is not null").dropDuplicates(["item_id"])
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).collect()[0].n
-    n_blocks = max(1, -(-int(size) // block_bytes))
-    found = None
-    for k in range(n_blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()
-        index = Index(sorted((r.item_id, r.text) for r in block))
-        if not index.ids:
-            continue
-        words_of = spark.sparkContext.broadcast(index)
+    body = bodies(items)
+    one = body.filter("item_id = class")
+    size = one.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "body"))), F.lit(0)).alias("n")).collect()[0].n
+    found = spark.createDataFrame([], "doc_id bigint, class bigint, n_words int, item_words int")
+    if size:
         docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
-        numbers = cut_lineage(docs.mapInArrow(_numbers(words_of), "doc_id bigint, ids array<int>"))
-        counts = np.zeros(len(index.codes), np.int64)
-        for r in numbers.select("doc_id", "ids").mapInArrow(_count(words_of), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():  # a row per shingle of the block
-            counts[r.k] = r.n
-        index.rank(counts)
-        part = numbers.mapInArrow(_match(spark.sparkContext.broadcast(index)), _FOUND)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], _FOUND) if found is None else found
+        scanned = cut_lineage(docs.mapInArrow(_scan(spark.sparkContext.broadcast(_bitmap(one))), _SCANNED))
+        kept = scanned.filter("ids is not null").select("doc_id", "ids")
+        counts = scanned.filter("code is not null").groupBy("code").agg(F.sum("n").alias("n"))
+        n_blocks = max(1, -(-int(size) // block_bytes))
+        counts = cut_lineage(counts) if n_blocks > 1 else counts
+        parts = []
+        for k in range(n_blocks):
+            block = one.filter(F.pmod(F.xxhash64("class"), F.lit(n_blocks)) == k)
+            part = sorted((r["class"], r.body) for r in block.select("class", "body").collect())
+            if part:
+                of = block.select("body").mapInArrow(_codes, "code bigint").distinct().join(counts, "code")
+                index = Index(part, {r.code: r.n for r in of.collect()})  # a row per shingle of the block
+                parts.append(kept.mapInArrow(_match(spark.sparkContext.broadcast(index)), found.schema))
+        found = reduce(DataFrame.unionByName, parts)
+    return found.join(body.select("item_id", "class"), "class").select("doc_id", "item_id", "n_words", "item_words")
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
