@@ -40,6 +40,8 @@ WINDOW = 24
 ALTERED = 0.1
 LEAST = 4
 GAP = 40
+#: Fewest unaltered words of a passage.
+LEAST_WORDS = WINDOW - int(WINDOW * ALTERED)
 BLOCK_BYTES = 4_000_000
 #: Items that begin with the same so many words and are so many at least open alike, as far as so many of them agree.
 OPENING, ALIKE, AGREE = 6, 5, 0.9
@@ -193,9 +195,12 @@ class Index:
         codes = [shingles(s) for s in self.seqs]
         self.codes = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.uint64)
         of = [np.searchsorted(self.codes, c) for c in codes]
-        # Per item its shingles in order of their number, and their places.
-        self.order = [np.argsort(x, kind="stable") for x in of]
-        self.sorted = [x[o] for x, o in zip(of, self.order)]
+        # All shingles of all items in one order, item * number of shingles + shingle, and their places.
+        every = [x + k * len(self.codes) for k, x in enumerate(of)]
+        every = np.concatenate(every) if every else np.zeros(0, np.int64)
+        place = np.concatenate([np.arange(len(x)) for x in of]) if of else every
+        o = np.argsort(every, kind="stable")
+        self.every, self.place = every[o], place[o]
         n = np.array([counts.get(c, 0) for c in self.codes.view(np.int64).tolist()], np.int64)
         rank = np.lexsort((np.arange(len(n)), n)).argsort()  # rarest first, equally rare ones by their code
         per = WINDOW - SHINGLE + 1
@@ -221,12 +226,18 @@ class Index:
         at = np.flatnonzero(self.codes[k] == codes)
         return at, k[at]
 
-    def shared(self, item: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For shingles k of a document: those that the item has too (their places in k) and where the item has them."""
-        lo, hi = np.searchsorted(self.sorted[item], k, "left"), np.searchsorted(self.sorted[item], k, "right")
-        many = hi - lo
-        rep = np.repeat(np.arange(len(k)), many)
-        return rep, self.order[item][np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+    def shared(self, item: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For shingles k, each asked about one item: those that it has (their places in k) and where it has them."""
+        q = item * len(self.codes) + k
+        lo = np.searchsorted(self.every, q, "left")
+        many = np.searchsorted(self.every, q, "right") - lo
+        return _spread(lo, many)
+
+
+def _spread(start: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of several stretches from ``start``, ``many`` long: which stretch, and each place of it."""
+    rep = np.repeat(np.arange(len(many)), many)
+    return rep, np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
 
 
 def longest(cover: np.ndarray) -> int:
@@ -249,17 +260,23 @@ def holds(doc: np.ndarray, item: np.ndarray, dpos: np.ndarray, ipos: np.ndarray)
     """
     n = len(item)
     pieces = []
-    o = np.lexsort((ipos, dpos - ipos))
-    diag = (dpos - ipos)[o]
-    for part in np.split(o, np.flatnonzero(np.diff(diag)) + 1):
-        d = int(dpos[part[0]] - ipos[part[0]])
+    diag = dpos - ipos
+    o = np.argsort(diag, kind="stable")
+    edges = np.flatnonzero(np.diff(diag[o])) + 1
+    for part in np.split(o, edges) if len(edges) else (o,):
+        d = int(diag[part[0]])
         lo, hi = max(0, -d), min(n, len(doc) - d)
-        good = np.flatnonzero(doc[lo + d : hi + d] == item[lo:hi]) + lo
+        good = (doc[lo + d : hi + d] == item[lo:hi]).nonzero()[0] + lo
         # Equal words belong to a shared shingle if no more than two others stand between any two on the way to it.
-        run = np.concatenate([[0], np.cumsum(np.diff(good) > 3)])
-        good = good[np.isin(run, run[np.searchsorted(good, ipos[part])])]
+        run = np.zeros(len(good), np.int64)
+        run[1:] = (good[1:] - good[:-1] > 3).cumsum()
+        mine = np.zeros(len(good), bool)
+        mine[run[good.searchsorted(ipos[part])]] = True
+        good = good[mine[run]]
         # Far parts of one diagonal are still one piece: between them the document has other words.
         pieces.append((int(good[0]) + d, int(good[0]), int(good[-1]) + 1, d, good))
+    if sum(len(p[4]) for p in pieces) < LEAST_WORDS:
+        return 0
     pieces.sort(key=lambda p: p[:4])
     begin = np.array([p[0] for p in pieces])
     best = 0
@@ -275,7 +292,7 @@ def holds(doc: np.ndarray, item: np.ndarray, dpos: np.ndarray, ipos: np.ndarray)
                 cover[more] = True
                 end_i, end_d = b2, b2 + d2
             k += 1
-        if cover.sum() >= int(WINDOW * (1 - ALTERED)):
+        if cover.sum() >= LEAST_WORDS:
             best = max(best, longest(cover))
     return best
 
@@ -293,22 +310,28 @@ def _match(broadcast):
             doc, ok = _inside(at, off)
             at, k, doc = at[ok], k[ok], doc[ok]
             # Pairs exist where a join token of the item stands in the document with room for a passage around it.
-            many = index.start[k + 1] - index.start[k]
-            rep = np.repeat(np.arange(len(at)), many)
-            post = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index.start[k], many)
+            rep, post = _spread(index.start[k], index.start[k + 1] - index.start[k])
             owner, ipos = index.owner[post], index.pos[post]
-            dpos = at[rep] - off[doc[rep]]
-            room = np.minimum(dpos, ipos) + np.minimum(off[doc[rep] + 1] - off[doc[rep]] - dpos, index.length[owner] - ipos)
-            fits = room >= int(WINDOW * (1 - ALTERED))
-            pairs = np.unique(doc[rep][fits] * n_items + owner[fits])
+            size = np.diff(off)[doc]
+            dpos = at - off[doc]
+            room = np.minimum(dpos[rep], ipos) + np.minimum((size - dpos)[rep], index.length[owner] - ipos)
+            pairs = np.unique((doc[rep] * n_items + owner)[room >= LEAST_WORDS])
+            pdoc, pitem = pairs // n_items, pairs % n_items
             first = np.searchsorted(doc, np.arange(b.num_rows + 1))
             ids, out = b.column("doc_id").to_pylist(), []
-            for d, i in zip((pairs // n_items).tolist(), (pairs % n_items).tolist()):
-                mine = slice(first[d], first[d + 1])
-                which, ip = index.shared(i, k[mine])
-                dp = at[mine][which] - off[d]
-                if len(np.unique(dp)) >= LEAST:
-                    got = holds(flat[off[d] : off[d + 1]], index.seqs[i], dp, ip)
+            # So many pairs at a time that what they share fits in memory.
+            ends = np.cumsum(first[pdoc + 1] - first[pdoc]) // 500_000
+            for part in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(ends)) + 1):
+                pair, hit = _spread(first[pdoc[part]], first[pdoc[part] + 1] - first[pdoc[part]])
+                which, where = index.shared(pitem[part][pair], k[hit])
+                # A place of the document counts once, however often the item has its shingle.
+                once = np.bincount(pair[which[np.flatnonzero(np.diff(which, prepend=-1))]], minlength=len(part))
+                begin = np.searchsorted(pair[which], np.arange(len(part) + 1))
+                dp, ip = dpos[hit[which]], index.place[where]
+                for j in np.flatnonzero(once >= LEAST).tolist():
+                    d, i = int(pdoc[part[j]]), int(pitem[part[j]])
+                    mine = slice(begin[j], begin[j + 1])
+                    got = holds(flat[off[d] : off[d + 1]], index.seqs[i], dp[mine], ip[mine])
                     if got:
                         out.append((ids[d], index.ids[i], got, len(index.seqs[i])))
             if out:
