@@ -61,3 +61,63 @@ def test_empty_table_and_long_text(spark):
     assert found(make(spark, [["a", "x" * 70_000, "word " * 20_000 + "."]])) <= {("a", "title")}
     r = truncation.truncation_report(make(spark, corpus(30))).collect()
     assert {x.field for x in r} == {"title", "description"} and all(0 <= x.share_truncated <= 1 for x in r)
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+
+
+def test_copies_of_plain_words(spark):
+    """No digits, any length: what counts is that chance would not bring the shared part about."""
+    rng = random.Random(6)
+    rows = corpus(80)
+    for k in range(12):
+        t = words(rng, 14).capitalize() + ". " + words(rng, 9).capitalize() + "."
+        rows += [[f"long{k}", "clip", t], [f"short{k}", "clip", t[: t.index(".") + 1]]]
+    got = {i for i, f in found(make(spark, rows)) if f == "description"}
+    assert {f"short{k}" for k in range(12)} <= got and not any(i.startswith("long") for i in got)
+
+
+def test_whole_endings_that_look_broken(spark):
+    odd = ["Talk about R&D", "Evening Q&A", "Calls with AT&T", "Files in C:\\cafe", "Proof that a <b", "Why 3 < 4 &c"]
+    rows = corpus(120) + [[f"odd{k}", t, None] for k, t in enumerate(odd)]
+    assert not {i for i, _ in found(make(spark, rows)) if i.startswith("odd")}
+    rows = corpus(120) + [["a", "Night shift at Alboce Har\\u00", None], ["b", "Night shift at Alboce Harbour with the red cr <b", None], ["c", "Night shift at Alboce Harbour with the red &am", None]]
+    assert {("a", "title"), ("b", "title"), ("c", "title")} <= found(make(spark, rows))
+
+
+def test_neighbours_against_all_pairs(spark):
+    """Every value is compared with all others; partitions end anywhere, a third of the values open alike."""
+    rng = random.Random(7)
+    texts = {"".join(rng.choice("ab. ") for _ in range(rng.randint(1, 7))) for _ in range(400)} | {"hot " + "".join(rng.choice("xy…") for _ in range(rng.randint(0, 5))) for _ in range(200)} | {"x!", "x", "x! y", "長い", "長い話", "é", "éa", "😀", "😀b"}
+    texts = [t for t in texts if t.strip()]
+    core = lambda t: truncation._SOFT.sub("", t)
+    want = {(f, core(v)) for f in ("title", "description") for v in texts for w in texts if core(w) == w and core(v) and truncation._goes_on(core(v), w)}
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            v = spark.createDataFrame([(f, t, "i") for f in ("title", "description") for t in texts], "field string, value string, id string")
+            got = {tuple(r) for r in truncation.truncated_copies(v).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == want
+
+
+def test_contexts_against_plain_prefixes():
+    """Equal hashes exactly where what stands before is equal, whatever phrases are worked on together."""
+    rng = random.Random(8)
+    fm = truncation.Forms("title", frozenset("abcd"), frozenset("ab"))
+    rows = [[rng.choice(["a", "B", "c", "Zeta", "zeta", "12", "!"]) for _ in range(rng.randint(0, 9))] for _ in range(300)]
+    j, at, keys = fm.contexts(rows)
+    f = [[truncation.form(t, fm.known) for t in r] for r in rows]
+    o = [[x if x in fm.common or not x[0].isalpha() else "W" if t[0].isupper() else "w" for x, t in zip(a, r)] for a, r in zip(f, rows)]
+    places = [(r, p) for r in range(len(rows)) for p in range(len(rows[r]) + 1)]
+    assert [p for _, p in places] == j.tolist() and [fm.names[x] for x in at] == [f[r][p] if p < len(f[r]) else "$" for r, p in places]
+    for k, plain in enumerate((lambda r, p: tuple(f[r][:p]), lambda r, p: tuple(o[r][:p]), lambda r, p: tuple(f[r][max(0, p - 4) : p]), lambda r, p: tuple(f[r][max(0, p - 2) : p]))):
+        both = {(int(keys[k, i]), plain(r, p)) for i, (r, p) in enumerate(places)}
+        assert len(both) == len({x for x, _ in both}) == len({y for _, y in both})
+    one = fm.contexts(rows[7:8])[2]
+    first = places.index((7, 0))
+    assert (one == keys[:, first : first + one.shape[1]]).all()
