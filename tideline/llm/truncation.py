@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tideline.llm.common import latest, plain
-from tideline.plans.skew import join_unique
-from tideline.session import cut_lineage
+from tideline.plans.skew import HEAVY, join_unique
+from tideline.session import Rounds, cut_lineage
 
 FIELDS = ("title", "description")
 WORDS = 10_000
@@ -68,6 +68,10 @@ def tokens(text: str) -> list[str]:
 def unmarked(text: str) -> tuple[str, int]:
     """The text without marks of a loss at its end; 2 if the mark is a loss for sure, 1 if an ellipsis, 0 if none or one that may be
     the value's own."""
+    # Every mark ends in one of these or begins among the last few characters; a single full stop is the common case.
+    end = text.rstrip()[-8:]
+    if not (end.endswith(("…", "...", "]", "\ufffd")) or "\\" in end or "&" in end or "<" in end):
+        return text, 0
     for rx, mark in ((_SURE, 2), (_SOFT, 1), (_MAYBE, 0)):
         if m := rx.search(text):
             return text[: m.start()], mark
@@ -92,14 +96,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Forms:
-    """Numbers for the forms of words of one field, with their hashes; number 0 is the end of a phrase, 1 what stands before its start."""
+class Forms(dict):
+    """word -> number of its form and of its part in an outline, for one field; number 0 is the end of a phrase, 1 what stands
+    before its start."""
 
     def __init__(self, field: str, known: frozenset[str], common: frozenset[str]) -> None:
         self.known, self.common = known, common
         self.salt = [np.uint64(xxh64_intdigest(f"{k}{field}")) for k in "^~42"]
         self.names, self.number = ["$", ""], {"$": 0, "": 1}
-        self.memo: dict[str, tuple[int, int]] = {}
         self.hashes = np.array([xxh64_intdigest("$"), xxh64_intdigest("")], np.uint64)
 
     def _number(self, f: str) -> int:
@@ -108,22 +112,18 @@ class Forms:
             self.names.append(f)
         return self.number[f]
 
-    def of(self, tok: str) -> tuple[int, int]:
-        """Number of the word's form, and of its part in an outline."""
-        got = self.memo.get(tok)
-        if got is None:
-            f = form(tok, self.known)
-            o = f if f in self.common or not f[0].isalpha() else "W" if tok[0].isupper() else "w"
-            got = self._number(f), self._number(o)
-            if len(self.memo) < 200_000:
-                self.memo[tok] = got
+    def __missing__(self, tok: str) -> tuple[int, int]:
+        f = form(tok, self.known)
+        o = f if f in self.common or not f[0].isalpha() else "W" if tok[0].isupper() else "w"
+        got = self._number(f), self._number(o)
+        if len(self) < 200_000:
+            self[tok] = got
         return got
 
     def contexts(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each place j = 0..length of each phrase: j, the form that stands there (0 at the end), and the hashes of what stands
         before it: the whole phrase so far, its outline, the last four words, the last two. One row of places for all phrases."""
-        of = self.of
-        pairs = [of(t) for r in rows for t in r]
+        pairs = [self[t] for r in rows for t in r]
         size = np.fromiter(map(len, rows), np.int64, len(rows))
         total = int(size.sum()) + len(rows)
         if len(self.hashes) < len(self.names):
@@ -198,7 +198,7 @@ def _frequent(values: DataFrame) -> tuple[dict[str, frozenset[str]], dict[str, f
     return known, {f: frozenset(r.t for r in rows if r.field == f and r.n > r["all"] // COMMON) for f in FIELDS}
 
 
-_ASKED = "id string, field string, part string, rank int, key bigint, own string, raw string, bits double, mark int, stop boolean"
+_ASKED = "id string, field string, part string, rank int, key bigint, own string, raw string, bits double, mark int"
 
 
 def _questions(known: dict[str, frozenset[str]], common: dict[str, frozenset[str]]):
@@ -227,7 +227,7 @@ def _questions(known: dict[str, frozenset[str]], common: dict[str, frozenset[str
                     if c:
                         for p in range(len(r)):
                             w = DIGIT_BITS * sum(map(str.isdigit, r[p])) if r[p][0].isdigit() else RARE_BITS if fm.names[at[start + p]] in ("W", "w") else 0.0
-                            add((i, field, "chain", 2, int(keys[2, start + p]) if p else None, fm.names[at[start + p]], "", w, mark, False))
+                            add((i, field, "chain", 2, int(keys[2, start + p]) if p else None, fm.names[at[start + p]], "", w, mark))
                     if not last or not r:
                         continue
                     raw, own = r[-1].lower(), fm.names[at[e - 1]]
@@ -236,22 +236,21 @@ def _questions(known: dict[str, frozenset[str]], common: dict[str, frozenset[str
                     if stop and not (mark or c):
                         continue
                     for rank in range(4) if not stop else ():
-                        add((i, field, "end", rank, int(keys[rank, e]), own, raw, 0.0, mark, stop))
+                        add((i, field, "end", rank, int(keys[rank, e]), own, raw, 0.0, mark))
                         if r[-1][0].isalpha() and len(r) > 1 and (mark or not v[-1].isspace()):
-                            add((i, field, "word", rank, int(keys[rank, e - 1]), own, raw, 0.0, mark, stop))
+                            add((i, field, "word", rank, int(keys[rank, e - 1]), own, raw, 0.0, mark))
                     if stop:
-                        add((i, field, "none", 0, None, own, raw, 0.0, mark, stop))
+                        add((i, field, "none", 0, None, own, raw, 0.0, mark))
                 if out:
                     c = list(zip(*out))
-                    types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.bool_())
+                    types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names=[x.split()[0] for x in _ASKED.split(", ")])
 
     return run
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bit (key mod size) is set for each key asked about: 64 per key, BITS at most. A bit too many costs a row, nothing else."""
-    n = keys.count()
+def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
+    """Bit (key mod size) is set for each of n keys: 64 bits per key, BITS at most. A bit too many costs a row, nothing else."""
     size = min(BITS, 1 << max(12, int(64 * n).bit_length()))
     rows = keys.groupBy(F.floor(F.pmod("key", F.lit(size)) / 64).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(key, 64) as int))")).alias("v")).collect()  # at most BITS / 64
     out = np.zeros(size // 64, np.int64)
@@ -371,14 +370,16 @@ def truncated(clips: DataFrame) -> DataFrame:
     copies = truncated_copies(values).select("field", F.col("s").alias("_core"), F.lit(True).alias("copy"))
     marked = values.withColumn("_core", F.regexp_replace("value", soft, "")).join(copies, ["field", "_core"], "left").select("id", "field", "value", F.coalesce("copy", F.lit(False)).alias("copy"))
     asked = cut_lineage(marked.mapInArrow(_questions(known, common), _ASKED))
-    keys = asked.select("key").filter("key is not null").distinct()
-    bitmap = values.sparkSession.sparkContext.broadcast(_bitmap(keys))
-    follow = values.select("field", "value").mapInArrow(_continuations(known, common, bitmap), "key bigint, nxt string, n bigint").groupBy("key", "nxt").agg(F.sum("n").alias("n"))
-    # What follows a run of words, in one row per run; slots and words together are bounded by the list of known words.
-    seen = follow.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("nxt") == "$", F.col("n")).otherwise(0)).alias("ends"), F.map_from_entries(F.collect_list(F.struct("nxt", "n"))).alias("nexts"))
-    # Both halves of the join below read it.
-    seen = cut_lineage(seen)
-    ans = join_unique(asked, seen, "key", "left").withColumn("all", F.coalesce("all", F.lit(0)))
+    keys, of = Rounds().put(asked.filter("key is not null").groupBy("key").agg(F.count("*").alias("n")), keys=F.count("*"), rows=F.coalesce(F.sum("n"), F.lit(0)))
+    heavy = [r.key for r in keys.filter(F.col("n") > max(10_000, of["rows"] // HEAVY)).collect()] if of["rows"] > 10_000 else []
+    bitmap = values.sparkSession.sparkContext.broadcast(_bitmap(keys, of["keys"]))
+    follow = values.select("field", "value").mapInArrow(_continuations(known, common, bitmap), "key bigint, nxt string, n bigint")
+    # What follows a run of words, in one row per run; slots and words together are bounded by the list of known words. Tasks have
+    # added up before, so rows go to their key at once.
+    seen = follow.repartition("key").groupBy("key", "nxt").agg(F.sum("n").alias("n"))
+    seen = seen.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("nxt") == "$", F.col("n")).otherwise(0)).alias("ends"), F.map_from_entries(F.collect_list(F.struct("nxt", "n"))).alias("nexts"))
+    # Both halves of the join below read it where a key is heavy.
+    ans = join_unique(asked, cut_lineage(seen) if heavy else seen, "key", "left", heavy=heavy).withColumn("all", F.coalesce("all", F.lit(0)))
     longer = F.aggregate(F.map_entries("nexts"), F.lit(0).cast("bigint"), lambda a, e: a + F.when(e["key"].startswith(F.col("raw")) & (e["key"] != F.col("raw")) & (F.length(e["key"]) > 1), e["value"]).otherwise(0))
     same = F.coalesce(F.element_at("nexts", F.col("own")), F.lit(0))
     ans = ans.withColumn("longer", F.when(F.col("part") == "word", F.coalesce(longer, F.lit(0)))).withColumn("same", same)
