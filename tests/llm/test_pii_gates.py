@@ -1,8 +1,8 @@
 import pytest
 
-from tideline.llm import pii
+from tideline.llm import pii, pii_sample
 
-NAMES = pii.names_regex(pii.GIVEN_NAMES)
+NAMES = pii.names_regex(tuple(pii_sample.GIVEN))
 
 
 @pytest.mark.parametrize(

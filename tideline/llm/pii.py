@@ -4,10 +4,11 @@ Generators with high recall propose spans, which may overlap; a span is describe
 trees, one model per kind, give each span a calibrated probability; spans above the kind's threshold are kept, of overlapping
 ones the most probable (of equally probable ones, to a tenth, the longest). Redaction replaces each by a placeholder of its kind and leaves the rest of the text as it is.
 
-Labels for the fit come from what the formats guarantee in public (:func:`label`): top-level domains and number ranges
-that nobody can hold, against the same shapes after words that name something else (orders, tickets, rolls). The trees do not
-see those ranges as such; they see lengths, groups, signs, shapes and how the words around were labelled in the sample. The fit of the trees takes
-at most ``SAMPLE`` documents, those with the smallest hashes; everything else reads all documents and whole texts.
+The trees are fitted to a labelled sample written by hand (:mod:`tideline.llm.pii_sample`, ``TIMES`` fillings of each of its
+sentences), never to the corpus, and see formats (public numbering plans, shapes of identity documents, street words) and kinds of words around,
+not the words themselves. From the corpus come two counts over all documents and whole texts: given names, taken where they
+follow a title or label three times or more, and lower-case words so common that they are no names. Names without a title are so found
+if the given name is common in public lists or has been introduced somewhere in the corpus.
 
 Null and blank texts hold nothing; rows with a null id are dropped; repeated texts are reported under each id. An empty table
 gives no rows. Offsets count Unicode characters from 0.
@@ -17,25 +18,20 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm import pii_sample
 from tideline.llm.boosting import Trees
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Most documents to which the models are fitted, all their characters, and those of one of them (longer ones are not sampled).
-SAMPLE, SAMPLE_CHARS, SAMPLE_TEXT = 1500, 4_000_000, 100_000
-
-# Given names; a parameter of `fit`, which adds those it counts after titles and labels in all documents.
-GIVEN_NAMES = (
-    "Anouk", "Anselm", "Åsa", "Bruna", "Celia", "Davor", "Elske", "Emeka", "Farida", "Greta", "Henrik", "Ilvar", "Ivo", "Jorun", "Jörun", "Kasper",
-    "Kirra", "Lennart", "Liv", "Mara", "Marek", "Milos", "Nadine", "Noor", "Odile", "Oskel", "Petra", "Rasmus", "Ruvan", "Salome", "Sanne", "Stellan",
-    "Talia", "Tarek", "Tobin", "Viggo", "Wanda", "Ximena", "Yusra", "Zora",
-)
+#: How often each line of the labelled sample is filled: about 3,300 mentions and as many spans that are none.
+TIMES = 24
+
 # Words that end or open street names.
 STREETS = "road|rd|street|st|avenue|ave|lane|ln|close|crescent|cres|drive|dr|way|court|ct|place|pl|square|boulevard|blvd|terrace|row|walk|gardens|mews|hill"
 _STRASSEN = "straße|strasse|str\\.|weg|allee|gasse|platz|ring|damm|ufer"
@@ -50,7 +46,7 @@ _SPOKEN = re.compile(rf"\b(?:(?:{_DIGIT})[ \-]){{5,}}(?:{_DIGIT})\b")
 _SIGN = r"(?:" + _S + r"?[@＠]" + _S + r"?|" + _S + r"?[\[({]" + _S + r"?(?:at|AT|@)" + _S + r"?[\])}]" + _S + r"?)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 _DOTS = r"(?:\.|" + _S + r"\." + _S + r"|" + _S + r"?[\[({]" + _S + r"?(?:dot|DOT)" + _S + r"?[\])}]" + _S + r"?|" + _S + r"(?:dot|DOT)" + _S + r")"
-_HOST = r"(?:" + _LABEL + r"(?:" + _DOTS + _LABEL + r"){0,4}?" + _DOTS + r"[A-Za-z]{2,12})(?![A-Za-z0-9]|-[A-Za-z0-9])(?!" + _DOTS + r"[A-Za-z]{2,12}(?![A-Za-z0-9]))"
+_HOST = r"(?:" + _LABEL + r"(?:" + _DOTS + _LABEL + r")*?" + _DOTS + r"[A-Za-z]{2,12})(?![A-Za-z0-9]|-[A-Za-z0-9])(?!" + _DOTS + r"[A-Za-z]{2,12}(?![A-Za-z0-9]))"
 _DOMAIN = re.compile(_SIGN + _HOST)
 _SAID = re.compile(_S + r"(?:at|AT)" + _S + _HOST)
 #: What every match of _DOMAIN holds.
@@ -62,7 +58,7 @@ _SPANISH = re.compile(rf"(?<!\w)(?:{_CALLES}){_S}(?:(?:de|del|de la){_S})?[^\W\d
 #: Parts of which a text must hold one before the expression is tried.
 _SPANISH_WORDS = ("Calle", "C/", "Avda", "Avenida", "Plaza", "Paseo", "Camino", "Ronda", "Carrera")
 _REST = re.compile(
-    rf"(?:,?{_S}(?:Flat|Apt\.?|Apartment|Unit|Suite|#){_S}?#?\d{{1,4}}[A-Za-z]?)?(?:,{_S}(?:Hinterhaus|Vorderhaus|bajo{_S}[A-Z]|\d\.º{_S}\w+))?(?:,{_S}\d{{5}}{_S}[A-ZÄÖÜ][\w\-]+|(?:,{_S}|\n)(?!(?:he|she|they|the|a|an)\b)[^\W\d_]{{4,}}(?=,{_S}[A-Z]{{1,2}}\d|{_S}\d{{5}}|[\".,;]|$|\n|{_S}lol|{_S}and{_S}does))?(?:,{_S}[A-Z]{{1,2}}\d{{1,2}}{_S}\d[A-Z]{{2}}|{_S}\d{{5}}(?!\d))?",
+    rf"(?:,?{_S}(?:Flat|Apt\.?|Apartment|Unit|Suite|#){_S}?#?\d{{1,4}}[A-Za-z]?)?(?:,{_S}(?:Hinterhaus|Vorderhaus|bajo{_S}[A-Z]|\d\.º{_S}\w+))?(?:,{_S}\d{{5}}{_S}[A-ZÄÖÜ][\w\-]+|(?:,{_S}|\n)(?!(?:he|she|they|the|a|an)\b)[^\W\d_]{{4,}}(?=,?{_S}[A-Z]{{1,2}}\d|{_S}\d{{5}}|[\".,;]|$|\n))?(?:,?{_S}[A-Z]{{1,2}}\d{{1,2}}{_S}\d[A-Z]{{2}}|{_S}\d{{5}}(?!\d))?",
     re.I,
 )
 _UP = "A-ZÀ-ÖØ-Þ"
@@ -70,7 +66,9 @@ _UP = "A-ZÀ-ÖØ-Þ"
 _OTHER_NAMES = re.compile(
     rf"(?<!\w)(?:((?<!\.)[{_UP}]\.{_S}[{_UP}][^\W\d_]+(?:-[{_UP}][^\W\d_]+)?(?![\w@]))|[{_UP}]{{3,}}(?:-[{_UP}]{{2,}})?,{_S}[{_UP}][^\W\d_]+(?!\w))"
 )
-_CUE = rf"(?:\b(?:Mr|Ms|Mrs|Miss|Dr|Prof|Herr|Frau|Sr|Sra)\.?{_S}|\b(?:Name|Reporter|Witness|Firmado|Unterschrift|Signed|Contact):?{_S}|\b(?:[Cc]all|sent by|[Ee]scalated by|Gemeldet von|Avisó|Paquete para|geht an){_S})"
+# Titles, and labels and verbs that names of persons follow.
+_TITLES = "Mr|Ms|Mrs|Miss|Dr|Prof|Herr|Frau|Sr|Sra|Señor|Señora"
+_CUE = rf"(?:\b(?:{_TITLES})\.?{_S}|\b(?:Name|Reporter|Witness|Firmado|Unterschrift|Signed|Contact|Attn|Author|Patient):?{_S}|\b(?:[Cc]all|[Ss](?:ent|igned) by|[Rr]eported by|[Ee]scalated by|[Gg]emeldet von){_S})"
 _CUES = re.compile(rf"{_CUE}([{_UP}][^\W\d_]{{1,14}}){_S}(?:[{_UP}]\.{_S})?([{_UP}][^\W\d_]{{2,}})")
 _LED = re.compile(rf"{_CUE}$")
 #: Any two words in title case or capitals, perhaps with an initial between; matches may overlap.
@@ -101,6 +99,7 @@ def spans(text: str, names: re.Pattern) -> list[tuple[str, int, int, int]]:
     for rx in (_AT.search(text) and _DOMAIN, _SAID):
         for m in rx.finditer(text) if rx else ():
             a = m.start()
+            # A local part has 64 characters at most (RFC 5321), spelt-out dots and dashes some more.
             left = _LOCAL.search(text, max(0, a - 90), a)
             if left:
                 out.append(("email", left.start(), m.end(), 0 if "@" in m.group() or "＠" in m.group() else 1))
@@ -116,12 +115,45 @@ def spans(text: str, names: re.Pattern) -> list[tuple[str, int, int, int]]:
     return out
 
 
-_SEPARATOR, _GROUP, _NINES = re.compile(r"[\s,.]+"), re.compile(r"\d+"), re.compile("9+")
-_LOWER = re.compile(r"\b[a-zà-öø-ÿ]{4,}\b")
-_WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
-_SHAPE = (re.compile(r"\d"), re.compile(r"[a-zà-öø-ÿ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"))
+_SEPARATOR, _GROUP = re.compile(r"[\s,.]+"), re.compile(r"\d+")
+_LOWER = re.compile(r"\b[a-zà-öø-ÿ]{2,}\b")
+_WORD = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_]+|\d+|[^\w\s]")
 #: The last so many characters before and the first so many after a span are its context.
-CONTEXT = 40
+CONTEXT = 48
+#: Words that say what stands near them, by kind.
+CUES = {
+    "phone": "tel telephone phone mobile cell fax call calls called callback ring dial text reach reached telefon handy mobil rufnummer erreichbar ruf anrufen teléfono telefono móvil movil llame llamar contacto 电话 手机 致电 请致电",
+    "id": "ssn social security insurance passport licence license id nino nie dni nif documento pasaporte ausweis ausweisnummer personalausweis reisepass steuernummer führerschein carné 证件号 护照 身份证 身份证号码",
+    "other": "order orders ticket tickets invoice roll rolls crate batch lot version versions build builds release frames frame pages page bitrate counter serial tracking case room bestellung rechnung pedido factura 订单 sum points part model isbn sku hash checksum prefix from",
+    "address": "lives live resident address deliver delivery parcel label moved met wohnt lieferung paket vive entrega paquete",
+    "place": "at near outside from in of north south am an aus bei en de cerca see camera crowd feed",
+}
+_KIND_OF = {w: k for k, ws in CUES.items() for w in ws.split()}
+#: Shapes of numbers by public numbering plans and documents, as expressions.
+FORMATS = [
+    re.compile(x)
+    for x in (
+        r"(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-\u00a0])\d{3}[ .\-\u00a0]\d{4}(?:,? (?:ext|x)\.? ?\d+)?$",
+        r"\d{3}[\-.\u00a0 ]\d{4}$",
+        r"(?:\+|00)\d",
+        r"0\d",
+        r"0\d(?:[ .\-]\d\d){4}$",
+        r"\d{3}[ \-]\d{2}[ \-]\d{4}$",
+        r"\d{9}$",
+        r"[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]$",
+        r"[XYZ]-?\d{7}-?[A-Z]$|\d{8}-?[A-Z]$",
+        r"[A-Z]{1,2}\d{7,8}$",
+        r"\d{1,3}\.\d{3}\.\d{3}-[\dA-Z]$",
+        r"\d{1,3}(?:\.\d+)+$",
+        r"\d{4}-\d{4}$",
+        r"\d{10,11}$",
+        r"\d{6,8}$",
+        r"\+1\d{10}$",
+    )
+]
+_PLACES = re.compile(rf"^(?:{STREETS}|harbour|market|canal|station|pier|quay|bridge|tunnel|yard|depot|arcade|stadium|campus|park|mall|museum|terrace|company|bank|university|herald|times|bahnhof|markt|brücke|hafen|plaza|puerto|estación)$", re.I)
+_UNITS = re.compile(r"\b(?:seconds?|minutes?|hours?|days?|weeks?|years?|frames?|clips?|people|persons|cars?|items?|met(?:re|er)s?|miles?|km|percent|of|the|after|in|on|down|from|by|near|to|and)\b", re.I)
+_TITLE = re.compile(rf"^(?:{_TITLES})$")
 
 
 def _led(text: str, a: int) -> bool:
@@ -129,66 +161,39 @@ def _led(text: str, a: int) -> bool:
     return bool(_LED.search(text, max(0, a - 24), a))
 
 
-def describe(text: str, kind: str, a: int, b: int, gen: int, given: frozenset[str]) -> tuple[tuple[str, ...], list[float]]:
-    """Keys that are scored by how they were labelled in the sample, and plain numbers."""
-    s = text[a:b]
-    before = _WORD.findall(text[max(0, a - CONTEXT) : a])[-3:]
-    after = _WORD.findall(text[b : b + 24])[:1]
-    prev = [w.lower() if not w.isdigit() else "#" for w in before]
-    p1 = prev[-1] if prev else "^"
-    shape = _SHAPE[2].sub("A", _SHAPE[1].sub("a", _SHAPE[0].sub("9", s)))
-    digits = shape.count("9")
-    words = [w for w in prev if w[0].isalpha()]
-    tail = _SEPARATOR.split(s.strip(". "))
-    last = (tail[0] if gen == 2 else tail[-1]).lower()
-    keys = (
-        "1" + p1,
-        "2" + " ".join(prev[-2:]),
-        "w" + (words[-1] if words else "^"),
-        "n" + (after[0].lower() if after and not after[0].isdigit() else "#" if after else "$"),
-        "s" + (shape if kind in ("phone", "id_number") else _NINES.sub("9", shape)),
-        "e" + (last[-3:] if kind in ("name", "email") else tail[-1][-3:].lower() if kind == "address" else s[:1]),
-    )
-    groups = _GROUP.findall(s)
-    nums = [b - a, digits, len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, s.count("A") + sum(map(str.isupper, s)), s[0] == "+", "(" in s, "@" in s or "＠" in s, gen, len(tail), s.count("."), kind == "name" and (tail[-1] if gen == 2 else tail[0]).lower() in given, kind == "name" and _led(text, a)]
-    return keys, [float(x) for x in nums]
-
-
-_PHONE_RANGES = re.compile(r"555\D?01\d\d(?!\d)|7946\D?0\d{3}|7700\D{0,2}900\D?\d{3}|23125\D?\d{3}|1\D?99\D?00\D?\d\d\D?\d\d")
-_ID_RANGES = re.compile(r"^(?:9\d\d[ \-]?\d\d[ \-]?\d{4}|QQ ?\d\d ?\d\d ?\d\d ?[A-D]|000\.\d{3}\.\d{3}-[A-Z]|XX\d{7}|X-\d{7}-[A-Z])$")
-_RESERVED = re.compile(r"(?:example|test|invalid|localhost)$", re.I)
-_PLACES = re.compile(rf"^(?:{STREETS}|harbour|market|canal|station|pier|quay|bridge|tunnel|yard|depot|arcade|stadium|campus)$", re.I)
+def _near(text: str, a: int) -> tuple[list[float], str]:
+    """Which kinds of words are the nearest and the others among the last few before a place in its line, and the last word."""
+    line = text[max(0, a - CONTEXT) : a].rsplit("\n", 1)[-1]
+    words = [w.lower() for w in _WORD.findall(line)]
+    words = words[max((i + 1 for i, w in enumerate(words) if w in (";", "|")), default=0) :] or words[-1:]
+    kinds = [k for w in words[-6:] if (k := _KIND_OF.get(w))]
+    last = kinds[-1] if kinds else ""
+    return [float(last == k) for k in CUES] + [float(k in kinds) for k in CUES], words[-1] if words else ""
 
 
-def label(text: str, kind: str, a: int, b: int, gen: int, family: frozenset[str], given: frozenset[str]) -> bool:
-    """What is known of a span without a model: ranges and domains nobody can hold, and what the words before name."""
+def describe(text: str, kind: str, a: int, b: int, gen: int, given: frozenset[str], common: frozenset[str]) -> list[float]:
+    """What the trees see of a span: its format, its parts, the kinds of words around. Names ask whether the given name is known
+    and whether the parts are common words."""
     s = text[a:b]
-    before = text[max(0, a - 24) : a]
-    if kind == "email":
-        return bool(_RESERVED.search(s))
-    if kind == "phone":
-        return gen == 1 or bool(_PHONE_RANGES.search(s)) and not re.search(r"(?:batch|order|ticket|roll)\W*$", before, re.I)
-    if kind == "id_number":
-        return bool(_ID_RANGES.match(s)) and not re.search(r"(?:order|ticket|roll|batch|version|build|frames)\W*$", before, re.I)
-    if kind == "address":
-        return gen > 0 or bool(re.search(r"(?:lives at|resident at|gear to|address:|reading \"?|at home,?|wohnt in der|moved to)\s*$", before, re.I))
-    words = _SEPARATOR.split(s)
-    fam = words[0] if gen == 2 else words[-1]
-    if gen == 2 and words[-1].lower() not in given:
-        return False
-    if gen == 3:
-        first = words[0].lower()
-        if _PLACES.search(first) or first in family or fam.lower() in family or not (first in given or _led(text, a)):
-            return False
-    return (gen != 1 or fam.lower()[-3:] in family) and not _PLACES.search(fam) and fam not in family
-
-
-_OTHERS = re.compile(r"(?:batch|order|ticket|roll|version|build|frames)\W*$", re.I)
-
-
-def plausible(text: str, kind: str, a: int) -> bool:
-    """The rule for a kind of which the sample holds no candidate: its format, unless the word before names something else."""
-    return kind in ("email", "address") or kind == "phone" and not _OTHERS.search(text[max(0, a - 24) : a])
+    near, p1 = _near(text, a)
+    if kind in ("phone", "id_number"):
+        groups = _GROUP.findall(s)
+        out = [b - a, sum(map(len, groups)), len(groups), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, sum(map(str.isupper, s)), s[0] == "+", "(" in s, gen, *[bool(f.match(s)) for f in FORMATS]]
+    elif kind == "email":
+        tail = _SEPARATOR.split(s.strip(". "))
+        local = re.split(r"[@＠\[({]|\s(?:at|AT)\s", s)[0]
+        out = [b - a, gen, "@" in s or "＠" in s, "." in s, len(tail), len(local), local.count(" "), s.count("."), len(tail[-1]), s[0].isdigit(), any(w in common for w in local.lower().split())]
+    elif kind == "address":
+        core = re.split(r",|#|\n", s)[0]
+        out = [b - a, gen, len(core.split()), bool(_UNITS.search(core)), sum(map(str.isupper, core)), len(s) - len(core), bool(re.match(r"\d+[A-Za-z]?(?:-\d+[A-Za-z]?)?\s", s)), core == core.lower(), any(w in common for w in core.lower().split()[1:-1])]
+    else:
+        tail = [w for w in _SEPARATOR.split(s.strip(". ")) if w]
+        first, last = (tail[-1], tail[0]) if gen == 2 else (tail[0], tail[-1])
+        f, l = first.lower(), last.lower()
+        before = text[a - 2 : a].strip()
+        after = text[b : b + 12].split()[:1]
+        out = [gen, f in given, _led(text, a), f in common, l in common, l.split("-")[0] in common, bool(_PLACES.match(last)), bool(_PLACES.match(after[0].strip(".,;"))) if after else False, bool(_TITLE.match(first)), s.isupper(), last[0].islower(), len(tail), len(first), len(last), p1[:1].isalpha(), p1 in common, before[-1:] in (",", ";", ":", "(", '"'), a == 0 or text[a - 1] == "\n"]
+    return [float(x) for x in out] + near
 
 
 def cue_counts(texts: list[str]) -> dict[str, int]:
@@ -204,27 +209,39 @@ def cue_counts(texts: list[str]) -> dict[str, int]:
     return n
 
 
-def end_counts(texts: list[str], names: re.Pattern) -> dict[str, int]:
-    """Endings of the family names that follow given names."""
-    n: dict[str, int] = defaultdict(int)
-    for t in texts:
-        for m in names.finditer(t):
-            n["e" + _SEPARATOR.split(m.group())[-1].lower()[-3:]] += 1
-    return n
+_models: dict[tuple, tuple] = {}
+
+
+def _fitted(times: int, seed: int = 1) -> tuple[dict[str, Trees], frozenset[str]]:
+    """Trees per kind from the labelled sample, two thirds of its texts for the trees and one for calibration and thresholds. Once per process."""
+    if (times, seed) not in _models:
+        sample = pii_sample.rows(times, seed)
+        given = frozenset(map(str.lower, pii_sample.GIVEN))
+        counts = cue_counts([t for t, _ in sample])
+        # A word in a hundred of the sentences is common here.
+        common = frozenset(k[1:] for k, c in counts.items() if k[0] == "c" and c > len(sample) // 100) - given
+        names = names_regex(tuple(pii_sample.GIVEN))
+        x: dict[str, list] = {k: [] for k in KINDS}
+        for k, (t, marks) in enumerate(sample):
+            starts = set(marks)
+            for kind, a, b, gen in spans(t, names):
+                x[kind].append((describe(t, kind, a, b, gen, given, common), (kind, a) in starts, k % 3 == 2))
+        trees = {}
+        for kind, r in x.items():
+            f, y, held = np.array([v[0] for v in r]), np.array([v[1] for v in r], float), np.array([v[2] for v in r])
+            trees[kind] = Trees().fit(f[~held], y[~held]).calibrate(f[held], y[held])
+        _models[times, seed] = trees, common
+    return _models[times, seed]
 
 
 class Detector:
-    """Fitted models; plain values only, so it is small to send."""
-
-    def __init__(self, given: tuple[str, ...] = GIVEN_NAMES) -> None:
-        self.given = tuple(given)
-        #: In lower case: all given names (those counted after cues three times or more too), what is no family name.
-        self.known: frozenset[str] = frozenset(x.lower() for x in given)
-        self.family: frozenset[str] = frozenset()
-        #: Kinds that had a candidate in the sample.
-        self.seen: frozenset[str] = frozenset()
-        self.odds: dict[str, dict[str, float]] = {}
-        self.trees: dict[str, Trees] = {}
+    """Fitted models and what was counted in the corpus; plain values only, so it is small to send."""
+
+    def __init__(self, times: int = TIMES) -> None:
+        self.trees, self.common = _fitted(times)
+        self.given = tuple(pii_sample.GIVEN)
+        #: In lower case: all given names, those introduced in the corpus too.
+        self.known: frozenset[str] = frozenset(map(str.lower, self.given))
         self._names: re.Pattern | None = None
 
     def __getstate__(self) -> dict:
@@ -236,55 +253,17 @@ class Detector:
             self._names = names_regex(self.given)
         return self._names
 
-    def fit(self, texts: list[str], count: Callable | None = None, n: int | None = None) -> "Detector":
-        """``count(f, least)`` sums f over all ``n`` documents and keeps counts of at least least[first letter]; without it the
-        texts are all there is."""
-        n = len(texts) if n is None else n
-        count = count or (lambda f, least: {k: c for k, c in f(texts).items() if c >= least[k[0]]})
-        # Lower-case words of more than a hundredth of the documents are no family names (they are longer than three letters).
-        first = count(cue_counts, {"g": 3, "t": 0, "c": n // 100 + 1})
-        found = {k[1:]: c for k, c in first.items() if k[0] == "g"}
+    def learn(self, counts: dict[str, int]) -> "Detector":
+        """Given names and common words from counts as of :func:`cue_counts`."""
+        found = {k[1:]: c for k, c in counts.items() if k[0] == "g"}
         # The expression takes given names of at least one in 2000 cues; others stand in `known` and are met as pairs of words.
-        bar = max(3, first.get("t", 0) // 2000)
+        bar = max(3, counts.get("t", 0) // 2000)
         self.given = tuple(dict.fromkeys([*self.given, *sorted(x for x, c in found.items() if c >= bar)]))
+        self.known = frozenset(x.lower() for x in (*self.given, *found))
+        self.common = (self.common | frozenset(k[1:] for k in counts if k[0] == "c")) - self.known
         self._names = None
-        names = self.names
-        ends = count(lambda t: end_counts(t, names), {"e": 2})
-        self.family = family = frozenset(k[1:] for k in (*ends, *first) if k[0] in "ec")
-        self.known = low = frozenset(x.lower() for x in (*self.given, *found))
-        rows: dict[str, list] = {k: [] for k in KINDS}
-        for k, t in enumerate(texts):
-            for kind, a, b, gen in spans(t, self.names):
-                rows[kind].append((*describe(t, kind, a, b, gen, low), label(t, kind, a, b, gen, family, low), k % 3))
-        self.seen = frozenset(kind for kind, r in rows.items() if r)
-        for kind, r in rows.items():
-            # Nothing can be learnt of a kind without a mention in the sample; `find` has a rule for it.
-            if not any(x[2] for x in r):
-                continue
-            y = np.array([x[2] for x in r], float)
-            fold = np.array([x[3] for x in r])
-            tables = [self._odds([x for x in r if x[3] != k]) for k in range(3)]
-            x = np.array([self._row(x[0], x[1], tables[x[3]]) for x in r])
-            held = fold == 2
-            tree = Trees().fit(x[~held], y[~held])
-            self.trees[kind] = tree.calibrate(x[held], y[held])
-            self.odds[kind] = self._odds(r)
         return self
 
-    @staticmethod
-    def _odds(rows: list) -> dict[str, float]:
-        """Key -> log odds of a mention where it stands, drawn towards even odds where it is rare."""
-        pos: dict[str, int] = defaultdict(int)
-        neg: dict[str, int] = defaultdict(int)
-        for keys, _, y, _ in rows:
-            for k in keys:
-                (pos if y else neg)[k] += 1
-        return {k: float(np.log((pos[k] + 0.5) / (neg[k] + 0.5))) for k in set(pos) | set(neg)}
-
-    @staticmethod
-    def _row(keys: tuple[str, ...], nums: list[float], odds: dict[str, float]) -> list[float]:
-        return [*(odds.get(k, 0.0) for k in keys), *nums]
-
     def find(self, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
         """Per text the mentions (kind, start, end, probability) in order, none overlapping."""
         cand: dict[str, list] = {k: [] for k in KINDS}
@@ -292,17 +271,11 @@ class Detector:
         for n, t in enumerate(texts):
             if t:
                 for kind, a, b, gen in spans(t, self.names):
-                    if kind in self.trees:
-                        cand[kind].append((n, a, b, *describe(t, kind, a, b, gen, self.known)))
-                    elif label(t, kind, a, b, gen, self.family, self.known):
-                        keep[n].append((kind, a, b, 1.0))
-                    elif kind not in self.seen and plausible(t, kind, a):
-                        keep[n].append((kind, a, b, 0.5))
+                    cand[kind].append((n, a, b, describe(t, kind, a, b, gen, self.known, self.common)))
         for kind, c in cand.items():
             if c:
-                odds = self.odds[kind]
-                p = self.trees[kind].probability(np.array([self._row(k, v, odds) for *_, k, v in c]))
-                for (n, a, b, _, _), q in zip(c, p.tolist()):
+                p = self.trees[kind].probability(np.array([x[3] for x in c]))
+                for (n, a, b, _), q in zip(c, p.tolist()):
                     if q >= self.trees[kind].threshold:
                         keep[n].append((kind, a, b, q))
         out = []
@@ -315,45 +288,29 @@ class Detector:
         return out
 
 
-def _counted(documents: DataFrame) -> Callable:
-    """``count`` of :meth:`Detector.fit` over a table: sums of tasks, then of keys; only counts that are large enough reach the driver."""
-
-    def count(f: Callable, least: dict[str, float]) -> dict[str, int]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[str, int] = defaultdict(int)
-            out = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["k", "n"])
-            for b in batches:
-                for at in range(0, b.num_rows, 2000):
-                    for k, c in f(b.column("text").slice(at, 2000).to_pylist()).items():
-                        total[k] += c
-                    if len(total) > 200_000:
-                        yield out()
-                        total.clear()
-            yield out()
-
-        rows = documents.select("text").mapInArrow(run, "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-        bar = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])
-        return {r.k: r.n for r in rows.filter(F.col("n") >= bar[F.substring("k", 1, 1)]).collect()}
-
-    return count
-
-
-def fit(documents: DataFrame, most: int = SAMPLE, given: tuple[str, ...] = GIVEN_NAMES) -> Detector:
-    """Trees from the ``most`` documents with the smallest hashes; counts of given names, endings and common words from all."""
-    d = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_TEXT))
-    h = F.xxhash64(F.lit(29), "doc_id")
-    n = d.count()
-    # Hashes are even, so this keeps about 1.3 * most rows; the sort that follows is over those.
-    share = min(1.0, (1.3 * most + 50) / max(1, n))
-    rows = d.filter(F.shiftrightunsigned(h, 11) < int(share * 2**53)).withColumn("h", h).orderBy(F.shiftrightunsigned("h", 11), "doc_id").limit(most).select("text").collect()
-    texts, used = [], 0
-    for r in rows:
-        used += len(r.text)
-        if used > SAMPLE_CHARS:
-            break
-        texts.append(r.text)
-    whole = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    return Detector(given).fit(texts, _counted(whole), whole.count())
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[str, int] = defaultdict(int)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["k", "n"])
+
+    for b in batches:
+        for at in range(0, b.num_rows, 2000):
+            for k, c in cue_counts(b.column("text").slice(at, 2000).to_pylist()).items():
+                total[k] += c
+            if len(total) > 200_000:
+                yield out()
+                total.clear()
+    yield out()
+
+
+def fit(documents: DataFrame, times: int = TIMES) -> Detector:
+    """The models, with given names and common words counted over all documents; only counts that are large enough reach the driver:
+    names introduced three times, lower-case words of more than a hundredth of the documents."""
+    d = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    rows = d.select("text").mapInArrow(_counts, "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+    bar = F.when(F.col("k").startswith("g"), 3).when(F.col("k") == "t", 0).otherwise(d.count() // 100 + 1)
+    return Detector(times).learn({r.k: r.n for r in rows.filter(F.col("n") >= bar).collect()})
 
 
 def _mentions(broadcast):
