@@ -43,6 +43,7 @@ _NUMBER = re.compile(
     r"(?<![\w@#/:+.,\-‑])(?!\d{4}-\d\d-\d\d(?!\d))(?:[A-Z]{1,2}[ \-]?|\+)?(?:\(\d{1,5}\)" + _S + r"?)?\d(?:(?:[    .\-‑–/]|" + _S + r"?\(0\)" + _S + r"?|\)" + _S + r"?)?\d){5,14}(?:[ \-]?[A-Z](?!\w))?(?:,?" + _S + r"(?:ext|x|Durchw|App)\.?" + _S + r"?\d{1,5})?(?!\w|[:/@]\d|[.\-]\d)"
 )
 _SPOKEN = re.compile(rf"\b(?:(?:{_DIGIT})[ \-]){{5,}}(?:{_DIGIT})\b")
+_DIGIT_WORDS = frozenset(_DIGIT.split("|"))
 _SIGN = r"(?:" + _S + r"?[@＠]" + _S + r"?|" + _S + r"?[\[({]" + _S + r"?(?:at|AT|@)" + _S + r"?[\])}]" + _S + r"?)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 _DOTS = r"(?:\.|" + _S + r"\." + _S + r"|" + _S + r"?[\[({]" + _S + r"?(?:dot|DOT)" + _S + r"?[\])}]" + _S + r"?|" + _S + r"(?:dot|DOT)" + _S + r")"
@@ -55,7 +56,8 @@ _LOCAL = re.compile(r"(?<![\w.+%\-])[\w](?:[\w.+%\-]*[\w])?(?:" + _S + r"(?:dot|
 _ENGLISH = re.compile(rf"\d(?<![\w:.,\-/‑].)\d{{0,3}}[A-Za-z]?(?:{_S}?[\-–]{_S}?\d{{1,4}}[A-Za-z]?)?{_S}(?:[^\W\d_][\w'’\-]*{_S}){{1,3}}?(?:{STREETS})\b\.?", re.I)
 _GERMAN = re.compile(rf"(?<!\w)(?:[A-ZÄÖÜ][\w\-]*?(?:{_STRASSEN})|[A-ZÄÖÜ][\w\-]+[ \-](?:Straße|Weg|Allee|Platz)){_S}\d{{1,4}}{_S}?(?:[a-z](?!\w))?(?!\d)")
 _SPANISH = re.compile(rf"(?<!\w)(?:{_CALLES}){_S}(?:(?:de|del|de la){_S})?[^\W\d_][\w\-]*(?:{_S}[A-Z][\w\-]*){{0,2}},?{_S}(?:n\.?{_S}?[º°o]\.?{_S}?)?\d{{1,4}}(?!\d)")
-#: Parts of which a text must hold one before the expression is tried.
+#: Parts of which a text must hold one before the expression is tried; each match of it has one (German ones in lower case).
+_STREET_ENDS = re.compile(rf"(?:{_STRASSEN}){_S}\d")
 _SPANISH_WORDS = ("Calle", "C/", "Avda", "Avenida", "Plaza", "Paseo", "Camino", "Ronda", "Carrera")
 _REST = re.compile(
     rf"(?:,?{_S}(?:Flat|Apt\.?|Apartment|Unit|Suite|#){_S}?#?\d{{1,4}}[A-Za-z]?)?(?:,{_S}(?:Hinterhaus|Vorderhaus|bajo{_S}[A-Z]|\d\.º{_S}\w+))?(?:,{_S}\d{{5}}{_S}[A-ZÄÖÜ][\w\-]+|(?:,{_S}|\n)(?!(?:he|she|they|the|a|an)\b)[^\W\d_]{{4,}}(?=,?{_S}[A-Z]{{1,2}}\d|{_S}\d{{5}}|[\".,;]|$|\n))?(?:,?{_S}[A-Z]{{1,2}}\d{{1,2}}{_S}\d[A-Z]{{2}}|{_S}\d{{5}}(?!\d))?",
@@ -69,7 +71,7 @@ _OTHER_NAMES = re.compile(
 # Titles, and labels and verbs that names of persons follow.
 _TITLES = "Mr|Ms|Mrs|Miss|Dr|Prof|Herr|Frau|Sr|Sra|Señor|Señora"
 _CUE = rf"(?:\b(?:{_TITLES})\.?{_S}|\b(?:Name|Reporter|Witness|Firmado|Unterschrift|Signed|Contact|Attn|Author|Patient):?{_S}|\b(?:[Cc]all|[Ss](?:ent|igned) by|[Rr]eported by|[Ee]scalated by|[Gg]emeldet von){_S})"
-_CUES = re.compile(rf"{_CUE}([{_UP}][^\W\d_]{{1,14}}){_S}(?:[{_UP}]\.{_S})?([{_UP}][^\W\d_]{{2,}})")
+_CUES = re.compile(rf"(?=[MDPHFSNRWUCAaceghrs])(?:{_CUE})([{_UP}][^\W\d_]{{1,14}}){_S}(?:[{_UP}]\.{_S})?([{_UP}][^\W\d_]{{2,}})")
 _LED = re.compile(rf"{_CUE}$")
 #: Any two words in title case or capitals, perhaps with an initial between; matches may overlap.
 _PAIR = re.compile(rf"[{_UP}](?<![\w@.\-+/].)(?=([^\W\d_]+(?:-[{_UP}][^\W\d_]+)?(?:{_S}[{_UP}]\.)?{_S}[{_UP}][^\W\d_]{{2,}}(?:-[^\W\d_]{{3,}})?)(?![\w@＠]|[._+][\w]))")
@@ -85,6 +87,24 @@ def names_regex(given: tuple[str, ...]) -> re.Pattern:
     return re.compile(rf"(?<![\w@.\-+/])(?:{alt})(?:{_S}[{_UP}]\.)?{_S}(?!(?:dot|DOT|underscore|UNDERSCORE|dash|plus|at|AT)\b)[^\W\d_]{{3,}}(?:-[^\W\d_]{{3,}})?(?![\w@＠]|[._+][\w])")
 
 
+def _hosts(text: str) -> Iterator[re.Match]:
+    """Signs with the host behind them. A match of _DOMAIN begins where _AT stands or at the blank before."""
+    end = 0
+    for at in _AT.finditer(text):
+        for a in (at.start() - 1, at.start()):
+            if a >= end and (m := _DOMAIN.match(text, a)):
+                end = m.end()
+                yield m
+                break
+    yield from _SAID.finditer(text)
+
+
+def _mailbox(text: str, host: re.Match) -> tuple[str, int, int, int] | None:
+    # A local part has 64 characters at most (RFC 5321), spelt-out dots and dashes some more.
+    left = _LOCAL.search(text, max(0, host.start() - 90), host.start())
+    return ("email", left.start(), host.end(), 0 if "@" in host.group() or "＠" in host.group() else 1) if left else None
+
+
 def spans(text: str, names: re.Pattern) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, generator) of everything that may be a mention."""
     out = []
@@ -95,19 +115,15 @@ def spans(text: str, names: re.Pattern) -> list[tuple[str, int, int, int]]:
     # In lower case, letter by letter where that changes the length.
     low = text.lower()
     low = low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
-    out += [("phone", *m.span(), 1) for m in _SPOKEN.finditer(low)]
-    for rx in (_AT.search(text) and _DOMAIN, _SAID):
+    # Of the six words of a spoken number or more the first and last may have signs on them; the others stand between blanks and hyphens.
+    if sum(map(_DIGIT_WORDS.__contains__, low.replace("-", " ").split())) >= 4:
+        out += [("phone", *m.span(), 1) for m in _SPOKEN.finditer(low)]
+    out += [x for m in _hosts(text) if (x := _mailbox(text, m))]
+    german = _STREET_ENDS.search(low)
+    for k, rx in enumerate((_ENGLISH, german and _GERMAN, any(w in text for w in _SPANISH_WORDS) and _SPANISH)):
         for m in rx.finditer(text) if rx else ():
-            a = m.start()
-            # A local part has 64 characters at most (RFC 5321), spelt-out dots and dashes some more.
-            left = _LOCAL.search(text, max(0, a - 90), a)
-            if left:
-                out.append(("email", left.start(), m.end(), 0 if "@" in m.group() or "＠" in m.group() else 1))
-    for k, (words, rx) in enumerate(((None, _ENGLISH), (None, _GERMAN), (_SPANISH_WORDS, _SPANISH))):
-        if words is None or any(w in text for w in words):
-            for m in rx.finditer(text):
-                rest = _REST.match(text, m.end())
-                out.append(("address", m.start(), rest.end() if rest else m.end(), k))
+            rest = _REST.match(text, m.end())
+            out.append(("address", m.start(), rest.end() if rest else m.end(), k))
     known = {m.span() for m in names.finditer(text)}
     out += [("name", *m, 0) for m in sorted(known)]
     out += [("name", m.start(), m.end(1), 3) for m in _PAIR.finditer(text) if (m.start(), m.end(1)) not in known]
@@ -151,7 +167,7 @@ FORMATS = [
         r"\+1\d{10}$",
     )
 ]
-_PLACES = re.compile(rf"^(?:{STREETS}|harbour|market|canal|station|pier|quay|bridge|tunnel|yard|depot|arcade|stadium|campus|park|mall|museum|terrace|company|bank|university|herald|times|bahnhof|markt|brücke|hafen|plaza|puerto|estación)$", re.I)
+_PLACE_WORDS = frozenset(f"{STREETS}|harbour|market|canal|station|pier|quay|bridge|tunnel|yard|depot|arcade|stadium|campus|park|mall|museum|terrace|company|bank|university|herald|times|bahnhof|markt|brücke|hafen|plaza|puerto|estación".split("|"))
 _UNITS = re.compile(r"\b(?:seconds?|minutes?|hours?|days?|weeks?|years?|frames?|clips?|people|persons|cars?|items?|met(?:re|er)s?|miles?|km|percent|of|the|after|in|on|down|from|by|near|to|and)\b", re.I)
 _TITLE = re.compile(rf"^(?:{_TITLES})$")
 
@@ -161,14 +177,22 @@ def _led(text: str, a: int) -> bool:
     return bool(_LED.search(text, max(0, a - 24), a))
 
 
+_NEAR = {k: i for i, k in enumerate(CUES)}
+
+
 def _near(text: str, a: int) -> tuple[list[float], str]:
     """Which kinds of words are the nearest and the others among the last few before a place in its line, and the last word."""
-    line = text[max(0, a - CONTEXT) : a].rsplit("\n", 1)[-1]
-    words = [w.lower() for w in _WORD.findall(line)]
-    words = words[max((i + 1 for i, w in enumerate(words) if w in (";", "|")), default=0) :] or words[-1:]
-    kinds = [k for w in words[-6:] if (k := _KIND_OF.get(w))]
-    last = kinds[-1] if kinds else ""
-    return [float(last == k) for k in CUES] + [float(k in kinds) for k in CUES], words[-1] if words else ""
+    words = _WORD.findall(text[max(0, a - CONTEXT) : a].rsplit("\n", 1)[-1].lower())
+    out, first = [0.0] * (2 * len(CUES)), True
+    for k, w in enumerate(reversed(words[-6:])):
+        if k and w in ";|":
+            break
+        at = _NEAR.get(_KIND_OF.get(w))
+        if at is not None:
+            out[len(CUES) + at] = 1.0
+            if first:
+                out[at], first = 1.0, False
+    return out, words[-1] if words else ""
 
 
 def describe(text: str, kind: str, a: int, b: int, gen: int, given: frozenset[str], common: frozenset[str]) -> list[float]:
@@ -192,7 +216,7 @@ def describe(text: str, kind: str, a: int, b: int, gen: int, given: frozenset[st
         f, l = first.lower(), last.lower()
         before = text[a - 2 : a].strip()
         after = text[b : b + 12].split()[:1]
-        out = [gen, f in given, _led(text, a), f in common, l in common, l.split("-")[0] in common, bool(_PLACES.match(last)), bool(_PLACES.match(after[0].strip(".,;"))) if after else False, bool(_TITLE.match(first)), s.isupper(), last[0].islower(), len(tail), len(first), len(last), p1[:1].isalpha(), p1 in common, before[-1:] in (",", ";", ":", "(", '"'), a == 0 or text[a - 1] == "\n"]
+        out = [gen, f in given, _led(text, a), f in common, l in common, l.split("-")[0] in common, l in _PLACE_WORDS, after[0].strip(".,;").lower() in _PLACE_WORDS if after else False, bool(_TITLE.match(first)), s.isupper(), last[0].islower(), len(tail), len(first), len(last), p1[:1].isalpha(), p1 in common, before[-1:] in (",", ";", ":", "(", '"'), a == 0 or text[a - 1] == "\n"]
     return [float(x) for x in out] + near
 
 
@@ -201,7 +225,7 @@ def cue_counts(texts: list[str]) -> dict[str, int]:
     n: dict[str, int] = defaultdict(int)
     for t in texts:
         for m in _CUES.finditer(t):
-            if not _PLACES.search(m[2]):
+            if m[2].lower() not in _PLACE_WORDS:
                 n["g" + m[1].title()] += 1
                 n["t"] += 1
         for w in set(_LOWER.findall(t)):
