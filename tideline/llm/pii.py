@@ -17,7 +17,7 @@ gives no rows. Offsets count Unicode characters from 0.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -223,14 +223,14 @@ def describe(text: str, kind: str, a: int, b: int, gen: int, given: frozenset[st
 def cue_counts(texts: list[str]) -> dict[str, int]:
     """g + given name: how often it follows a title or label; t: how often any does; c + word: documents with the lower-case word."""
     n: dict[str, int] = defaultdict(int)
+    words: Counter = Counter()
     for t in texts:
         for m in _CUES.finditer(t):
             if m[2].lower() not in _PLACE_WORDS:
                 n["g" + m[1].title()] += 1
                 n["t"] += 1
-        for w in set(_LOWER.findall(t)):
-            n["c" + w] += 1
-    return n
+        words.update(set(_LOWER.findall(t)))
+    return n | {"c" + w: c for w, c in words.items()}
 
 
 _models: dict[tuple, tuple] = {}
