@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import vectors
 from tideline.operators.bounds import recall_lower_bound
+from tideline.operators.ranking import running_by_value
 
 
 def class_means(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -76,6 +77,22 @@ def conformal(scores: DataFrame, key: str, score: str, target: float = 0.9, delt
     sizes = [r.n for r in n.select("n").distinct().collect()]  # one per distinct size
     table = scores.sparkSession.createDataFrame([(int(x), most_misses(int(x), target, delta)) for x in sizes], "n bigint, allowed int")
     n = n.join(F.broadcast(table), "n")
-    ranked = scores.filter(F.col(score).isNotNull()).withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(score)) - 1)
-    hit = ranked.join(n, key).filter(F.col("i") == F.coalesce("allowed", F.lit(0)))
-    return hit.select(key, "n", F.coalesce("allowed", F.lit(0)).cast("bigint").alias("n_miss"), F.col(score).alias("tau"), F.when(F.col("allowed").isNotNull(), "CALIBRATED").otherwise("ESTIMATED").alias("status"))
+    # Only one rank of a key is needed: equal scores are counted, counts added up in ranges of the score.
+    c = scores.filter(F.col(score).isNotNull()).groupBy(key, score).agg(F.count("*").alias("_c"))
+    c = running_by_value(c, [key], score, 0.01, {"_before": F.col("_c")}).join(n, key)
+    at = F.coalesce("allowed", F.lit(0))
+    hit = c.filter((F.col("_before") <= at) & (at < F.col("_before") + F.col("_c")))
+    return hit.select(key, "n", at.cast("bigint").alias("n_miss"), F.col(score).alias("tau"), F.when(F.col("allowed").isNotNull(), "CALIBRATED").otherwise("ESTIMATED").alias("status"))
+
+
+def decide(scores: DataFrame, thresholds: DataFrame, key: str, score: str, target: float) -> DataFrame:
+    """``scores`` with unsafe and recall_bound: the bound is there only under a threshold that is CALIBRATED."""
+    t = thresholds.select(key, "tau", "status")
+    j = scores.join(t, key)
+    return j.withColumn("unsafe", F.col(score) >= F.col("tau")).withColumn("recall_bound", F.when(F.col("status") == "CALIBRATED", F.lit(target)))
+
+
+def recalibrate(boundaries: DataFrame, changed: str) -> DataFrame:
+    """Status and epoch after a change: a threshold belongs to the boundary it was found on."""
+    c = F.col(changed)
+    return boundaries.withColumn("status", F.when(c, "UNCALIBRATED").otherwise("CALIBRATED")).withColumn("epoch", F.when(c, 2).otherwise(1).cast("bigint"))

@@ -1,55 +1,130 @@
-"""Selection of a few frames out of many, per group."""
+"""Selection of a few rows out of many, per group: eviction policies by name, and whether a judge agrees with what is left.
+
+Each policy takes (df, keys, order, keep, cols): ``order`` is an integer column, ``cols`` says where a policy finds what it needs.
+Groups may be of any size: ranks are taken in parts of a group first, places are running counts in chunks, coverage adds one centre to
+all groups a round. Groups of ``keep`` rows or fewer stay whole.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.vectors import dot
+from tideline.functions.vectors import dot, norm
+from tideline.operators.ordered import previous, running
+from tideline.session import Rounds, cut_lineage
+
+#: A group is ranked in so many parts by hash before the best of all parts are ranked together.
+PARTS = 64
+
+
+@dataclass(frozen=True)
+class Columns:
+    """What rows are judged by: a vector, a score, whether the row is a keyframe, its time."""
 
+    vector: str = "v"
+    score: str = "score"
+    keyframe: str = "keyframe"
+    time: str = "t_s"
 
-def newest(df: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
+
+def top(df: DataFrame, keys: list[str], by: Column, tie: str, k: int) -> DataFrame:
+    """The k rows of each group with the largest ``by``; equal ones go by the smallest ``tie``."""
+    d = df.withColumn("_by", by).withColumn("_p", F.pmod(F.xxhash64(tie), F.lit(PARTS)))
+    for part in ([*keys, "_p"], keys):
+        w = Window.partitionBy(*part).orderBy(F.desc("_by"), tie)
+        d = d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    return d.drop("_r", "_p", "_by")
+
+
+def newest(df: DataFrame, keys: list[str], order: str, k: int, cols: Columns = Columns()) -> DataFrame:
     """The last k rows of each group; k = 0 keeps all."""
-    if k == 0:
-        return df
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    return top(df, keys, F.col(order), order, k) if k else df
 
 
-def stride(df: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
+def stride(df: DataFrame, keys: list[str], order: str, k: int, cols: Columns = Columns()) -> DataFrame:
     """Rows at k evenly spaced places, rounded half to even."""
-    w = Window.partitionBy(*keys)
-    d = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
-    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.bround(j * (F.col("_n") - 1) / F.lit(float(max(1, k - 1)))).cast("int"))
-    return d.filter((F.col("_n") <= k) | F.array_contains(places, F.col("_i"))).drop("_i", "_n")
+    d = running(df, keys, order, F.lit(1), "_i", inclusive=False)
+    d = d.join(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.bround(j * (F.col("_n") - 1) / F.lit(float(max(1, k - 1)))).cast("bigint"))
+    return d.filter((F.col("_n") <= k) | F.array_contains(places, F.col("_i").cast("bigint"))).drop("_i", "_n")
 
 
 def salience(score: Column, motion: Column, keyframe: Column, recency: Column) -> Column:
     return score + 0.5 * motion + 0.3 * keyframe.cast("double") + 0.2 * recency
 
 
-def top(df: DataFrame, keys: list[str], by: Column, tie: str, k: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(by.desc(), tie)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+def with_salience(df: DataFrame, keys: list[str], order: str, cols: Columns = Columns()) -> DataFrame:
+    """``salience`` of each row, to nine digits: score, motion (change of the score since the row before), keyframe and recency."""
+    sc = F.coalesce(F.col(cols.score), F.lit(0.0))
+    d = previous(df, keys, order, F.col(cols.score), "_prev")
+    d = d.join(df.groupBy(*keys).agg(F.min(cols.time).alias("_t0"), F.max(cols.time).alias("_t1")), keys)
+    recency = (F.col(cols.time) - F.col("_t0")) / F.greatest(F.col("_t1") - F.col("_t0"), F.lit(1e-9))
+    return d.withColumn("salience", F.round(salience(sc, F.abs(sc - F.coalesce("_prev", F.lit(0.0))), F.col(cols.keyframe), recency), 9)).drop("_prev", "_t0", "_t1")
 
 
-def coverage(df: DataFrame, key: str, order: str, vector: str, k: int) -> DataFrame:
-    """Greedy farthest-first centres by cosine distance, from the newest; ties go to the lowest place.
+def salient(df: DataFrame, keys: list[str], order: str, k: int, cols: Columns = Columns()) -> DataFrame:
+    return top(with_salience(df, keys, order, cols), keys, F.col("salience"), order, k)
+
+
+def coverage(df: DataFrame, key: str | list[str], order: str, vector: str, k: int) -> DataFrame:
+    """Greedy farthest-first centres by cosine distance, from the newest; ties go to the lowest place. key, order, rank.
 
     Every round is a join of the rows to the one centre added last in their group, so a group is never gathered: k rounds
-    over all rows for any number of groups and any size.
+    over all rows for any number of groups and any size. Distances are written each round, the last table is dropped.
     """
-    d = df.select(key, order, vector)
-    last = d.groupBy(key).agg(F.max_by(F.struct(order, vector), order).alias("c"))
-    kept = last.select(key, F.col(f"c.{order}").alias(order), F.lit(0).alias("rank"))
-    far = d.withColumn("dist", F.lit(float("inf")))
+    keys = [key] if isinstance(key, str) else list(key)
+    unit = F.transform(F.col(vector), lambda x: x / F.greatest(norm(F.col(vector)), F.lit(1e-12)))
+    d = df.select(*keys, order, unit.alias("_v"))
+    last = d.groupBy(*keys).agg(F.max_by(F.struct(order, "_v"), order).alias("c"))
+    last = cut_lineage(last)
+    kept = last.select(*keys, F.col(f"c.{order}").alias(order), F.lit(0).alias("rank"))
+    far, table = d.withColumn("_d", F.lit(float("inf"))), Rounds()
     for i in range(1, k):
-        c = last.select(key, F.col(f"c.{order}").alias("_co"), F.col(f"c.{vector}").alias("_cv"))
-        far = far.join(c, key).filter(F.col(order) != F.col("_co")).withColumn("dist", F.least("dist", F.round(1 - dot(F.col(vector), F.col("_cv")), 9))).drop("_co", "_cv")
-        last = far.groupBy(key).agg(F.max_by(F.struct(order, vector), F.struct("dist", -F.col(order))).alias("c"))
-        kept = kept.unionByName(last.select(key, F.col(f"c.{order}").alias(order), F.lit(i).alias("rank")))
+        c = last.select(*keys, F.col(f"c.{order}").alias("_co"), F.col("c._v").alias("_cv"))
+        far, _ = table.put(far.join(c, keys).filter(F.col(order) != F.col("_co")).withColumn("_d", F.least("_d", F.round(1 - dot(F.col("_v"), F.col("_cv")), 9))).drop("_co", "_cv"))
+        last = cut_lineage(far.groupBy(*keys).agg(F.max_by(F.struct(order, "_v"), F.struct("_d", -F.col(order))).alias("c")))
+        kept = kept.unionByName(last.select(*keys, F.col(f"c.{order}").alias(order), F.lit(i).alias("rank")))
     return kept
 
 
-#: By name: each takes the rows, the key columns, the order column and k.
-POLICIES = {"fifo": newest, "stride": stride}
+def covering(df: DataFrame, keys: list[str], order: str, k: int, cols: Columns = Columns()) -> DataFrame:
+    return df.join(coverage(df, keys, order, cols.vector, k).select(*keys, order), [*keys, order], "left_semi")
+
+
+def hybrid(df: DataFrame, keys: list[str], order: str, k: int, cols: Columns = Columns(), share: float = 0.5) -> DataFrame:
+    """A share of the places by coverage (the newest row always), the rest from the k most salient rows, oldest first. ``why`` says which."""
+    cover = coverage(df, keys, order, cols.vector, max(1, int(k * share))).select(*keys, order).withColumn("why", F.lit("coverage"))
+    rest = salient(df, keys, order, k, cols).join(cover, [*keys, order], "left_anti")
+    n = cover.groupBy(*keys).agg(F.count("*").alias("_have"))
+    rest = rest.join(n, keys).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("_r") <= k - F.col("_have"))  # k rows of a group at most
+    small = df.groupBy(*keys).agg((F.count("*") <= k).alias("_all"))
+    out = cover.unionByName(rest.select(*keys, order).withColumn("why", F.lit("salience")))
+    return df.join(small, keys).join(out, [*keys, order], "left").filter(F.col("_all") | F.col("why").isNotNull()).withColumn("why", F.coalesce("why", F.lit("all"))).drop("_all")
+
+
+#: By name; each takes (df, keys, order, keep, cols).
+POLICIES: dict[str, Callable[..., DataFrame]] = {"fifo": newest, "stride": stride, "coverage": covering, "salience": salient, "hybrid": hybrid}
+
+
+def importance(df: DataFrame, keys: list[str], order: str, hit: Column, least: int = 1) -> DataFrame:
+    """keys, order, decisive: whether leaving the row out changes the verdict "at least ``least`` hits". That takes exactly so many
+    hits, and the row must be one; so the judge is asked through a count per group and not once per row."""
+    d = df.select(*keys, order, hit.alias("_h"))
+    n = d.groupBy(*keys).agg(F.count_if("_h").alias("_n"))
+    return d.join(n, keys).select(*keys, order, (F.col("_h") & (F.col("_n") == least)).alias("decisive"))
+
+
+def agreement(df: DataFrame, keys: list[str], order: str, judge: Column, budgets: list[int], policies: list[str] | None = None, cols: Columns = Columns()) -> DataFrame:
+    """policy, keep, n, n_agree: for how many groups the judge (an aggregate) says of the rows a policy keeps what it says of all."""
+    base = df.groupBy(*keys).agg(judge.alias("_all"))
+    out = None
+    for name in policies or list(POLICIES):
+        for k in budgets:
+            kept = POLICIES[name](df, keys, order, k, cols).groupBy(*keys).agg(judge.alias("_kept"))
+            one = base.join(kept, keys).groupBy(F.lit(name).alias("policy"), F.lit(k).cast("bigint").alias("keep")).agg(F.count("*").alias("n"), F.count_if(F.col("_all").eqNullSafe(F.col("_kept"))).alias("n_agree"))
+            out = one if out is None else out.unionByName(one)
+    return out

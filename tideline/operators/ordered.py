@@ -86,12 +86,35 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: str, value: Column, ou
     return d.join(chunks, [*keys, "_c"]).withColumn(out, F.coalesce("_l", "_in")).drop("_c", "_v", "_l", "_in")
 
 
-def running(df: DataFrame, keys: Sequence[str], order: str, x: Column, out: str, chunk: int = 4096, inclusive: bool = True) -> DataFrame:
-    """Running sum of ``x`` up to (and with) this row, in chunks of the integer column ``order``."""
+def running(df: DataFrame, keys: Sequence[str], order: str, x: Column, out: str, chunk: int = 4096, inclusive: bool = True, tie: Sequence[str] = ()) -> DataFrame:
+    """Running sum of ``x`` up to (and with) this row, in chunks of the integer column ``order``; equal ones go by ``tie``."""
     d = df.withColumn("_c", F.floor(F.col(order) / chunk)).withColumn("_x", x)
-    inside = Window.partitionBy(*keys, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inside = Window.partitionBy(*keys, "_c").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     d = d.withColumn("_s", F.coalesce(F.sum("_x").over(inside), F.lit(0)))
     sums = d.groupBy(*keys, "_c").agg(F.sum("_x").alias("_b"))
     before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "_c", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_base"))
     return d.join(sums, [*keys, "_c"]).withColumn(out, F.col("_base") + F.col("_s")).drop("_c", "_x", "_s", "_base")
+
+
+def previous(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, chunk: int = 4096) -> DataFrame:
+    """``out`` = ``value`` of the row before along each key (null for the first), in chunks of the integer column ``order``."""
+    d = df.withColumn("_c", F.floor(F.col(order) / chunk)).withColumn("_v", F.struct(value.alias("v")))
+    d = d.withColumn("_l", F.lag("_v").over(Window.partitionBy(*keys, "_c").orderBy(order)))
+    chunks = d.groupBy(*keys, "_c").agg(F.max_by("_v", order).alias("_cv"))
+    chunks = chunks.select(*keys, "_c", F.lag("_cv").over(Window.partitionBy(*keys).orderBy("_c")).alias("_in"))
+    return d.join(chunks, [*keys, "_c"]).withColumn(out, F.coalesce("_l", "_in")["v"]).drop("_c", "_v", "_l", "_in")
+
+
+def last_rows(df: DataFrame, keys: Sequence[str], order: str, n: int, aggs: dict[str, Callable[[Window], Column]], chunk: int = 4096) -> DataFrame:
+    """Aggregates over each row and the n - 1 before it, and ``pos``, the row's number from 1. Rows are numbered in chunks of
+    ``order``, then cut into chunks of numbers; the last n - 1 rows of a chunk stand in the next one too."""
+    d = running(df, keys, order, F.lit(1), "pos", chunk)
+    wide = max(chunk, n)
+    b = F.floor((F.col("pos") - 1) / wide)
+    late = (F.col("pos") - 1) % wide >= wide - n + 1
+    d = d.withColumn("_b", F.explode(F.when(late, F.array(b, b + 1)).otherwise(F.array(b))))
+    w = Window.partitionBy(*keys, "_b").orderBy("pos").rangeBetween(1 - n, 0)
+    for name, f in aggs.items():
+        d = d.withColumn(name, f(w))
+    return d.filter(b == F.col("_b")).drop("_b")

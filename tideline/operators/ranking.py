@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +56,23 @@ def pareto(df: DataFrame, x: str, y: str, tie: str, width: float) -> DataFrame:
     w = Window.partitionBy("_b").orderBy(x, F.desc(y), tie).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_p", F.max(y).over(w))
     return d.filter(F.col("_p").isNull() | (F.col(y) > F.col("_p"))).drop("_b", "_before", "_p")
+
+
+def value_at(df: DataFrame, keys: list[str], value: str, width: float, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """keys, n and for each name the value at rank f(n), from 0, of the n non-null values in order.
+
+    Equal values are counted first and their counts added up in ranges of the value, so neither a key nor a value is gathered.
+    """
+    c = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    c = running_by_value(c, keys, value, width, {"_before": F.col("_c")})
+    n = c.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    c = c.join(n, keys) if keys else c.crossJoin(F.broadcast(n))  # one row
+    at = {k: f(F.col("n")) for k, f in ranks.items()}
+    return c.groupBy(*keys).agg(F.first("n").alias("n"), *[F.max(F.when((F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")), F.col(value))).alias(k) for k, r in at.items()])
+
+
+def quantile(df: DataFrame, keys: list[str], value: str, q: float, width: float) -> DataFrame:
+    """keys, n, quantile: with linear interpolation between the two ranks."""
+    h = lambda n: q * (n - 1)
+    v = value_at(df, keys, value, width, {"_lo": lambda n: F.floor(h(n)), "_hi": lambda n: F.ceil(h(n))})
+    return v.select(*keys, "n", (F.col("_lo") + (h(F.col("n")) - F.floor(h(F.col("n")))) * (F.col("_hi") - F.col("_lo"))).alias("quantile"))

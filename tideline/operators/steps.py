@@ -43,6 +43,8 @@ class Aci:
     gamma: float = 0.002
     lo: float = 0.001
     hi: float = 0.5
+    #: Level at the start (row T14): the target itself, or what an offline calibration gave.
+    start: float | None = None
 
     def __post_init__(self) -> None:
         if not (0 < self.alpha < 1 and self.gamma > 0 and 0 < self.lo < self.hi < 1):
@@ -50,7 +52,7 @@ class Aci:
 
     @property
     def initial(self) -> tuple:
-        return (min(self.hi, max(self.lo, self.alpha)), 0, 0, 0, 0)
+        return (self.alpha if self.start is None else min(self.hi, max(self.lo, self.start)), 0, 0, 0, 0)
 
     def __call__(self, state: tuple, err: bool | None) -> tuple[tuple, tuple]:
         """State: level, ticks, feedbacks, errors, clipped. Output: level."""
@@ -70,10 +72,11 @@ class DtAci:
     gammas: tuple[float, ...] = (0.005, 0.02, 0.08, 0.32)
     eta: float = 2.0
     window: int = 200
+    start: float | None = None
 
     @property
     def initial(self) -> tuple:
-        return (tuple(Aci(self.alpha, g).initial for g in self.gammas), tuple(deque(maxlen=self.window) for _ in self.gammas))
+        return (tuple(Aci(self.alpha, g, start=self.start).initial for g in self.gammas), tuple(deque(maxlen=self.window) for _ in self.gammas))
 
     def __call__(self, state: tuple, err: bool | None) -> tuple[tuple, tuple]:
         """State: those of the experts, their last losses. Output: mixed level."""
@@ -136,11 +139,11 @@ class Monitor:
         if risk is None or risk != risk:
             return state, (wealth, sure)
         n += 1
-        k += int(risk > 0)
+        k += int(risk > 0.5)
         last = (*last, risk)[-self.recent :]
         a = self.alpha
         bet = 0.0 if n <= 1 else min(0.5, max(0.0, (a - sum(last) / len(last)) / max(a * (1 - a), 1e-6)))
-        wealth *= 1 + bet * (a - risk)
+        wealth = max(0.0, wealth * (1 + bet * (a - risk)))
         if wealth >= 1 / self.delta:
             sure, peak = True, max(peak, wealth)
         if sure and wealth < peak * self.revoke:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tideline.functions import vectors
 from tideline.operators import boundary, ranking
 from tideline.plans.registry import core
-from tideline.plans.sqlparts import EMB, with_
+from tideline.plans.sqlparts import EMB, clopper_pearson, with_
 from tideline.rng import u01, u01_sql
 from tideline.session import table
 
@@ -83,12 +83,36 @@ def combined_score(s: SparkSession, d: str) -> DataFrame:
     return h.join(c, "vec_id").select("vec_id", R6(0.5 * F.col("h") + 0.5 * F.col("cache")).alias("score"))
 
 
-@core.query("bound05_conformal_threshold")
+_OWN = _UN + ", sc AS (SELECT un.vec_id, un.label, round(list_dot_product(un.v, pt.p), 6) AS score FROM un JOIN pt ON pt.label = un.label), rk AS (SELECT label, score, row_number() OVER (PARTITION BY label ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM sc)"
+# For each label the misses that the bound allows: the largest k whose lower bound is still .9 (a bound per k up to a tenth of n).
+_CONF = f"WITH RECURSIVE {_OWN}, kn AS (SELECT DISTINCT n, k FROM (SELECT DISTINCT n FROM rk), range(100000) t(k) WHERE k <= n / 10), {clopper_pearson('k', 'n', '0.1', 'kn', 'cp')}, al AS (SELECT n, max(k) FILTER (1 - ucb >= 0.9) AS allowed FROM cp GROUP BY n), th AS (SELECT label, rk.n, CAST(coalesce(allowed, 0) AS BIGINT) AS n_miss, score AS tau, CASE WHEN allowed IS NULL THEN 'ESTIMATED' ELSE 'CALIBRATED' END AS status FROM rk JOIN al USING (n) WHERE i = coalesce(allowed, 0))"
+
+
+def _own_scores(s: SparkSession, d: str) -> DataFrame:
+    e = emb(s, d)
+    return e.join(boundary.class_means(e, "label", "v"), "label").select("vec_id", "label", R6(vectors.dot(F.col("v"), F.col("proto"))).alias("score"))
+
+
+@core.query("bound05_conformal_threshold", _CONF + " SELECT label, n, n_miss, tau, status FROM th")
 def conformal_threshold(s: SparkSession, d: str) -> DataFrame:
-    """Per label the threshold on the own-prototype cosine whose recall is bounded by .9 (rows L5 and L6)."""
+    """Per label the threshold on the own-prototype cosine whose recall is bounded by .9 (row L5)."""
+    return boundary.conformal(_own_scores(s, d), "label", "score")
+
+
+@core.query("bound06_decide", _CONF + " SELECT vec_id, score >= tau AS unsafe, CASE WHEN status = 'CALIBRATED' THEN 0.9::DOUBLE END AS recall_bound FROM sc JOIN th USING (label)")
+def decide(s: SparkSession, d: str) -> DataFrame:
+    """What the thresholds decide of each row, with the recall they guarantee: none unless calibrated (row L6)."""
+    sc = _own_scores(s, d)
+    return boundary.decide(sc, boundary.conformal(sc, "label", "score"), "label", "score", 0.9).select("vec_id", "unsafe", "recall_bound")
+
+
+@core.query("bound06_epochs", with_(_UN) + ", a AS (SELECT label, count(*) AS n0 FROM em WHERE vec_id % 2 = 0 GROUP BY label), b AS (SELECT label, count(*) AS n1 FROM em GROUP BY label) SELECT label, n0, n1, n1 <> n0 AS boundary_changed, CASE WHEN n1 <> n0 THEN 'UNCALIBRATED' ELSE 'CALIBRATED' END AS status, CAST(CASE WHEN n1 <> n0 THEN 2 ELSE 1 END AS BIGINT) AS epoch FROM a JOIN b USING (label)")
+def epochs(s: SparkSession, d: str) -> DataFrame:
+    """A boundary that got new examples (here the odd ids, after the even ones) begins another epoch and has lost its calibration."""
     e = emb(s, d)
-    sc = e.join(boundary.class_means(e, "label", "v"), "label").select("label", R6(vectors.dot(F.col("v"), F.col("proto"))).alias("score"))
-    return boundary.conformal(sc, "label", "score")
+    a = e.filter("vec_id % 2 = 0").groupBy("label").agg(F.count("*").alias("n0"))
+    b = a.join(e.groupBy("label").agg(F.count("*").alias("n1")), "label").withColumn("boundary_changed", F.col("n1") != F.col("n0"))
+    return boundary.recalibrate(b, "boundary_changed")
 
 
 @core.query("bound08_grouped_split", f"WITH g AS (SELECT DISTINCT channel_id FROM documents WHERE channel_id IS NOT NULL), r AS (SELECT channel_id, row_number() OVER (ORDER BY {u01_sql(8, 'channel_id')}, channel_id) AS r, count(*) OVER () AS n FROM g) SELECT channel_id FROM r WHERE r <= greatest(1, round(n * 0.2))")

@@ -151,36 +151,45 @@ def simulate_many(s: SparkSession, d: str) -> DataFrame:
 
 _REWARD = (
     FRAMES
-    + ", nu AS (SELECT stream_id, any_value(nu_s) AS nu FROM fr GROUP BY stream_id), oc AS (SELECT stream_id, any_value(category) AS cat FROM (SELECT DISTINCT * FROM stream_outcomes) GROUP BY stream_id)"
-    + ", sp AS (SELECT stream_id, tick, t_s, CASE WHEN json_valid(action_raw) AND json_extract_string(action_raw, '$.action') IN ('hold', 'flag', 'clear', 'uncovered') THEN json_extract_string(action_raw, '$.action') END AS a, CASE WHEN json_valid(action_raw) THEN json_extract_string(action_raw, '$.category') END AS c, CASE WHEN json_valid(action_raw) THEN json_extract_string(action_raw, '$.policy_citation') END AS p FROM fr WHERE action_raw IS NOT NULL)"
-    + ", ep AS (SELECT sp.*, nu, cat, a = 'flag' AND nu IS NOT NULL AND t_s >= nu AND (cat IS NULL OR c = cat) AS good FROM sp JOIN nu USING (stream_id) LEFT JOIN oc USING (stream_id) WHERE a IS NOT NULL)"
-    + ", eg AS (SELECT stream_id, any_value(nu) AS nu, count(*) FILTER (a = 'flag' AND coalesce(p, '') = '') AS nocite, count(*) FILTER (a = 'flag') AS nf, count(*) FILTER (good) AS ng, min(t_s) FILTER (good) AS th, count(*) FILTER (a = 'uncovered') AS nun FROM ep GROUP BY stream_id)"
+    + ", nu AS (SELECT stream_id, any_value(nu_s) AS nu FROM fr GROUP BY stream_id), oc AS (SELECT stream_id, any_value(category) AS cat FROM (SELECT DISTINCT * FROM stream_outcomes) GROUP BY stream_id), cv AS (SELECT DISTINCT category AS cat, true AS has FROM policy_clauses WHERE status IN ('active', 'deprecated'))"
+    + ", sp AS (SELECT stream_id, tick, t_s, floor(length(action_raw) / 2.0) AS tok, CASE WHEN json_valid(action_raw) AND json_extract_string(action_raw, '$.action') IN ('hold', 'flag', 'clear', 'uncovered') THEN json_extract_string(action_raw, '$.action') END AS a, CASE WHEN json_valid(action_raw) THEN json_extract_string(action_raw, '$.category') END AS c, CASE WHEN json_valid(action_raw) THEN json_extract_string(action_raw, '$.policy_citation') END AS p FROM fr WHERE action_raw IS NOT NULL)"
+    + ", ep AS (SELECT sp.*, nu, oc.cat IS NULL OR coalesce(cv.has, false) AS covered, a = 'flag' AND nu IS NOT NULL AND t_s >= nu AND (oc.cat IS NULL OR c = oc.cat) AS good, CASE WHEN a IS NULL THEN 'format' WHEN a = 'flag' AND coalesce(p, '') = '' THEN 'citation' END AS void FROM sp JOIN nu USING (stream_id) LEFT JOIN oc USING (stream_id) LEFT JOIN cv ON cv.cat = oc.cat)"
+    + ", eg AS (SELECT stream_id, any_value(nu) AS nu, any_value(covered) AS covered, sum(tok) AS tok, arg_min(void, tick) FILTER (void IS NOT NULL) AS gate, count(*) FILTER (a = 'flag') AS nf, count(*) FILTER (good) > 0 AS hit, arg_min(t_s, tick) FILTER (good) AS th, count(*) FILTER (a = 'uncovered') AS nun FROM ep GROUP BY stream_id)"
+    + ", er AS (SELECT *, CASE WHEN nu IS NULL THEN -0.3 * nun WHEN covered THEN -0.4 * nun WHEN nun > 0 THEN 0.6 ELSE 0 END AS r_unc, CASE WHEN nu IS NOT NULL AND NOT covered THEN nun ELSE 0 END AS n_right FROM eg)"
 )
 
 
 @core.query(
     "data09_trajectory_reward",
-    with_(_REWARD) + " SELECT stream_id, nf AS n_flags, CASE WHEN ng > 0 THEN nf - 1 ELSE nf END AS n_false_alarms, round(CASE WHEN ng > 0 THEN th - nu END, 6) AS delay_s, round(CASE WHEN nocite > 0 THEN 0 ELSE CASE WHEN ng > 0 THEN 1 - 0.5 * least((th - nu) / 8, 20) / 20 WHEN nu IS NOT NULL THEN -0.5 ELSE 0 END - 0.3 * CASE WHEN ng > 0 THEN nf - 1 ELSE nf END - CASE WHEN nu IS NULL THEN 0.3 ELSE 0.4 END * nun END, 6) AS reward FROM eg",
+    with_(_REWARD)
+    + " SELECT stream_id, gate, gate IS NULL AND hit AS hit, round(CASE WHEN gate IS NULL AND hit THEN th - nu END, 6) AS delay_s, CASE WHEN gate IS NOT NULL THEN 0 WHEN hit THEN nf - 1 ELSE nf END AS n_false_alarms, CAST(tok AS BIGINT) AS tokens, CASE WHEN gate IS NULL THEN n_right ELSE 0 END AS n_uncovered_right, CASE WHEN gate IS NULL THEN nun - n_right ELSE 0 END AS n_uncovered_wrong,"
+    + " round(CASE WHEN gate IS NOT NULL THEN 0 ELSE CASE WHEN hit THEN 1 - 0.5 * least((th - nu) / 2, 20) / 20 WHEN nu IS NOT NULL AND NOT (NOT covered AND n_right > 0) THEN -0.5 ELSE 0 END - 0.3 * CASE WHEN hit THEN nf - 1 ELSE nf END - 0.05 * tok / 2000 + r_unc END, 6) AS reward FROM er",
 )
 def trajectory_reward(s: SparkSession, d: str) -> DataFrame:
-    """Reward of each stream's answers: the first right flag counts with its delay, all others as false alarms; a flag without
-    citation voids it, and so does an answer that does not parse strictly (``gate``: which of them came first)."""
+    """Reward of each stream's answers: the first right flag counts with its delay, all others as false alarms; tokens cost.
+
+    A flag without citation voids it, and so does an answer that does not parse strictly (``gate``: which came first). "uncovered" is
+    right once where the policy has no clause for the stream's category, lazy where it has, and a false alarm on a safe stream; a
+    gap rightly named is no miss. Answers carry no token counts, so these are half their characters (row P29)."""
     f = frames(s, d, "t_s", "action_raw", "nu_s")
     nu = f.groupBy("stream_id").agg(F.first("nu_s", ignorenulls=True).alias("nu"))
-    cat = table(s, d, "stream_outcomes").groupBy("stream_id").agg(F.first("category", ignorenulls=True).alias("cat"))
+    covers = table(s, d, "policy_clauses").filter(F.col("status").isin("active", "deprecated")).select(F.col("category").alias("cat"), F.lit(True).alias("has")).distinct()
+    cat = table(s, d, "stream_outcomes").groupBy("stream_id").agg(F.first("category", ignorenulls=True).alias("cat")).join(covers, "cat", "left")
     x = f.filter("action_raw is not null").withColumn("p", protocol.parsed(F.col("action_raw"))).withColumn("a", protocol.strict_action(F.col("action_raw")))
     x = x.join(nu, "stream_id").join(cat, "stream_id", "left")
     flag = F.col("a") == "flag"
     good = flag & F.col("nu").isNotNull() & (F.col("t_s") >= F.col("nu")) & (F.col("cat").isNull() | F.coalesce(F.col("p.category") == F.col("cat"), F.lit(False)))
     n = lambda c: F.count(F.when(c, 1))
     void = F.when(F.col("a").isNull(), "format").when(flag & (F.coalesce("p.policy_citation", F.lit("")) == ""), "citation")
-    x = x.withColumn("void", void)
-    g = x.groupBy("stream_id").agg(F.first("nu").alias("nu"), F.min_by("void", F.when(F.col("void").isNotNull(), F.col("tick"))).alias("gate"), n(flag).alias("nf"), n(good).alias("ng"), F.min(F.when(good, F.col("t_s"))).alias("th"), n(F.col("a") == "uncovered").alias("nun"))
-    delay, hit = F.col("th") - F.col("nu"), F.col("ng") > 0
+    x = x.withColumn("void", void).withColumn("covered", F.col("cat").isNull() | F.coalesce("has", F.lit(False)))
+    g = x.groupBy("stream_id").agg(F.first("nu").alias("nu"), F.first("covered").alias("covered"), F.sum(F.floor(F.length("action_raw") / 2.0)).cast("bigint").alias("tok"), F.min_by("void", F.when(F.col("void").isNotNull(), F.col("tick"))).alias("gate"), n(flag).alias("nf"), n(good).alias("ng"), F.min_by("t_s", F.when(good, F.col("tick"))).alias("th"), n(F.col("a") == "uncovered").alias("nun"))
+    ok, hit, safe = F.col("gate").isNull(), F.col("ng") > 0, F.col("nu").isNull()
+    right = F.when(~safe & ~F.col("covered"), F.col("nun")).otherwise(0)
+    uncovered = F.when(safe, -0.3 * F.col("nun")).when(F.col("covered"), -0.4 * F.col("nun")).when(F.col("nun") > 0, 0.6).otherwise(0.0)
     fa = F.when(hit, F.col("nf") - 1).otherwise(F.col("nf"))
-    base = F.when(hit, 1 - 0.5 * F.least(delay / 8, F.lit(20.0)) / 20).when(F.col("nu").isNotNull(), -0.5).otherwise(0.0)
-    total = base - 0.3 * fa - F.when(F.col("nu").isNull(), 0.3).otherwise(0.4) * F.col("nun")
-    return g.select("stream_id", F.col("nf").alias("n_flags"), fa.alias("n_false_alarms"), R6(F.when(hit, delay)).alias("delay_s"), R6(F.when(F.col("gate").isNotNull(), 0.0).otherwise(total)).alias("reward"), "gate")
+    base = F.when(hit, 1 - 0.5 * F.least((F.col("th") - F.col("nu")) / 2, F.lit(20.0)) / 20).when(~safe & ~(right > 0), -0.5).otherwise(0.0)
+    total = base - 0.3 * fa - 0.05 * F.col("tok") / 2000 + uncovered
+    return g.select("stream_id", "gate", (ok & hit).alias("hit"), R6(F.when(ok & hit, F.col("th") - F.col("nu"))).alias("delay_s"), F.when(ok, fa).otherwise(0).alias("n_false_alarms"), F.col("tok").alias("tokens"), F.when(ok, right).otherwise(0).alias("n_uncovered_right"), F.when(ok, F.col("nun") - right).otherwise(0).alias("n_uncovered_wrong"), R6(F.when(ok, total).otherwise(0.0)).alias("reward"))
 
 
 @core.query("data10_break_even", "SELECT alpha, beta, gamma, round((beta - alpha) / (gamma + beta), 6) AS break_even_precision, round(beta / gamma, 6) AS exchange_rate FROM (VALUES (0.5::DOUBLE, 0.3::DOUBLE, 1.0::DOUBLE), (0.1, 0.6, 1.0), (0.2, 0.4, 0.8)) t(alpha, beta, gamma)")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.operators import bounds, ranking
+from tideline.operators.ordered import previous
 from tideline.plans.q_join import _GAPS, _PAIRS, _RESOLVED, resolve, step_pairs, stepped, uncovered
 from tideline.plans.q_scalar import _ROUTE, routed
 from tideline.plans.registry import core
-from tideline.plans.sqlparts import FRAMES, STEPS, with_
+from tideline.plans.sqlparts import FRAMES, STEPS, clopper_pearson, with_
 from tideline.rng import u01, u01_sql
 from tideline.session import table
 from tideline.sources.tables import frames
@@ -49,29 +50,11 @@ def confusion(s: SparkSession, d: str) -> DataFrame:
 def operating_point(s: SparkSession, d: str) -> DataFrame:
     """Recall, false alarms per hour, delays and cost together (rows A2 and A3); p90 is the nearest rank, rounded half to even."""
     o = outcomes(s, d).withColumn("stratum", F.coalesce("stratum", F.lit("?")))
-    w = Window.partitionBy("stratum")
-    o = o.withColumn("i", F.row_number().over(w.orderBy(F.asc_nulls_last("delay"))) - 1).withColumn("nd", F.count("delay").over(w))
-    g = o.groupBy("stratum").agg(
-        F.count("*").alias("n"),
-        F.count("nu_s").alias("u"),
-        F.count(F.when(F.col("detected"), 1)).alias("det"),
-        F.sum("n_false_alarms").alias("fa"),
-        F.avg("delay").alias("md"),
-        F.min(F.when(F.col("i") == F.bround(0.9 * (F.col("nd") - 1)), F.col("delay"))).alias("p90"),
-        F.avg("cost").alias("c"),
-    )
+    p90 = ranking.value_at(o, ["stratum"], "delay", 1.0, {"p90": lambda n: F.bround(0.9 * (n - 1))}).select("stratum", "p90")
+    g = o.groupBy("stratum").agg(F.count("*").alias("n"), F.count("nu_s").alias("u"), F.count(F.when(F.col("detected"), 1)).alias("det"), F.sum("n_false_alarms").alias("fa"), F.avg("delay").alias("md"), F.avg("cost").alias("c")).join(p90, "stratum", "left")
     return g.select("stratum", "n", R6(F.when(F.col("u") > 0, F.col("det") / F.col("u"))).alias("recall"), R6(F.col("fa") / (F.col("n") / 60.0)).alias("fa_per_hour"), R6("md").alias("mean_delay_s"), R6("p90").alias("p90_delay_s"), R6("c").alias("cost"))
 
 
-@core.query(
-    "agg04_pareto",
-    "WITH p AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS x, (o_orderkey * 7919) % 100003 AS y FROM orders), m AS (SELECT *, max(y) OVER (ORDER BY x, y DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM p) SELECT o_orderkey, round(x, 6) AS x, y FROM m WHERE best IS NULL OR y > best",
-)
-def pareto(s: SparkSession, d: str) -> DataFrame:
-    p = table(s, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("x"), (F.col("o_orderkey") * 7919 % 100003).alias("y"))
-    return ranking.pareto(p, "x", "y", "o_orderkey", 1000.0).select("o_orderkey", R6("x").alias("x"), "y")
-
-
 _PTS = _OUT + ", pt AS (SELECT coalesce(category, '?') AS k, round(count(*) FILTER (detected) / greatest(count(nu_s), 1), 9) AS r, round(avg(n_false_alarms), 9) AS f, round(coalesce(avg(delay), 'Infinity'::DOUBLE), 9) AS dl, round(avg(cost), 9) AS c FROM o GROUP BY 1)"
 
 
@@ -135,33 +118,49 @@ def average_precision(s: SparkSession, d: str) -> DataFrame:
     return ranking.average_precision(labelled(s, d), [], "score", F.col("y"), ["stream_id", "tick"], 0.05).select(R6("average_precision").alias("average_precision"))
 
 
-@core.query("agg13_recall_lower_bound")
+_POS = _OUT + ", ps AS (SELECT category, count(*) AS n, count(*) FILTER (NOT detected) AS miss FROM o WHERE nu_s IS NOT NULL GROUP BY category)"
+
+
+@core.query("agg13_recall_lower_bound", f"WITH RECURSIVE {_POS}, {clopper_pearson('miss', 'n', '0.1', 'ps', 'cp')} SELECT category, ps.n, miss, round(1 - ucb, 6) AS lower_bound, CAST(ceil(ln(0.1) / ln(0.95)) AS BIGINT) AS n_needed FROM ps JOIN cp ON cp.k = ps.miss AND cp.n = ps.n")
 def recall_lower_bound(s: SparkSession, d: str) -> DataFrame:
     """Exact lower bound of the recall per category, with the samples a bound of .95 would need (rows A13 and A14)."""
     g = outcomes(s, d).filter("nu_s is not null").groupBy("category").agg(F.count("*").alias("n"), F.count(F.when(~F.col("detected"), 1)).alias("miss"))
     return g.select("category", "n", "miss", R6(1 - bounds.exact_ucb_col("miss", "n", F.lit(0.1))).alias("lower_bound"), F.lit(bounds.min_calibration_n(0.95)).cast("bigint").alias("n_needed"))
 
 
-_RISK = FRAMES + ", g AS (SELECT stream_id, count(risk) AS n, avg(CAST(risk > 0 AS INT)) AS m, coalesce(var_samp(CAST(risk > 0 AS INT)), 0) AS v FROM fr WHERE risk IS NOT NULL GROUP BY stream_id)"
+_RISK = FRAMES + ", g AS (SELECT stream_id, count(risk) AS n, avg(risk) AS m, var_pop(risk) AS v, sum(risk) AS k, bool_and(risk IN (0, 1)) AS zero_one FROM fr WHERE risk IS NOT NULL GROUP BY stream_id)"
+_BOUNDS = f"""WITH RECURSIVE {_RISK}, zo AS (SELECT CAST(round(k) AS BIGINT) AS k, n FROM g WHERE zero_one), {clopper_pearson('k', 'n', '0.1', 'zo', 'cp')},
+ bd AS (SELECT stream_id, g.n, m, m + sqrt(ln(20) / (2 * g.n)) AS hoeffding, CASE WHEN g.n < 2 THEN 1.0 ELSE m + sqrt(2 * v * ln(20) / g.n) + 7 * ln(20) / (3 * (g.n - 1)) END AS bernstein, coalesce(ucb, m + sqrt(ln(20) / (2 * g.n))) AS exact FROM g LEFT JOIN cp ON zero_one AND cp.k = round(g.k) AND cp.n = g.n)"""
+_WEALTH = """, od AS (SELECT stream_id, tick, risk, k, CASE k WHEN 0 THEN tick WHEN 1 THEN -tick ELSE CAST(concat('0x', substr(md5(concat_ws(':', '0', CAST(k AS VARCHAR), stream_id, CAST(tick AS VARCHAR))), 1, 8)) AS BIGINT) END AS o FROM fr, range(22) t(k) WHERE risk IS NOT NULL),
+ bt AS (SELECT *, least(0.5, greatest(0, coalesce((0.2 - avg(risk) OVER w) / 0.16, 0))) AS bet FROM od WINDOW w AS (PARTITION BY stream_id, k ORDER BY o, tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ wl AS (SELECT stream_id, k, count(*) AS n, CASE WHEN bool_or(1 + bet * (0.2 - risk) <= 0) THEN 0 ELSE exp(sum(ln(greatest(1e-300, 1 + bet * (0.2 - risk))))) END AS w FROM bt GROUP BY stream_id, k),
+ ew AS (SELECT stream_id, any_value(n) AS n, min(w) AS min_wealth, any_value(n) > 1 AND min(w) >= 10 AS certified FROM wl GROUP BY stream_id)"""
 
 
-@core.query(
-    "agg15_risk_bounds",
-    with_(_RISK) + " SELECT stream_id, n, round(least(1.0, m + sqrt(ln(10) / (2 * n))), 6) AS hoeffding, round(CASE WHEN n < 2 THEN 1.0 ELSE least(1.0, m + sqrt(2 * v * ln(20) / n) + 7 * ln(20) / (3 * (n - 1))) END, 6) AS bernstein FROM g",
-)
+def _risks(s: SparkSession, d: str) -> DataFrame:
+    return frames(s, d, "risk", where="risk is not null")
+
+
+@core.query("agg15_risk_bounds", _BOUNDS + " SELECT stream_id, n, round(hoeffding, 6) AS hoeffding, round(bernstein, 6) AS bernstein, round(exact, 6) AS exact FROM bd")
 def risk_bounds(s: SparkSession, d: str) -> DataFrame:
-    f = frames(s, d, "risk", where="risk is not null").withColumn("x", (F.col("risk") > 0).cast("double"))
-    g = f.groupBy("stream_id").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("v"))
-    n = F.col("n")
-    return g.select("stream_id", "n", R6(bounds.hoeffding_ucb(F.col("m"), n, 0.1)).alias("hoeffding"), R6(bounds.bernstein_ucb(F.col("m"), F.col("v"), n, 0.1)).alias("bernstein"))
+    """Upper bounds of the mean risk, of the risks as they are; the exact one falls back to Hoeffding's where risks are not 0 or 1."""
+    b = bounds.summary(_risks(s, d), "stream_id", "risk", 0.1)
+    return b.select("stream_id", "n", *[R6(c).alias(c) for c in ("hoeffding", "bernstein", "exact")])
 
 
-@core.query("agg16_ecrc_and_exact")
+@core.query("agg16_ecrc", f"WITH {FRAMES}{_WEALTH} SELECT stream_id, n, round(min_wealth, 6) AS min_wealth, certified FROM ew")
 def ecrc(s: SparkSession, d: str) -> DataFrame:
-    """Exact bound and certification by betting, per stream (rows A15 to A17)."""
-    f = frames(s, d, "risk")
-    c = bounds.ecrc_by_key(f, "stream_id", "risk", 0.2, 0.1)
-    return c.select("stream_id", "n", "k", R6(bounds.exact_ucb_col("k", "n", F.lit(0.1))).alias("exact"), "certified")
+    """Certification by betting, per stream: the least final wealth over 22 orderings."""
+    return bounds.ecrc(_risks(s, d), "stream_id", "tick", "risk", 0.2, 0.1).select("stream_id", "n", R6("min_wealth").alias("min_wealth"), "certified")
+
+
+@core.query("agg17_compare_bounds", _BOUNDS + _WEALTH + " SELECT stream_id, b.name AS bound, round(b.ucb, 6) AS ucb, b.ok AS certifies FROM (SELECT bd.stream_id, unnest([{'name': 'hoeffding', 'ucb': hoeffding, 'ok': hoeffding <= 0.2}, {'name': 'bernstein', 'ucb': bernstein, 'ok': bernstein <= 0.2}, {'name': 'exact', 'ucb': exact, 'ok': exact <= 0.2}, {'name': 'ecrc', 'ucb': NULL, 'ok': certified}]) AS b FROM bd JOIN ew USING (stream_id))")
+def compare_bounds(s: SparkSession, d: str) -> DataFrame:
+    """The four bounds side by side, four rows per stream: their value and whether they certify a risk of .2."""
+    b = bounds.summary(_risks(s, d), "stream_id", "risk", 0.1).join(bounds.ecrc(_risks(s, d), "stream_id", "tick", "risk", 0.2, 0.1).select("stream_id", "certified"), "stream_id")
+    row = lambda name, ucb, ok: F.struct(F.lit(name).alias("bound"), R6(ucb).alias("ucb"), ok.alias("certifies"))
+    rows = [row(c, F.col(c), F.col(c) <= 0.2) for c in ("hoeffding", "bernstein", "exact")] + [row("ecrc", F.lit(None).cast("double"), F.col("certified"))]
+    return b.select("stream_id", F.explode(F.array(*rows)).alias("b")).select("stream_id", "b.*")
 
 
 @core.query(
@@ -170,7 +169,7 @@ def ecrc(s: SparkSession, d: str) -> DataFrame:
 )
 def abstention_floor(s: SparkSession, d: str) -> DataFrame:
     """Least share that must abstain to reach a risk of .05, and what one audited miss costs in items (rows A18 and A19)."""
-    g = frames(s, d, "risk", where="risk is not null").groupBy("stream_id").agg(F.avg((F.col("risk") > 0).cast("double")).alias("m"))
+    g = _risks(s, d).groupBy("stream_id").agg(F.avg("risk").alias("m"))
     m = F.col("m")
     return g.select("stream_id", R6(F.greatest(F.lit(0.0), (m - 0.05) / (1 - 0.05))).alias("floor"), (m <= 0.05).alias("certifiable"), R6(F.when(m > 0, 1 / (0.01 * m))).alias("audit_items_per_miss"))
 
@@ -187,11 +186,13 @@ def realtime_tiers(s: SparkSession, d: str) -> DataFrame:
     return u.select("stream_id", R6(u1).alias("sentinel"), R6(u2).alias("midtier"), ((u1 < 1) & (u2 < 1)).alias("feasible"), F.when(u2 < 1, R6(1.526 * u2 / (1 - u2))).otherwise(F.lit(float("inf"))).alias("queue_delay_s"), F.when(u1 >= u2, "sentinel").otherwise("midtier").alias("bottleneck"), F.floor(1 / (u1 + u2)).cast("bigint").alias("streams_per_device"))
 
 
-@core.query("agg23_cascade_algebra", "SELECT fast, slow, overall, round((overall - fast) / slow, 6) AS escalation, round(slow / overall, 6) AS speedup FROM (VALUES (0.04::DOUBLE, 5.02::DOUBLE, 1.76::DOUBLE), (0.02, 1.5, 0.5), (0.1, 8.0, 0.9)) t(fast, slow, overall)")
+@core.query("agg23_cascade_algebra", _ROUTE + ", g AS (SELECT stream_id, count(*) AS n, sum(0.0218 + CASE WHEN route <> 'decide_safe' THEN 1.526 ELSE 0 END) / count(*) AS overall FROM rt GROUP BY stream_id) SELECT stream_id, round(overall, 6) AS overall_s, round((overall - 0.0218) / 1.526, 6) AS escalation, (overall - 0.0218) / 1.526 BETWEEN -1e-9 AND 1 + 1e-9 AS consistent, round(1.526 / overall, 6) AS speedup, overall <= 2 AS in_time FROM g")
 def cascade_algebra(s: SparkSession, d: str) -> DataFrame:
-    """Escalation rate and speed-up implied by the times of two tiers and of both together."""
-    t = s.createDataFrame([(0.04, 5.02, 1.76), (0.02, 1.5, 0.5), (0.1, 8.0, 0.9)], "fast double, slow double, overall double")
-    return t.select("*", R6((F.col("overall") - F.col("fast")) / F.col("slow")).alias("escalation"), R6(F.col("slow") / F.col("overall")).alias("speedup"))
+    """Escalation rate and speed-up implied by a stream's mean seconds a frame and the times of the two tiers."""
+    fast, slow = 0.0218, 1.526
+    g = routed(s, d).groupBy("stream_id").agg((F.sum(fast + F.when(F.col("route") != "decide_safe", slow).otherwise(0.0)) / F.count("*")).alias("o"))
+    r = (F.col("o") - fast) / slow
+    return g.select("stream_id", R6("o").alias("overall_s"), R6(r).alias("escalation"), r.between(-1e-9, 1 + 1e-9).alias("consistent"), R6(slow / F.col("o")).alias("speedup"), (F.col("o") <= 2).alias("in_time"))
 
 
 @core.query(
@@ -219,7 +220,7 @@ def corpus_diff(s: SparkSession, d: str) -> DataFrame:
 
 @core.query("agg27_sequence_stats", with_(FRAMES) + ", g AS (SELECT stream_id, t_s - lag(t_s) OVER (PARTITION BY stream_id ORDER BY tick) AS gap FROM fr) SELECT stream_id, count(*) AS n, round(avg(gap), 6) AS gap_mean, round(stddev_pop(gap), 6) AS gap_std, round(max(gap), 6) AS gap_max FROM g GROUP BY stream_id")
 def sequence_stats(s: SparkSession, d: str) -> DataFrame:
-    f = frames(s, d, "t_s").withColumn("gap", F.col("t_s") - F.lag("t_s").over(Window.partitionBy("stream_id").orderBy("tick")))
+    f = previous(frames(s, d, "t_s"), ["stream_id"], "tick", F.col("t_s"), "p").withColumn("gap", F.col("t_s") - F.col("p"))
     return f.groupBy("stream_id").agg(F.count("*").alias("n"), R6(F.avg("gap")).alias("gap_mean"), R6(F.stddev_pop("gap")).alias("gap_std"), R6(F.max("gap")).alias("gap_max"))
 
 
@@ -280,17 +281,3 @@ def protocol_scorecard(s: SparkSession, d: str) -> DataFrame:
     r = resolve(f, table(s, d, "policy_clauses"), "citation")
     n = lambda c: F.count(F.when(c, 1))
     return r.groupBy("stream_id").agg(F.count("*").alias("n"), n(F.col("a") == "flag").alias("n_flag"), n(F.col("a") == "invalid").alias("n_invalid"), R6(1 - n(F.col("a") == "invalid") / F.count("*")).alias("valid_rate"), n(F.col("reason") == "exact").alias("n_exact"), n(F.col("reason") == "prefix").alias("n_prefix"), n(F.col("reason").isin("ordinal", "unknown", "ambiguous_prefix", "not_enforced")).alias("n_unresolved"))
-
-
-@core.query("agg17_compare_bounds")
-def compare_bounds(s: SparkSession, d: str) -> DataFrame:
-    """The bounds side by side for small counts of misses, and whether betting certifies a risk of .05."""
-    import numpy as np
-
-    rows = []
-    for n, k in ((45, 0), (105, 2), (265, 5), (466, 9), (1657, 33)):
-        m = k / n
-        v = m * (1 - m) * n / (n - 1)
-        log = np.log(20.0)
-        rows.append((n, k, round(float(min(1, m + np.sqrt(np.log(10) / (2 * n)))), 6), round(float(min(1, m + np.sqrt(2 * v * log / n) + 7 * log / (3 * (n - 1)))), 6), round(bounds.exact_ucb(k, n, 0.1), 6), bounds.ecrc_certify(n, k, 0.05, 0.1)))
-    return s.createDataFrame(rows, "n int, misses int, hoeffding double, bernstein double, exact double, certified boolean")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tideline.functions import protocol, scores, vectors
 from tideline.operators import steps
-from tideline.operators.ordered import carry_last, fold, reflected_sum, running, sliding
+from tideline.operators.ordered import carry_last, fold, last_rows, previous, reflected_sum, running, sliding
+from tideline.operators.ranking import quantile
 from tideline.plans.registry import core
 from tideline.plans.sqlparts import CLIPS, EMB, FRAMES, STEPS, with_
 from tideline.rng import u01, u01_sql
@@ -63,11 +64,16 @@ def jittered_schedule(s: SparkSession, d: str) -> DataFrame:
     return running(f, ["stream_id"], "tick", gap, "t").select("stream_id", "tick", R6("t").alias("next_t"))
 
 
-@core.query("stream04_expected_delay", "SELECT mu AS mu1, round(5.0 / (mu * mu / 2), 6) AS expected_delay FROM (SELECT unnest([0.25, 0.5, 1.0, 2.0]::DOUBLE[]) AS mu)")
+@core.query("stream04_expected_delay", with_(FRAMES) + ", nu AS (SELECT stream_id, any_value(nu_s) AS nu FROM fr GROUP BY stream_id HAVING any_value(nu_s) IS NOT NULL), g AS (SELECT stream_id, avg(score) FILTER (t_s < nu) AS m0, avg(score) FILTER (t_s >= nu) AS m1, stddev_pop(score) FILTER (t_s < nu) AS sd FROM fr JOIN nu USING (stream_id) GROUP BY stream_id) SELECT stream_id, round(m0, 4) AS mu0, round(m1, 4) AS mu1, round(CASE WHEN (m1 - m0) * (m1 - m0) / (2 * sd * sd) > 0 THEN 5.0 / ((m1 - m0) * (m1 - m0) / (2 * sd * sd)) ELSE 'Infinity'::DOUBLE END, 4) AS expected_delay FROM g WHERE m0 IS NOT NULL AND m1 IS NOT NULL AND sd > 0")
 def expected_delay(s: SparkSession, d: str) -> DataFrame:
-    """Threshold over the Kullback-Leibler distance of the two Gaussians."""
-    m = s.createDataFrame([(0.25,), (0.5,), (1.0,), (2.0,)], "mu1 double")
-    return m.select("mu1", R6(5.0 / (F.col("mu1") * F.col("mu1") / 2)).alias("expected_delay"))
+    """Threshold over the Kullback-Leibler distance of the Gaussians before and after each stream's change; infinite without any."""
+    f = frames(s, d, "score", "t_s", "nu_s")
+    nu = f.groupBy("stream_id").agg(F.first("nu_s", ignorenulls=True).alias("nu")).filter("nu is not null")
+    late = F.col("t_s") >= F.col("nu")
+    g = f.join(nu, "stream_id").groupBy("stream_id").agg(F.avg(F.when(~late, F.col("score"))).alias("m0"), F.avg(F.when(late, F.col("score"))).alias("m1"), F.stddev_pop(F.when(~late, F.col("score"))).alias("sd"))
+    kl = (F.col("m1") - F.col("m0")) * (F.col("m1") - F.col("m0")) / (2 * F.col("sd") * F.col("sd"))
+    g = g.filter("m0 is not null and m1 is not null and sd > 0")
+    return g.select("stream_id", F.round("m0", 4).alias("mu0"), F.round("m1", 4).alias("mu1"), F.round(F.when(kl > 0, 5.0 / kl).otherwise(float("inf")), 4).alias("expected_delay"))
 
 
 @core.query(
@@ -143,7 +149,7 @@ def dedup_calibration(s: SparkSession, d: str) -> DataFrame:
     """The threshold under which 70 % of neighbouring pairs fall, and the share it achieves."""
     e = table(s, d, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("v"))
     c = e.join(e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("v").alias("w")), "vec_id").select(vectors.dot(F.col("v"), F.col("w")).alias("c"))
-    thr = c.agg(F.percentile("c", 0.7).alias("thr")).collect()[0].thr
+    thr = quantile(c, [], "c", 0.7, 0.01).collect()[0]["quantile"]  # one row
     return c.agg(R6(F.lit(thr)).alias("threshold"), R6(F.lit(max(1e-6, 1 - thr))).alias("delta"), R6(F.avg((F.col("c") <= thr).cast("double"))).alias("achieved"))
 
 
@@ -163,11 +169,17 @@ _ACI = FRAMES + ", l AS (SELECT stream_id, list(CAST(err AS DOUBLE) ORDER BY tic
 @core.query("stream12_aci", with_(_ACI) + " SELECT stream_id, t AS n_feedback, CAST(list_sum(es) AS BIGINT) AS n_errors, round(alpha, 6) AS alpha_t FROM r")
 def aci(s: SparkSession, d: str) -> DataFrame:
     """Adaptive level after each stream's feedback; ticks without feedback don't move it (row T12)."""
-    f = fold(frames(s, d, "err", where="err is not null"), ["stream_id"], ["tick"], steps.Aci(gamma=0.02), ["err"], "alpha double")
-    f = f.join(frames(s, d, "err"), ["stream_id", "tick"])
+    f = fold(frames(s, d, "err", where="err is not null"), ["stream_id"], ["tick", "err"], steps.Aci(gamma=0.02), ["err"], "alpha double")
     return f.groupBy("stream_id").agg(F.count("*").alias("n_feedback"), F.sum(F.col("err").cast("bigint")).alias("n_errors"), R6(F.max_by("alpha", "tick")).alias("alpha_t"))
 
 
+@core.query("stream14_aci_warm_start", with_(_ACI.replace(", 0.05) AS alpha", ", 0.12) AS alpha")) + " SELECT stream_id, round(alpha, 6) AS alpha_t FROM r")
+def aci_warm_start(s: SparkSession, d: str) -> DataFrame:
+    """The same from the level an offline calibration gave (row T14), here .12."""
+    f = fold(frames(s, d, "err", where="err is not null"), ["stream_id"], ["tick"], steps.Aci(gamma=0.02, start=0.12), ["err"], "alpha double")
+    return f.groupBy("stream_id").agg(R6(F.max_by("alpha", "tick")).alias("alpha_t"))
+
+
 @core.query(
     "stream13_aci_observables",
     with_(FRAMES) + ", g AS (SELECT stream_id, count(err) AS n, avg(CAST(err AS DOUBLE)) AS e FROM fr GROUP BY stream_id HAVING count(err) > 0) SELECT stream_id, n, round(e, 6) AS empirical_error, round(e - 0.05, 6) AS coverage_gap, round((0.05 + 1 / 0.02) / n, 6) AS gap_bound FROM g",
@@ -179,9 +191,10 @@ def aci_observables(s: SparkSession, d: str) -> DataFrame:
 
 @core.query(
     "stream15_dtaci",
-    with_(_ACI.replace(", r AS", ", g AS (SELECT unnest([0.005, 0.02, 0.08, 0.32]) AS gamma), r0 AS"))
-    + """, ex AS (SELECT l.stream_id, g.gamma, list_reduce(es, lambda a, x: greatest(0.001, least(0.5, a + g.gamma * (x - 0.05))), 0.05) AS alpha, list_aggregate(es[greatest(1, len(es) - 199):], 'avg') AS e FROM l, g),
- w AS (SELECT *, exp(-2 * (abs(alpha - e) - min(abs(alpha - e)) OVER (PARTITION BY stream_id))) AS w FROM ex) SELECT stream_id, round(sum(w * alpha) / sum(w), 6) AS alpha_t FROM w GROUP BY stream_id""",
+    f"""WITH RECURSIVE {FRAMES}, o AS (SELECT stream_id, CAST(err AS DOUBLE) AS e, row_number() OVER (PARTITION BY stream_id ORDER BY tick) AS rn FROM fr WHERE err IS NOT NULL), gm AS (SELECT unnest([0.005, 0.02, 0.08, 0.32])::DOUBLE AS gamma),
+ r AS (SELECT stream_id, gamma, rn, e, greatest(0.001, least(0.5, 0.05 + gamma * (e - 0.05))) AS a FROM o, gm WHERE rn = 1 UNION ALL SELECT o.stream_id, r.gamma, o.rn, o.e, greatest(0.001, least(0.5, r.a + r.gamma * (o.e - 0.05))) FROM r JOIN o ON o.stream_id = r.stream_id AND o.rn = r.rn + 1),
+ l AS (SELECT *, avg(abs(a - e)) OVER (PARTITION BY stream_id, gamma ORDER BY rn ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS loss, max(rn) OVER (PARTITION BY stream_id) AS n FROM r),
+ w AS (SELECT stream_id, a, exp(-2 * (loss - min(loss) OVER (PARTITION BY stream_id))) AS w FROM l WHERE rn = n) SELECT stream_id, round(sum(w * a) / sum(w), 6) AS alpha_t FROM w GROUP BY stream_id""",
 )
 def dtaci(s: SparkSession, d: str) -> DataFrame:
     """Four experts with different rates, mixed by their mean loss |level - error| over the last 200 feedbacks, with the level of each."""
@@ -189,7 +202,17 @@ def dtaci(s: SparkSession, d: str) -> DataFrame:
     return f.groupBy("stream_id").agg(R6(F.max_by("alpha", "tick")).alias("alpha_t"))
 
 
-@core.query("stream16_anytime_monitor")
+@core.query(
+    "stream16_anytime_monitor",
+    with_(FRAMES)
+    + """, x AS (SELECT stream_id, tick, tau, risk FROM fr, (SELECT unnest([-1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5])::DOUBLE AS tau) WHERE risk IS NOT NULL AND score < tau),
+ f AS (SELECT stream_id, tau, tick, 1 + CASE WHEN row_number() OVER w <= 1 THEN 0 ELSE least(0.5, greatest(0, (0.2 - avg(risk) OVER (PARTITION BY stream_id, tau ORDER BY tick ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)) / 0.16)) END * (0.2 - risk) AS k FROM x WINDOW w AS (PARTITION BY stream_id, tau ORDER BY tick)),
+ m AS (SELECT stream_id, tau, list_reduce(list_prepend([1.0, 1.0, 0.0]::DOUBLE[], list([k]::DOUBLE[] ORDER BY tick)), lambda a, b: CASE
+  WHEN (a[3] = 1 OR a[1] * b[1] >= 10) AND a[1] * b[1] < 0.5 * CASE WHEN a[1] * b[1] >= 10 THEN greatest(a[2], a[1] * b[1]) ELSE a[2] END THEN [1.0, 1.0, 0.0]
+  WHEN a[1] * b[1] >= 10 THEN [a[1] * b[1], greatest(a[2], a[1] * b[1]), 1.0] ELSE [greatest(0, a[1] * b[1]), a[2], a[3]] END) AS z FROM f GROUP BY stream_id, tau),
+ b AS (SELECT stream_id, max(tau) FILTER (z[3] = 1) AS certified_tau, round(max(z[1]), 6) AS top_wealth FROM m GROUP BY stream_id)
+ SELECT b.stream_id, certified_tau, top_wealth, round(1 - avg(CASE WHEN score < certified_tau THEN 1.0 ELSE 0.0 END), 6) AS abstention FROM fr JOIN b USING (stream_id) WHERE risk IS NOT NULL AND score IS NOT NULL GROUP BY ALL""",
+)
 def anytime_monitor(s: SparkSession, d: str) -> DataFrame:
     """One bet per stream and threshold over the samples below it; the largest certified threshold and the share not emitted
     (rows T16 and T17)."""
@@ -218,7 +241,7 @@ def context_buffer(s: SparkSession, d: str) -> DataFrame:
 def policy_cache_hits(s: SparkSession, d: str) -> DataFrame:
     """A header is reused where its key equals the one before."""
     f = protocol.with_step(frames(s, d, "action_raw", where="action_raw is not null")).filter("s.action = 'flag'").select("stream_id", "tick", F.col("s.policy_citation").alias("c"))
-    f = f.withColumn("p", F.lag("c").over(Window.partitionBy("stream_id").orderBy("tick")))
+    f = previous(f, ["stream_id"], "tick", F.col("c"), "p")
     return f.groupBy("stream_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("c") == F.col("p"), 1)).alias("n_hits"))
 
 
@@ -235,7 +258,7 @@ def event_sessions(s: SparkSession, d: str) -> DataFrame:
     f = protocol.with_step(frames(s, d, "action_raw", where="action_raw is not null")).select("stream_id", "tick", F.col("s.action").alias("a"))
     turn = F.when(F.col("a").isin("flag", "clear"), F.col("a"))
     f = carry_last(f, ["stream_id"], "tick", turn, "last_a")
-    f = f.withColumn("prev", F.lag("last_a").over(Window.partitionBy("stream_id").orderBy("tick")))
+    f = previous(f, ["stream_id"], "tick", F.col("last_a"), "prev")
     f = running(f, ["stream_id"], "tick", ((F.col("a") == "clear") & (F.coalesce("prev", F.lit("")) == "flag")).cast("bigint"), "k")
     return f.select("stream_id", "tick", F.coalesce(F.col("last_a") == "flag", F.lit(False)).alias("is_open"), F.col("k").cast("bigint").alias("event_idx"))
 
@@ -267,8 +290,9 @@ def stream_result(s: SparkSession, d: str) -> DataFrame:
 )
 def router_calibration(s: SparkSession, d: str) -> DataFrame:
     f = frames(s, d, "score", "t_s", "nu_s", where="score is not null and (nu_s is null or t_s < nu_s)")
-    g = f.groupBy("stream_id").agg(F.count("*").alias("n"), F.percentile("score", 0.95).alias("tau"), F.stddev_pop("score").alias("sd")).filter("n >= 10")
-    return g.select("stream_id", "n", R6("tau").alias("tau"), R6(F.greatest("sd", F.lit(1e-3))).alias("margin"))
+    q = quantile(f, ["stream_id"], "score", 0.95, 0.05).filter("n >= 10")
+    g = q.join(f.groupBy("stream_id").agg(F.stddev_pop("score").alias("sd")), "stream_id")
+    return g.select("stream_id", "n", R6("quantile").alias("tau"), R6(F.greatest("sd", F.lit(1e-3))).alias("margin"))
 
 
 # The probe of sequences: labels stand for sequences, vec_id for the place in them; weights are fixed by a rule.
@@ -288,10 +312,7 @@ def _scalars(s: SparkSession, d: str) -> DataFrame:
 )
 def rolling_probe(s: SparkSession, d: str) -> DataFrame:
     """Attention over each window of ten, the largest pooled value; offline over whole windows, online from the first (T27, T28)."""
-    x = _scalars(s, d)
-    o = Window.partitionBy("label").orderBy("vec_id")
-    w = o.rowsBetween(-9, 0)
-    p = x.withColumn("pooled", F.sum(F.exp("s") * F.col("val")).over(w) / F.sum(F.exp("s")).over(w)).withColumn("pos", F.row_number().over(o))
+    p = last_rows(_scalars(s, d), ["label"], "vec_id", 10, {"pooled": lambda w: F.sum(F.exp("s") * F.col("val")).over(w) / F.sum(F.exp("s")).over(w)})
     full = F.when(F.col("pos") >= 10, F.col("pooled"))
     return p.groupBy("label").agg(F.count(full).alias("n_windows"), R6(F.max(full)).alias("score"), R6(F.max("pooled")).alias("online_max"))
 
@@ -301,9 +322,7 @@ def rolling_probe(s: SparkSession, d: str) -> DataFrame:
     with_(_PW) + ", r AS (SELECT label, pos, s, val, avg(val) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m FROM sv) SELECT label, round(max(m) FILTER (pos >= 10), 6) AS rolling_mean, round(avg(val), 6) AS mean_pool, round(sum(exp(s) * val) / sum(exp(s)), 6) AS global_attention FROM r GROUP BY label",
 )
 def pooling_baselines(s: SparkSession, d: str) -> DataFrame:
-    x = _scalars(s, d)
-    o = Window.partitionBy("label").orderBy("vec_id")
-    x = x.withColumn("m", F.avg("val").over(o.rowsBetween(-9, 0))).withColumn("pos", F.row_number().over(o))
+    x = last_rows(_scalars(s, d), ["label"], "vec_id", 10, {"m": lambda w: F.avg("val").over(w)})
     return x.groupBy("label").agg(R6(F.max(F.when(F.col("pos") >= 10, F.col("m")))).alias("rolling_mean"), R6(F.avg("val")).alias("mean_pool"), R6(F.sum(F.exp("s") * F.col("val")) / F.sum(F.exp("s"))).alias("global_attention"))
 
 
