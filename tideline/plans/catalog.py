@@ -6,14 +6,10 @@ import importlib
 
 from tideline.plans.registry import core
 
-MODULES = ("q_scalar", "q_stream", "q_select", "q_join", "q_metrics", "q_valid", "q_boundary", "q_dataset")
+MODULES = ("q_scalar", "q_stream", "q_select", "q_join", "q_metrics", "q_valid", "q_boundary", "q_dataset", "q_simulate")
 
 for _m in MODULES:
-    try:
-        importlib.import_module(f"tideline.plans.{_m}")
-    except ModuleNotFoundError as e:
-        if e.name != f"tideline.plans.{_m}":
-            raise
+    importlib.import_module(f"tideline.plans.{_m}")
 
 
 def queries() -> dict:

@@ -109,32 +109,6 @@ def mix_resample(s: SparkSession, d: str) -> DataFrame:
     return got.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@core.query(
-    "data05_simulated_labels",
-    with_(FRAMES) + ", nu AS (SELECT stream_id, any_value(nu_s) AS nu FROM fr GROUP BY stream_id) SELECT stream_id, tick, CASE WHEN nu IS NULL OR t_s < nu OR t_s > nu + 10 THEN 'clear' WHEN t_s < nu + 4 THEN 'hold' ELSE 'flag' END AS label FROM fr JOIN nu USING (stream_id)",
-)
-def simulated_labels(s: SparkSession, d: str) -> DataFrame:
-    """What to answer at each tick: hold while less than .4 of the event is seen, then flag, else clear."""
-    f = frames(s, d, "t_s", "nu_s")
-    nu = f.groupBy("stream_id").agg(F.first("nu_s", ignorenulls=True).alias("nu"))
-    t, v = F.col("t_s"), F.col("nu")
-    return f.join(nu, "stream_id").select("stream_id", "tick", F.when(v.isNull() | (t < v) | (t > v + 10), "clear").when(t < v + 4, "hold").otherwise("flag").alias("label"))
-
-
-@core.query(
-    "data06_rollout_state",
-    with_(STEPS) + ", x AS (SELECT *, sum(CASE WHEN action = 'flag' THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY tick) AS k, max(CASE WHEN action = 'flag' THEN tick END) OVER (PARTITION BY stream_id ORDER BY tick) AS lf FROM st) SELECT stream_id, tick, CAST(40 * k AS BIGINT) AS tokens, tick - lf AS ticks_since_flag FROM x",
-)
-def rollout_state(s: SparkSession, d: str) -> DataFrame:
-    """State of a rollout: 40 tokens per flag so far, and ticks since the last one."""
-    from tideline.operators.ordered import carry_last
-
-    f = stepped(s, d).select("stream_id", "tick", F.col("s.action").alias("a"))
-    f = running(f, ["stream_id"], "tick", (F.col("a") == "flag").cast("bigint"), "k")
-    f = carry_last(f, ["stream_id"], "tick", F.when(F.col("a") == "flag", F.col("tick")), "lf")
-    return f.select("stream_id", "tick", (40 * F.col("k")).cast("bigint").alias("tokens"), (F.col("tick") - F.col("lf")).alias("ticks_since_flag"))
-
-
 @core.query("data07_hindsight_relabel", with_(STEPS) + ", nu AS (SELECT stream_id, any_value(nu_s) AS nu FROM fr GROUP BY stream_id) SELECT stream_id, tick, action, CASE WHEN nu IS NOT NULL AND t_s >= nu THEN 'flag' ELSE 'clear' END AS target FROM st JOIN nu USING (stream_id) WHERE action IN ('flag', 'uncovered', 'invalid')")
 def hindsight_relabel(s: SparkSession, d: str) -> DataFrame:
     f = stepped(s, d, "t_s").filter(F.col("s.action").isin("flag", "uncovered", "invalid"))
@@ -142,13 +116,6 @@ def hindsight_relabel(s: SparkSession, d: str) -> DataFrame:
     return f.join(nu, "stream_id").select("stream_id", "tick", F.col("s.action").alias("action"), F.when(F.col("nu").isNotNull() & (F.col("t_s") >= F.col("nu")), "flag").otherwise("clear").alias("target"))
 
 
-@core.query("data08_simulate_many", f"WITH g AS (SELECT k AS seed, i AS step, greatest(0.001, 2.0 + 0.4 * ({u01_sql('sim', 'k', 'i')} - 0.5)) AS gap FROM range(50) a(k), range(200) b(i)) SELECT seed, round(sum(gap), 6) AS last_t, round(min(gap), 6) AS min_gap, round(max(gap), 6) AS max_gap FROM g GROUP BY seed")
-def simulate_many(s: SparkSession, d: str) -> DataFrame:
-    g = s.range(50 * 200).select((F.col("id") / 200).cast("bigint").alias("seed"), (F.col("id") % 200).alias("step"))
-    g = g.withColumn("gap", F.greatest(F.lit(0.001), 2.0 + 0.4 * (u01("sim", F.col("seed"), F.col("step")) - 0.5)))
-    return g.groupBy("seed").agg(R6(F.sum("gap")).alias("last_t"), R6(F.min("gap")).alias("min_gap"), R6(F.max("gap")).alias("max_gap"))
-
-
 _REWARD = (
     FRAMES
     + ", nu AS (SELECT stream_id, any_value(nu_s) AS nu FROM fr GROUP BY stream_id), oc AS (SELECT stream_id, any_value(category) AS cat FROM (SELECT DISTINCT * FROM stream_outcomes) GROUP BY stream_id), cv AS (SELECT DISTINCT category AS cat, true AS has FROM policy_clauses WHERE status IN ('active', 'deprecated'))"
@@ -192,36 +159,21 @@ def trajectory_reward(s: SparkSession, d: str) -> DataFrame:
     return g.select("stream_id", "gate", (ok & hit).alias("hit"), R6(F.when(ok & hit, F.col("th") - F.col("nu"))).alias("delay_s"), F.when(ok, fa).otherwise(0).alias("n_false_alarms"), F.col("tok").alias("tokens"), F.when(ok, right).otherwise(0).alias("n_uncovered_right"), F.when(ok, F.col("nun") - right).otherwise(0).alias("n_uncovered_wrong"), R6(F.when(ok, total).otherwise(0.0)).alias("reward"))
 
 
-@core.query("data10_break_even", "SELECT alpha, beta, gamma, round((beta - alpha) / (gamma + beta), 6) AS break_even_precision, round(beta / gamma, 6) AS exchange_rate FROM (VALUES (0.5::DOUBLE, 0.3::DOUBLE, 1.0::DOUBLE), (0.1, 0.6, 1.0), (0.2, 0.4, 0.8)) t(alpha, beta, gamma)")
-def break_even(s: SparkSession, d: str) -> DataFrame:
-    t = s.createDataFrame([(0.5, 0.3, 1.0), (0.1, 0.6, 1.0), (0.2, 0.4, 0.8)], "alpha double, beta double, gamma double")
-    return t.select("*", R6((F.col("beta") - F.col("alpha")) / (F.col("gamma") + F.col("beta"))).alias("break_even_precision"), R6(F.col("beta") / F.col("gamma")).alias("exchange_rate"))
-
-
-_CF = "CASE WHEN covering = 'invalid' OR not_covering = 'invalid' THEN 'invalid' WHEN covering = 'flag' AND not_covering <> 'flag' THEN CASE WHEN citation LIKE 'C%' THEN 'consistent' ELSE 'wrong_citation' END WHEN covering <> 'flag' AND not_covering = 'flag' THEN 'reversed' ELSE 'insensitive' END"
+# The clause a right flag cites: the first enforced one of the stream's category.
+_TARGETS = "tg AS (SELECT stream_id, min(p.id) AS target FROM (SELECT stream_id, any_value(category) AS category FROM (SELECT DISTINCT * FROM stream_outcomes) GROUP BY stream_id) o JOIN policy_clauses p ON p.category = o.category AND p.status IN ('active', 'deprecated') GROUP BY stream_id)"
+_CF = "CASE WHEN covering = 'invalid' OR not_covering = 'invalid' THEN 'invalid' WHEN covering = 'flag' AND not_covering <> 'flag' THEN CASE WHEN target IS NULL OR citation = target THEN 'consistent' ELSE 'wrong_citation' END WHEN covering <> 'flag' AND not_covering = 'flag' THEN 'reversed' ELSE 'insensitive' END"
 
 
-@core.query("data11_counterfactual_reward", with_(_PAIRS) + f" SELECT verdict, count(*) AS n, CAST(round(sum(CASE verdict WHEN 'consistent' THEN 0.5 WHEN 'reversed' THEN -0.6 WHEN 'insensitive' THEN -0.4 ELSE 0 END), 6) AS DOUBLE) AS reward FROM (SELECT {_CF} AS verdict FROM pr) GROUP BY verdict")
+@core.query("data11_counterfactual_reward", with_(_PAIRS, _TARGETS) + f" SELECT verdict, count(*) AS n, CAST(round(sum(CASE verdict WHEN 'consistent' THEN 0.5 WHEN 'reversed' THEN -0.6 WHEN 'insensitive' THEN -0.4 ELSE 0 END), 6) AS DOUBLE) AS reward FROM (SELECT {_CF} AS verdict FROM pr LEFT JOIN tg USING (stream_id)) GROUP BY verdict")
 def counterfactual_reward(s: SparkSession, d: str) -> DataFrame:
+    """Answers in pairs, judged by direction: only a flag that turns into none, citing the target clause, is consistent."""
+    clause = table(s, d, "policy_clauses").filter(F.col("status").isin("active", "deprecated")).groupBy("category").agg(F.min("id").alias("target"))
+    target = table(s, d, "stream_outcomes").groupBy("stream_id").agg(F.first("category", ignorenulls=True).alias("category")).join(clause, "category").select("stream_id", "target")
     a, b = F.col("covering"), F.col("not_covering")
-    v = F.when((a == "invalid") | (b == "invalid"), "invalid").when((a == "flag") & (b != "flag"), F.when(F.col("citation").startswith("C"), "consistent").otherwise("wrong_citation")).when((a != "flag") & (b == "flag"), "reversed").otherwise("insensitive")
+    right = F.col("target").isNull() | F.coalesce(F.col("citation") == F.col("target"), F.lit(False))
+    v = F.when((a == "invalid") | (b == "invalid"), "invalid").when((a == "flag") & (b != "flag"), F.when(right, "consistent").otherwise("wrong_citation")).when((a != "flag") & (b == "flag"), "reversed").otherwise("insensitive")
     r = F.when(F.col("verdict") == "consistent", 0.5).when(F.col("verdict") == "reversed", -0.6).when(F.col("verdict") == "insensitive", -0.4).otherwise(0.0)
-    return step_pairs(s, d).select(v.alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"), R6(F.sum(r)).alias("reward"))
-
-
-@core.query(
-    "data13_policy_augmentation",
-    f"WITH s AS (SELECT doc_id, {u01_sql('mm', 'doc_id')} < 0.25 AS mismatch, 'C' || (1 + doc_id % 6) AS target FROM documents), c AS (SELECT id, split_part(category, '_', 1) AS ck FROM policy_clauses WHERE status = 'active') SELECT s.doc_id, any_value(mismatch) AS mismatch, string_agg(c.id, ',' ORDER BY {u01_sql('sh', 's.doc_id', 'c.id')}, c.id) AS clauses, count(*) AS n FROM s JOIN c ON CASE WHEN ck = target THEN NOT mismatch ELSE {u01_sql('sub', 's.doc_id', 'c.id')} < 0.7 END GROUP BY s.doc_id",
-)
-def policy_augmentation(s: SparkSession, d: str) -> DataFrame:
-    """A subset of the active clauses per sample, in random order; a quarter lacks the clause it needs. The clauses are one array
-    literal, so samples are never multiplied by a join."""
-    clauses = [(r.id, r.category.split("_")[0]) for r in table(s, d, "policy_clauses").filter("status = 'active'").select("id", "category").orderBy("seq").collect()]  # a policy is a document
-    arr = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(k).alias("ck")) for i, k in clauses])
-    x = table(s, d, "documents").select("doc_id").withColumn("mismatch", u01("mm", F.col("doc_id")) < 0.25).withColumn("target", F.concat(F.lit("C"), (1 + F.col("doc_id") % 6).cast("string")))
-    keep = F.filter(arr, lambda c: F.when(c["ck"] == F.col("target"), ~F.col("mismatch")).otherwise(u01("sub", F.col("doc_id"), c["id"]) < 0.7))
-    order = F.array_sort(F.transform(keep, lambda c: F.struct(u01("sh", F.col("doc_id"), c["id"]).alias("u"), c["id"].alias("id"))))
-    return x.select("doc_id", "mismatch", F.array_join(F.transform(order, lambda o: o["id"]), ",").alias("clauses"), F.size(order).cast("bigint").alias("n")).filter("n > 0")
+    return step_pairs(s, d).join(target, "stream_id", "left").select(v.alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"), R6(F.sum(r)).alias("reward"))
 
 
 @core.query("data15_induction_rounds")

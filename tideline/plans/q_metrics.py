@@ -224,32 +224,6 @@ def sequence_stats(s: SparkSession, d: str) -> DataFrame:
     return f.groupBy("stream_id").agg(F.count("*").alias("n"), R6(F.avg("gap")).alias("gap_mean"), R6(F.stddev_pop("gap")).alias("gap_std"), R6(F.max("gap")).alias("gap_max"))
 
 
-@core.query(
-    "agg28_state_shift",
-    with_(_PAIRS) + ", m AS (SELECT stream_id, avg(CAST(covering = 'flag' AS INT)) AS a1, avg(CAST(not_covering = 'flag' AS INT)) AS b1, avg(length(covering)) AS a2, avg(length(not_covering)) AS b2, avg(CASE WHEN covering <> not_covering THEN 1.0 ELSE 0.0 END) AS mismatch FROM pr GROUP BY stream_id) SELECT stream_id, round(0.5 * (abs(a1 - b1) / greatest(a1, b1, 1e-9) + abs(a2 - b2) / greatest(a2, b2, 1e-9)) / 2, 6) AS shift, round(mismatch, 6) AS mismatch FROM m",
-)
-def state_shift(s: SparkSession, d: str) -> DataFrame:
-    a, b = F.col("covering"), F.col("not_covering")
-    m = step_pairs(s, d).groupBy("stream_id").agg(F.avg((a == "flag").cast("double")).alias("a1"), F.avg((b == "flag").cast("double")).alias("b1"), F.avg(F.length(a)).alias("a2"), F.avg(F.length(b)).alias("b2"), F.avg((a != b).cast("double")).alias("mm"))
-    rel = lambda x, y: F.abs(F.col(x) - F.col(y)) / F.greatest(x, y, F.lit(1e-9))
-    return m.select("stream_id", R6(0.5 * (rel("a1", "b1") + rel("a2", "b2")) / 2).alias("shift"), R6("mm").alias("mismatch"))
-
-
-@core.query("agg29_augmentation_stats", "SELECT source, count(*) AS n, round(count(DISTINCT text) / count(*), 6) AS unique_ratio, min(length(text)) AS min_len, max(length(text)) AS max_len, bool_and(n_chars IS NOT NULL) AS complete FROM documents WHERE text IS NOT NULL GROUP BY source")
-def augmentation_stats(s: SparkSession, d: str) -> DataFrame:
-    """Distinct share and ranges per source; equal texts are counted by hash before, so a hot source has no wide state."""
-    t = table(s, d, "documents").filter("text is not null").select("source", F.length("text").cast("bigint").alias("len"), F.md5("text").alias("h"), F.col("n_chars").isNotNull().alias("ok"))
-    t = t.groupBy("source", "h").agg(F.count("*").alias("c"), F.min("len").alias("lo"), F.max("len").alias("hi"), F.bool_and("ok").alias("ok"))
-    return t.groupBy("source").agg(F.sum("c").alias("n"), R6(F.count("*") / F.sum("c")).alias("unique_ratio"), F.min("lo").alias("min_len"), F.max("hi").alias("max_len"), F.bool_and("ok").alias("complete"))
-
-
-@core.query("agg30_mix_report", with_(STEPS) + ", g AS (SELECT action, count(*) AS n FROM st GROUP BY action) SELECT action, n, round(n / sum(n) OVER (), 6) AS share, abs(n / sum(n) OVER () - 0.2) >= 0.12 AS off_target FROM g")
-def mix_report(s: SparkSession, d: str) -> DataFrame:
-    g = stepped(s, d).groupBy(F.col("s.action").alias("action")).agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return g.select("action", "n", R6(share).alias("share"), (F.abs(share - 0.2) >= 0.12).alias("off_target"))
-
-
 @core.query("agg31_best_round", with_(_CONF) + ", g AS (SELECT stream_id, count(*) FILTER (pred AND truth) AS tp, count(*) FILTER (pred <> truth) AS bad FROM cf GROUP BY stream_id), f AS (SELECT stream_id, round(2 * tp / greatest(2 * tp + bad, 1), 6) AS f1 FROM g) SELECT max(f1) AS best_f1, min(stream_id) FILTER (f1 = (SELECT max(f1) FROM f)) AS best FROM f")
 def best_round(s: SparkSession, d: str) -> DataFrame:
     f = stepped(s, d, "t_s")
