@@ -40,13 +40,15 @@ class Cascade:
             return "decide_unsafe" if r.can_decide_unsafe else "escalate"
         return "escalate" if ood >= r.ood_limit else "decide_safe"
 
-    def __call__(self, state: tuple, t: float, score: float | None, ood: float | None, action: str | None, err: bool | None, forced: bool, audited: bool) -> tuple[tuple, tuple]:
+    def __call__(self, state: tuple, t: float, score: float | None, ood: float | None, action: str | None, nu: float | None, forced: bool, audited: bool) -> tuple[tuple, tuple]:
+        """An audited tick of a stream whose change is known is a miss if it is past the change and was not flagged."""
         c, s, a = state
         c, (before, _, alarm) = self.cusum(c, score)
         route = "hold" if score is None else self.route(score, ood or 0.0, forced, alarm)
         seen = action if route in ("forced", "escalate", "decide_unsafe") else None
         s, (is_open, k) = self.session(s, seen)
-        a, (alpha,) = self.aci(a, err if audited else None)
+        err = t >= nu and seen != "flag" if audited and nu is not None else None
+        a, (alpha,) = self.aci(a, err)
         return (c, s, a), (before, alarm, route, seen, is_open, k, alpha)
 
 
@@ -55,6 +57,7 @@ def run_cascade(frames: DataFrame, cascade: Cascade = Cascade(), rho: float = 0.
     if not 0 < rho <= 1:
         raise ValueError("rho must be within (0, 1]")
     key = (F.col("stream_id"), F.col("tick"))
-    f = frames.withColumn("forced", u01("rho", *key) < rho).withColumn("audited", u01("audit", *key) < epsilon)
+    nu = frames.groupBy("stream_id").agg(F.first("nu_s", ignorenulls=True).alias("nu"))
+    f = frames.join(nu, "stream_id").withColumn("forced", u01("rho", *key) < rho).withColumn("audited", u01("audit", *key) < epsilon)
     f = protocol.with_step(f).withColumn("action_in", F.when(F.col("action_raw").isNotNull(), F.col("s.action")))
-    return fold(f, ["stream_id"], ["tick", "t_s"], cascade, ["t_s", "score", "ood", "action_in", "err", "forced", "audited"], "stat_before_reset double, alarm boolean, route string, action string, is_open boolean, event_idx bigint, alpha double")
+    return fold(f, ["stream_id"], ["tick", "t_s"], cascade, ["t_s", "score", "ood", "action_in", "nu", "forced", "audited"], "stat_before_reset double, alarm boolean, route string, action string, is_open boolean, event_idx bigint, alpha double")

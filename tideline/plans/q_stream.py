@@ -226,7 +226,14 @@ def anytime_monitor(s: SparkSession, d: str) -> DataFrame:
     return emitted
 
 
-@core.query("stream19_context_buffer")
+@core.query(
+    "stream19_context_buffer",
+    f"""WITH RECURSIVE {FRAMES}, o AS (SELECT stream_id, t_s, 40 + (tick * 31) % 60 AS tok, ood, row_number() OVER (PARTITION BY stream_id ORDER BY tick) AS rn FROM fr),
+ r AS (SELECT stream_id, rn, [{{'i': rn, 't': t_s, 'k': tok, 'm': ood}}] AS kept, 0::BIGINT AS gone FROM o WHERE rn = 1
+  UNION ALL SELECT stream_id, rn, kept, gone + was + 1 - len(kept) FROM (SELECT stream_id, rn, was, gone, list_filter(a, lambda x: x.i = rn OR list_sum(list_transform(a, lambda z: z.k)) - coalesce(list_sum(list_transform(list_filter(a, lambda y: y.i <> rn AND CASE WHEN len(list_filter(a, lambda u: u.m IS NULL)) > 0 THEN y.i < x.i ELSE y.m < x.m OR (y.m = x.m AND y.i < x.i) END), lambda w: w.k)), 0) <= 512) AS kept
+   FROM (SELECT o.stream_id, o.rn, len(r.kept) AS was, r.gone, list_append(list_filter(r.kept, lambda x: o.t_s - x.t <= 16), {{'i': o.rn, 't': o.t_s, 'k': o.tok, 'm': o.ood}}) AS a FROM r JOIN o ON o.stream_id = r.stream_id AND o.rn = r.rn + 1)))
+ SELECT stream_id, CAST(max(list_sum(list_transform(kept, lambda x: x.k))) AS BIGINT) AS max_tokens, max(gone) AS evicted, max(len(kept)) AS max_held FROM r GROUP BY stream_id""",
+)
 def context_buffer(s: SparkSession, d: str) -> DataFrame:
     """Token-bounded context per stream with eviction by age and importance (rows T19 and T22)."""
     f = frames(s, d, "t_s", "ood").withColumn("tokens", (40 + F.pmod(F.col("tick") * 31, F.lit(60))).cast("bigint"))
@@ -263,13 +270,26 @@ def event_sessions(s: SparkSession, d: str) -> DataFrame:
     return f.select("stream_id", "tick", F.coalesce(F.col("last_a") == "flag", F.lit(False)).alias("is_open"), F.col("k").cast("bigint").alias("event_idx"))
 
 
-@core.query("stream24_pipeline_ticks")
+_PIPE = f"""{_RESET}, {STEPS.replace(FRAMES + ", ", "")}, nu AS (SELECT stream_id, any_value(nu_s) AS nu FROM fr GROUP BY stream_id),
+ p1 AS (SELECT fr.stream_id, fr.tick, fr.t_s, nu, a.score, coalesce(a.alarm, false) AS alarm, coalesce(fr.ood, 0) AS ood, st.action AS act, {u01_sql('rho', 'fr.stream_id', 'fr.tick')} < 0.02 AS forced, {u01_sql('audit', 'fr.stream_id', 'fr.tick')} < 0.5 AS audited, exp(-(a.score * a.score)) AS b FROM fr JOIN nu USING (stream_id) LEFT JOIN a USING (stream_id, tick) LEFT JOIN st USING (stream_id, tick)),
+ p2 AS (SELECT *, least(1.0, least(1.0, 0.4 * b + 0.6 * ood) + CASE WHEN alarm THEN 0.3 ELSE 0 END) AS u FROM p1),
+ p3 AS (SELECT *, CASE WHEN score IS NULL THEN 'hold' WHEN forced THEN 'forced' WHEN u * sqrt(b) + 0.5 * u >= 0.25 OR score >= 0 OR ood >= 0.15 THEN 'escalate' ELSE 'decide_safe' END AS route FROM p2),
+ p4 AS (SELECT *, CASE WHEN route IN ('forced', 'escalate') THEN act END AS seen FROM p3),
+ p5 AS (SELECT *, last_value(CASE WHEN seen IN ('flag', 'clear') THEN seen END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lb FROM p4),
+ pa AS (SELECT stream_id, list_reduce(list_prepend(0.05::DOUBLE, list(CAST(t_s >= nu AND coalesce(seen, '') <> 'flag' AS DOUBLE) ORDER BY tick)), lambda x, e: greatest(0.001, least(0.5, x + 0.002 * (e - 0.05)))) AS alpha FROM p4 WHERE audited AND nu IS NOT NULL GROUP BY stream_id)"""
+
+
+@core.query(
+    "stream24_pipeline_ticks",
+    _PIPE
+    + " SELECT p5.stream_id, count(*) AS n_ticks, count(*) FILTER (alarm) AS n_alarms, round(avg(CASE WHEN route IN ('forced', 'escalate') THEN 1.0 ELSE 0.0 END), 6) AS escalation_rate, round(min(t_s) FILTER (seen = 'flag'), 6) AS first_flag_s, CAST(count(*) FILTER (seen = 'clear' AND lb = 'flag') AS BIGINT) AS events_closed, round(coalesce(any_value(alpha), 0.05), 6) AS alpha_t FROM p5 LEFT JOIN pa USING (stream_id) GROUP BY p5.stream_id",
+)
 def pipeline_ticks(s: SparkSession, d: str) -> DataFrame:
     """The whole cascade per stream: detector with reset, route, session, audit feedback; one row per stream."""
     from tideline.operators.cascade import run_cascade
 
-    t = run_cascade(frames(s, d, "t_s", "score", "ood", "action_raw", "err", "nu_s"))
-    return t.groupBy("stream_id").agg(F.count("*").alias("n_ticks"), F.count(F.when(F.col("alarm"), 1)).alias("n_alarms"), R6(F.avg((F.col("route") != "decide_safe").cast("double"))).alias("escalation_rate"), R6(F.min(F.when(F.col("action") == "flag", F.col("t_s")))).alias("first_flag_s"), F.max("event_idx").alias("events_closed"), R6(F.max_by("alpha", "tick")).alias("alpha_t"))
+    t = run_cascade(frames(s, d, "t_s", "score", "ood", "action_raw", "nu_s"))
+    return t.groupBy("stream_id").agg(F.count("*").alias("n_ticks"), F.count(F.when(F.col("alarm"), 1)).alias("n_alarms"), R6(F.avg(F.col("route").isin("forced", "escalate", "decide_unsafe").cast("double"))).alias("escalation_rate"), R6(F.min(F.when(F.col("action") == "flag", F.col("t_s")))).alias("first_flag_s"), F.max("event_idx").alias("events_closed"), R6(F.max_by("alpha", "tick")).alias("alpha_t"))
 
 
 @core.query(

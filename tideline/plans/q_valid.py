@@ -60,8 +60,13 @@ def cut_positions(s: SparkSession, d: str) -> DataFrame:
 
 @core.query("valid04_permutation_test")
 def permutation_test(s: SparkSession, d: str) -> DataFrame:
-    """The distance of the two position histograms and its p, from the ten pairs of counts."""
+    """The distance of the two position histograms and its p, from the ten pairs of counts; no finding on fewer than 20 spliced clips
+    or 40 cuts."""
     counts = {r.bin: (r.n_safe, r.n_unsafe) for r in _positions(s, d).orderBy("bin").collect()}
+    spliced = clips(s, d, "splice.cuts").filter("splice_cuts is not null").count()
+    n = sum(a + b for a, b in counts.values())
+    if spliced < 20 or n < 40:
+        return s.createDataFrame([(None, None, "too_few")], "tvd double, p double, finding string")
     tvd, p = position_test(counts)
     return s.createDataFrame([(round(tvd, 6), round(p, 6), "error" if p < 0.01 else "warn" if p < 0.1 else "ok")], "tvd double, p double, finding string")
 
@@ -89,7 +94,7 @@ def findings(s: SparkSession, d: str) -> DataFrame:
         record_schema(s, d).filter("first_error is not null").groupBy(F.concat(F.lit("schema:"), "first_error").alias("check")).agg(F.count("*").alias("n")).withColumn("level", F.lit("error")),
         pool_disjoint(s, d).filter("n_pools > 1").agg(F.count("*").alias("n")).select(F.lit("pool_disjoint").alias("check"), "n", F.lit("error").alias("level")),
         splice_balanced(s, d).filter("unbalanced").agg(F.count("*").alias("n")).select(F.lit("splice_balanced").alias("check"), "n", F.lit("error").alias("level")),
-        permutation_test(s, d).filter("finding <> 'ok'").agg(F.count("*").alias("n")).select(F.lit("cut_position_leakage").alias("check"), "n", F.lit("error").alias("level")),
+        permutation_test(s, d).filter(F.col("finding").isin("error", "warn")).groupBy(F.col("finding").alias("level")).agg(F.count("*").alias("n")).withColumn("check", F.lit("cut_position_leakage")),
         calibration_size(s, d).filter("too_few").agg(F.count("*").alias("n")).select(F.lit("calib_sample_size").alias("check"), "n", F.lit("warn").alias("level")),
         axis_coverage(s, d).filter("thin").agg(F.count("*").alias("n")).select(F.lit("axis_coverage").alias("check"), "n", F.lit("warn").alias("level")),
     ]

@@ -21,10 +21,10 @@ def frames(spark: SparkSession, d: str, *columns: str, where: str | None = None)
 
 
 def clips(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """The last delivered row per id."""
+    """The last delivered row per id; a row without a time of delivery counts as older than all others."""
     c = table(spark, d, "clips").filter("id is not null")
     row = F.struct(*[F.col(x).alias(x.replace(".", "_")) for x in columns])
-    return c.groupBy("id").agg(F.max_by(row, F.col("ingested_at")).alias("r")).select("id", "r.*")
+    return c.groupBy("id").agg(F.max_by(row, F.coalesce(F.col("ingested_at"), F.lit("1970-01-01").cast("timestamp"))).alias("r")).select("id", "r.*")
 
 
 def read_manifest(spark: SparkSession, path: str, *, pool: tuple[str, ...] | None, split: str | None = None) -> DataFrame:
