@@ -59,7 +59,7 @@ def _drawn(rows: DataFrame, q: DataFrame, seed: int, slack: float) -> DataFrame:
     sums = d.groupBy(*keys, "b").agg(F.count("*").alias("c"), F.count_if("accepted").alias("a"))
     w = Window.partitionBy(*keys)
     sums = sums.withColumn("before", F.coalesce(F.sum("c").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n_acc", F.sum("a").over(w))
-    d = d.join(F.broadcast(sums.select(*keys, "b", "c", "before", "n_acc")), [*keys, "b"])  # RANGES rows per row of the targets
+    d = d.join(sums.select(*keys, "b", "c", "before", "n_acc"), [*keys, "b"])
     d = d.filter((F.col("accepted") | (F.col("n_acc") < F.col("most"))) & (F.col("before") < F.col("most")))
     # Only the ranges in which `most` or `wanted` falls are ranked; rows of the others are in or out as they are.
     cut = ((F.col("before") + F.col("c") > F.col("most")) | ((F.col("before") < F.col("wanted")) & (F.col("before") + F.col("c") > F.col("wanted"))))
