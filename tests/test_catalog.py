@@ -118,7 +118,15 @@ def _probe(spark, data, duck, rows):
     assert rows[0]["n_sequences"] == n and (rows[0]["accuracy"] is None or 0 <= rows[0]["accuracy"] <= 1)
 
 
+def _fusion(spark, data, duck, rows):
+    """Streams of one side only, and a ranking that is better than chance."""
+    (r,) = rows
+    n = duck.sql("SELECT count(*) FROM (SELECT DISTINCT stream_id, tick FROM frames WHERE score IS NOT NULL)").fetchall()[0][0]
+    assert r["n_train"] + r["n_held"] == n and (r["average_precision"] is None or r["average_precision"] > r["share"])
+
+
 BRUTE = {
+    "bound07_fusion_head": _fusion,
     "valid04_permutation_test": _position_test,
     "valid07_findings": _findings,
     "valid08_codec_audit": _audit,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.session import cut_lineage
+
 
 def _f1(c) -> float:
     return 0.0 if not c.tp else 2 * c.tp / (2 * c.tp + c.fp + c.fn)
@@ -18,7 +20,8 @@ def induce(items: DataFrame, key: str, text: str, label: str, rounds: int = 5, g
     """
     x = items.select(F.col(key).alias("k"), F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("w"), F.col(label).alias("y"))
     half = F.pmod(F.xxhash64("k"), F.lit(2)) == 0
-    propose, dev = x.filter(half), x.filter(~half)
+    x = cut_lineage(x.withColumn("half", half))  # read in every round
+    propose, dev = x.filter("half"), x.filter("not half")
     n_pos, n_all = propose.filter("y").count(), propose.count()
     words: list[str] = []
     out, last = [], 0.0

@@ -44,7 +44,9 @@ def top_similar(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: i
                 for j in range(len(qi)):
                     s = sim[j].copy()
                     s[own == qi[j]] = -np.inf
-                    top = np.lexsort((own, -s))[:k]
+                    # All that are as near as the k-th, then in order: the rest of the batch is never sorted.
+                    near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+                    top = near[np.lexsort((own[near], -s[near]))[:k]]
                     keep[j] = sorted([*keep[j], *((-float(s[t]), int(own[t])) for t in top if np.isfinite(s[t]))])[:k]
             flat = [(int(qi[j]), i, -c) for j, best_ in enumerate(keep) for c, i in best_]
             if flat:

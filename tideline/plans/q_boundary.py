@@ -115,6 +115,32 @@ def epochs(s: SparkSession, d: str) -> DataFrame:
     return boundary.recalibrate(b, "boundary_changed")
 
 
+@core.query("bound07_fusion_head")
+def fusion_head(s: SparkSession, d: str) -> DataFrame:
+    """A linear head over score, strangeness and the sum of channels, positives weighed by how rare they are; fitted by the cluster to three
+    quarters of the streams (by hash) and judged by average precision on the others, so no stream is on both sides (row L7)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from tideline.functions.scores import channel_sum
+    from tideline.session import cut_lineage
+    from tideline.sources.tables import frames
+
+    f = frames(s, d, "score", "ood", "channels", "t_s", "nu_s")
+    nu = f.groupBy("stream_id").agg(F.first("nu_s", ignorenulls=True).alias("nu"))
+    x = f.filter("score is not null").join(nu, "stream_id").withColumn("y", F.coalesce(F.col("t_s") >= F.col("nu"), F.lit(False)).cast("double"))
+    feats = F.array("score", F.coalesce("ood", F.lit(0.0)), F.coalesce(channel_sum(F.col("channels")), F.lit(0.0)))
+    x = cut_lineage(x.select("stream_id", "tick", "y", feats.alias("f"), (u01(7, F.col("stream_id")) < 0.25).alias("held")))
+    n = x.filter("not held").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("p")).collect()[0]
+    w = max(n.n - n.p, 1.0) / max(n.p, 1.0)
+    train = x.filter("not held").withColumn("w", F.when(F.col("y") == 1, w).otherwise(1.0)).withColumn("x", array_to_vector("f"))
+    m = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1e-3, maxIter=50, standardization=False).fit(train)
+    sc = m.transform(x.filter("held").withColumn("x", array_to_vector("f"))).select("stream_id", "tick", vector_to_array("rawPrediction")[1].alias("logit"), (F.col("y") == 1).alias("y"))
+    ap = ranking.average_precision(sc, [], "logit", F.col("y"), ["stream_id", "tick"], 0.05).select(R6("average_precision").alias("average_precision"))
+    base = sc.agg(F.count("*").alias("n_held"), R6(F.avg(F.col("y").cast("double"))).alias("share"))
+    return base.crossJoin(F.broadcast(ap)).withColumn("n_train", F.lit(int(n.n)).cast("bigint"))  # one row each
+
+
 @core.query("bound08_grouped_split", f"WITH g AS (SELECT DISTINCT channel_id FROM documents WHERE channel_id IS NOT NULL), r AS (SELECT channel_id, row_number() OVER (ORDER BY {u01_sql(8, 'channel_id')}, channel_id) AS r, count(*) OVER () AS n FROM g) SELECT channel_id FROM r WHERE r <= greatest(1, round(n * 0.2))")
 def grouped_split(s: SparkSession, d: str) -> DataFrame:
     """A fifth of the groups, by hash, as the validation side."""

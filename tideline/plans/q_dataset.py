@@ -13,6 +13,7 @@ from tideline.plans.registry import core
 from tideline.plans.sqlparts import CLIPS, EMB, FRAMES, STEPS, with_
 from tideline.rng import u01, u01_sql
 from tideline.session import cut_lineage, table
+from tideline.sources.sft import target
 from tideline.sources.tables import clips, frames
 
 R6 = lambda c: F.round(c, 6)
@@ -54,11 +55,11 @@ def timeline(s: SparkSession, d: str) -> DataFrame:
 
 _WIN = CLIPS + f""", wc AS (SELECT id, media.duration_s AS dur, label.events AS ev FROM cl WHERE media.duration_s IS NOT NULL AND granularity = 'temporal'),
  we AS (SELECT id, dur, unnest(ev) AS e FROM wc),
- wf AS (SELECT id, 'pos_full' AS kind, greatest(0.0, least(dur, e.t_end_s + 0.5) - 8) AS a, least(dur, e.t_end_s + 0.5) AS b FROM we UNION ALL SELECT id, 'pos_partial', greatest(0.0, e.t_start_s + (e.t_end_s - e.t_start_s) * 0.4 - 8), e.t_start_s + (e.t_end_s - e.t_start_s) * 0.4 FROM we),
+ wf AS (SELECT id, 'pos_full' AS kind, greatest(0.0, least(dur, e.t_end_s + 0.5) - 8) AS a, least(dur, e.t_end_s + 0.5) AS b, e.category AS cat FROM we UNION ALL SELECT id, 'pos_partial', greatest(0.0, e.t_start_s + (e.t_end_s - e.t_start_s) * 0.4 - 8), e.t_start_s + (e.t_end_s - e.t_start_s) * 0.4, e.category FROM we),
  gn AS (SELECT id, ev, unnest(range(1, CAST(floor(dur / 8) AS BIGINT) + 1)) AS k FROM wc WHERE dur >= 8),
  g0 AS (SELECT id, ev, k, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM gn WHERE len(list_filter(ev, lambda e: e.t_start_s - 8 < k * 8.0 AND k * 8.0 < e.t_end_s + 8)) = 0),
  gf AS (SELECT id, ev, k FROM g0 WHERE n <= 4 OR i IN (CAST(floor((0 + {u01_sql('neg', 'id', '0')}) * n / 4) AS BIGINT), CAST(floor((1 + {u01_sql('neg', 'id', '1')}) * n / 4) AS BIGINT), CAST(floor((2 + {u01_sql('neg', 'id', '2')}) * n / 4) AS BIGINT), CAST(floor((3 + {u01_sql('neg', 'id', '3')}) * n / 4) AS BIGINT))),
- ws AS (SELECT id, kind, a, b FROM wf WHERE b > a UNION ALL SELECT id, CASE WHEN len(ev) = 0 THEN 'neg_cross' ELSE 'neg_same' END, k * 8.0 - 8, k * 8.0 FROM gf)"""
+ ws AS (SELECT id, kind, a, b, cat FROM wf WHERE b > a UNION ALL SELECT id, CASE WHEN len(ev) = 0 THEN 'neg_cross' ELSE 'neg_same' END, k * 8.0 - 8, k * 8.0, NULL FROM gf)"""
 
 
 def windows(s: SparkSession, d: str) -> DataFrame:
@@ -66,14 +67,14 @@ def windows(s: SparkSession, d: str) -> DataFrame:
     c = clips(s, d, "media.duration_s", "label.events", "granularity").filter("media_duration_s is not null and granularity = 'temporal'").withColumnsRenamed({"media_duration_s": "dur", "label_events": "ev"})
     e = c.select("id", "dur", F.explode("ev").alias("e"))
     end, cut = F.least("dur", F.col("e.t_end_s") + 0.5), F.col("e.t_start_s") + (F.col("e.t_end_s") - F.col("e.t_start_s")) * 0.4
-    pair = lambda kind, b: F.struct(F.lit(kind).alias("kind"), F.greatest(F.lit(0.0), b - 8).alias("a"), b.alias("b"))
+    pair = lambda kind, b: F.struct(F.lit(kind).alias("kind"), F.greatest(F.lit(0.0), b - 8).alias("a"), b.alias("b"), F.col("e.category").alias("category"))
     pos = e.select("id", F.explode(F.array(pair("pos_full", end), pair("pos_partial", cut))).alias("w")).select("id", "w.*").filter("b > a")
     # The grid stays in the clip's row: of the free places one is drawn in each quarter, before anything is exploded.
     free = F.filter(F.sequence(F.lit(1).cast("bigint"), F.floor(F.col("dur") / 8).cast("bigint")), lambda k: ~F.exists("ev", lambda x: (x["t_start_s"] - 8 < k * 8.0) & (k * 8.0 < x["t_end_s"] + 8)))
     neg = c.filter("dur >= 8").select("id", F.size("ev").alias("ne"), free.alias("free")).withColumn("n", F.size("free")).filter("n > 0")
     drawn = F.array_distinct(F.array(*[F.get("free", F.floor((j + u01("neg", F.col("id"), F.lit(j))) * F.col("n") / 4).cast("int")) for j in range(4)]))
     neg = neg.select("id", "ne", F.explode(F.when(F.col("n") <= 4, F.col("free")).otherwise(drawn)).alias("k"))
-    neg = neg.select("id", F.when(F.col("ne") == 0, "neg_cross").otherwise("neg_same").alias("kind"), (F.col("k") * 8.0 - 8).alias("a"), (F.col("k") * 8.0).alias("b"))
+    neg = neg.select("id", F.when(F.col("ne") == 0, "neg_cross").otherwise("neg_same").alias("kind"), (F.col("k") * 8.0 - 8).alias("a"), (F.col("k") * 8.0).alias("b"), F.lit(None).cast("string").alias("category"))
     return pos.unionByName(neg)
 
 
@@ -92,6 +93,12 @@ def sft_kind_counts(s: SparkSession, d: str) -> DataFrame:
     return windows(s, d).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@core.query("scan09_sft_rows", with_(_WIN) + """ SELECT id, round(a, 6) AS t_start_s, round(b, 6) AS t_end_s, kind, CASE kind WHEN 'pos_full' THEN '{"action":"flag","category":"' || cat || '","policy_citation":"SW-' || cat || '"}' WHEN 'pos_partial' THEN '{"action":"hold"}' ELSE '{"action":"clear"}' END AS target FROM ws""")
+def sft_rows(s: SparkSession, d: str) -> DataFrame:
+    """What each written row asks and how it is answered."""
+    return windows(s, d).select("id", R6("a").alias("t_start_s"), R6("b").alias("t_end_s"), "kind", target(F.col("kind"), F.col("category")).alias("target"))
+
+
 @core.query(
     "data04_mix_resample",
     with_(_WIN) + f""", tm AS (SELECT * FROM (VALUES ('pos_full', 0.25::DOUBLE), ('pos_partial', 0.25), ('neg_same', 0.35), ('neg_cross', 0.15)) t(kind, share)), nk AS (SELECT kind, count(*) AS n FROM ws GROUP BY kind), tt AS (SELECT CAST(floor(min(n / share)) AS BIGINT) AS total FROM tm JOIN nk USING (kind)),
