@@ -50,7 +50,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _settle(e: DataFrame, rounds: int) -> DataFrame:
     table = Rounds()
-    # Observed while the edges of a step are written: when both stay, the steps have settled.
+    # Taken from the edges of each step: when both stay, the steps have settled.
     state = {"n": F.count("*"), "h": F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))}
     e, before = table.put(e, **state)
     for _ in range(rounds):
