@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def get_spark(app: str = "tideline", master: str | None = None, **conf: str) -> SparkSession:
@@ -91,19 +91,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 class Rounds:
-    """The one current table of an iteration: each :meth:`put` writes the next and removes the last. Numbers about a table are
-    observed while it is written, so no job reads it again for them."""
+    """The one current table of an iteration: each :meth:`put` writes the next and removes the last. Numbers about a table are taken
+    from what was written. (Observing them while writing would leave a manager in the session that closures of fitted models
+    cannot carry to their tasks.)"""
 
     def __init__(self) -> None:
         self.path: str | None = None
 
     def put(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
-        seen = Observation()
-        out, path = _write(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]) if metrics else df)
+        out, path = _write(df)
         if self.path:
             _remove(self.path)
         self.path = path
-        return out, seen.get if metrics else {}
+        return out, out.agg(*[c.alias(k) for k, c in metrics.items()]).collect()[0].asDict() if metrics else {}
 
 
 @contextmanager
