@@ -3,12 +3,14 @@
 import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import policies, simulate
 from tideline.operators.costs import CostModel
 from tideline.operators.steps import Aci
+from tideline.rng import u01_many
 
 
 def u(seed, *key):
@@ -103,3 +105,30 @@ def test_drafts(spark):
 
 def test_warm_start_is_clipped():
     assert Aci(start=0.2).initial[0] == 0.2 and Aci(start=0.9).initial[0] == 0.5 and Aci(start=0.0).initial[0] == 0.001
+
+
+def test_numbers_many_at_a_time():
+    for key in ("sg2-0000003964", "é", "x" * 60, None):
+        for numbers in (range(12), range(99_990, 100_020), range(0)):
+            got = u01_many(["skip", 3], key, np.array(numbers, dtype=int))
+            assert [g.tolist() for g in got] == [[u(s, *([] if key is None else [key]), i) for i in numbers] for s in ("skip", "3")]
+
+
+def test_walks_beside_the_replay_in_small_blocks(spark, monkeypatch):
+    moves = lambda x: x.frame_idx * 7 % 4
+    df = spark.createDataFrame([*STREAMS, (None, 50.0, None, 20.0), ("f", None, None, 1.0)], "stream_id string, duration double, nu double, alarm double")
+    plan = simulate.simulate(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and not any(x in plan for x in ("Window", "Sort", "Join", "Aggregate")), plan  # samples stay where they are made
+    cols = ["frame_idx", *(f"{p}.{c}" for p in ("a", "b") for c in ("action", "event_open", "event_tokens", "n_since_open"))]
+    rows = simulate.simulate(df, columns=cols, policies={"a": moves, "b": simulate.targets}).collect()
+    loops = [loop(*s) for s in STREAMS]
+    name = lambda x: simulate.ACTIONS[x[1] * 7 % 4]
+    for at, act in ((2, name), (6, lambda x: x[7])):
+        assert {(r[0], r[1], *r[at : at + 4]) for r in rows if r[0]} == {x for one in loops for x in walk(one, act)}
+    assert sum(r[0] is None for r in rows) > 50 and not any(r[0] == "f" for r in rows)
+    with pytest.raises(ValueError, match="no end"):
+        list(simulate._replay("a", math.inf, 0.0, 0.0, {}, simulate.Replay()))
+    whole = [np.concatenate(v) for v in zip(*[(x.frame_idx, x.t, x.evicted, x.gap, x.walks["w"]["n_since_open"]) for x in simulate._replay("d", 4000.0, 100.0, 300.0, {"w": moves}, simulate.Replay())])]
+    monkeypatch.setattr(simulate, "BLOCK", 7)
+    parts = [np.concatenate(v) for v in zip(*[(x.frame_idx, x.t, x.evicted, x.gap, x.walks["w"]["n_since_open"]) for x in simulate._replay("d", 4000.0, 100.0, 300.0, {"w": moves}, simulate.Replay())])]
+    assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(whole, parts)) and len(whole[0]) > 10_000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from tideline.plans.q_join import _GAPS, uncovered
 from tideline.plans.q_scalar import _ROUTE, routed
 from tideline.plans.registry import core
 from tideline.plans.sqlparts import FRAMES, STEPS, with_
-from tideline.rng import u01, u01_sql
+from tideline.rng import u01, u01_many, u01_sql
 from tideline.session import cut_lineage, table
 from tideline.sources.tables import frames
 
@@ -42,10 +43,15 @@ def _states(name: str, action: str) -> str:
 _ERR = f"CASE WHEN {u01_sql('act', 'stream_id', 'x')} < 0.8 THEN label WHEN label = 'clear' THEN 'flag' WHEN label = 'flag' THEN 'hold' ELSE 'clear' END"
 
 
-def _simulated(s: SparkSession, d: str) -> DataFrame:
+def _streams(s: SparkSession, d: str) -> DataFrame:
+    """A repeated delivery changes neither the largest time nor the smallest, so rows need not meet by tick."""
     o = table(s, d, "stream_outcomes").groupBy("stream_id").agg(F.min("tau_s").alias("alarm"))
-    f = frames(s, d, "t_s", "nu_s").groupBy("stream_id").agg(F.max("t_s").alias("duration"), F.min("nu_s").alias("nu"))
-    return simulate.simulate(f.join(o, "stream_id", "left"))
+    f = table(s, d, "frames").groupBy("stream_id").agg(F.max("t_s").alias("duration"), F.min("nu_s").alias("nu"))
+    return f.join(o, "stream_id", "left")
+
+
+def _simulated(s: SparkSession, d: str) -> DataFrame:
+    return simulate.simulate(_streams(s, d))
 
 
 def _rollout(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -55,6 +61,18 @@ def _rollout(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return simulate.states(t, act), simulate.states(t, F.col("label"))
 
 
+def _erring(x: simulate.Ticks) -> np.ndarray:
+    """As _ERR: right four times in five, else the next action in turn (clear, flag, hold)."""
+    (u,) = u01_many(["act"], x.stream_id, x.frame_idx)
+    return np.where(u < 0.8, x.target, (x.target + 2) % 3)
+
+
+def _walks(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The policy's own walk (ro) and the one forced to the targets (tf), side by side, where ``columns`` ask for them."""
+    all_ = {"ro": _erring, "tf": simulate.targets}
+    return simulate.simulate(_streams(s, d), columns=columns, policies={k: p for k, p in all_.items() if any(c.startswith(k + ".") for c in columns)})
+
+
 @core.query("data05_stream_simulator", with_(_SIM) + " SELECT stream_id, x AS frame_idx, round(t, 4) AS t_s, alarmed, escalated, evicted, window_frames, in_event, label FROM sm")
 def stream_simulator(s: SparkSession, d: str) -> DataFrame:
     """Each stream replayed: jittered samples, dense after the alarm, buffered for 16 seconds, with the target action."""
@@ -100,11 +118,11 @@ def teacher_forced(s: SparkSession, d: str) -> DataFrame:
 )
 def state_shift(s: SparkSession, d: str) -> DataFrame:
     """How far the states of a policy's own walk are from those it is trained on."""
-    ro, tf = _rollout(s, d)
-    mean = lambda x, p: x.groupBy("stream_id").agg(F.avg(F.col("event_open").cast("int")).alias(p + "o"), F.avg("event_tokens").alias(p + "k"), F.avg("n_since_open").alias(p + "s"))
-    rel = lambda c: F.abs(F.col("t" + c) - F.col("r" + c)) / F.greatest(F.abs("t" + c), F.abs("r" + c), F.lit(1e-9))
-    j = mean(ro, "r").join(mean(tf, "t"), "stream_id").join(teacher_forced(s, d), "stream_id")
-    return j.select("stream_id", R6(0.5 * (rel("o") + rel("k") + rel("s")) / 3).alias("shift"), R6(F.col("n_mismatch") / F.col("n")).alias("mismatch"))
+    w = _walks(s, d, *[f"{k}.{c}" for k in ("ro", "tf") for c in ("event_open", "event_tokens", "n_since_open")]).filter("stream_id is not null")
+    means = [F.avg(F.col(f"{k}_{c}").cast("bigint")).alias(k + a) for k in ("ro", "tf") for c, a in (("event_open", "o"), ("event_tokens", "k"), ("n_since_open", "s"))]
+    rel = lambda c: F.abs(F.col("tf" + c) - F.col("ro" + c)) / F.greatest(F.abs("tf" + c), F.abs("ro" + c), F.lit(1e-9))
+    j = w.groupBy("stream_id").agg(*means, F.avg((F.col("ro_event_open") != F.col("tf_event_open")).cast("int")).alias("m"))
+    return j.select("stream_id", R6(0.5 * (rel("o") + rel("k") + rel("s")) / 3).alias("shift"), R6("m").alias("mismatch"))
 
 
 # -- policies
