@@ -114,6 +114,12 @@ def test_numbers_many_at_a_time():
             assert [g.tolist() for g in got] == [[u(s, *([] if key is None else [key]), i) for i in numbers] for s in ("skip", "3")]
 
 
+def test_streams_are_dealt_to_all_tasks(spark):
+    """Also where an exchange by stream came before, whose few bytes would be one task."""
+    df = spark.range(2000).select(F.concat(F.lit("s"), F.col("id") % 500).alias("stream_id")).groupBy("stream_id").agg(F.lit(9.0).alias("duration"), F.lit(None).cast("double").alias("nu"), F.lit(None).cast("double").alias("alarm"))
+    assert simulate.simulate(df, columns=["t"]).select(F.spark_partition_id()).distinct().count() >= 12
+
+
 def test_walks_beside_the_replay_in_small_blocks(spark, monkeypatch):
     moves = lambda x: x.frame_idx * 7 % 4
     df = spark.createDataFrame([*STREAMS, (None, 50.0, None, 20.0), ("f", None, None, 1.0)], "stream_id string, duration double, nu double, alarm double")

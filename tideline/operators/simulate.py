@@ -187,9 +187,10 @@ def simulate(streams: DataFrame, r: Replay = Replay(), columns: Sequence[str] =
             yield _batch(blocks, names)
 
     spark = streams.sparkSession
-    # A few bytes a stream are what is shuffled; the number is given, for by their size they would all go to one task.
+    # A few bytes a stream are what is shuffled. Number and hash are given: by their size they would all go to one task, and an exchange by the
+    # stream itself is left out if there was one before.
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = streams.select("stream_id", *[F.col(c).cast("double") for c in ("duration", "nu", "alarm")]).repartition(tasks, "stream_id")
+    dealt = streams.select("stream_id", *[F.col(c).cast("double") for c in ("duration", "nu", "alarm")]).repartition(tasks, F.xxhash64("stream_id"))
     return dealt.mapInArrow(run, ", ".join(f"{n.replace('.', '_')} {kinds[n]}" for n in names))
 
 
