@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.operators import policies, simulate
 from tideline.operators.costs import CostModel
 from tideline.operators.steps import Aci
+from tideline.plans import catalog
 from tideline.rng import u01_many
 
 
@@ -138,3 +139,18 @@ def test_walks_beside_the_replay_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(simulate, "BLOCK", 7)
     parts = [np.concatenate(v) for v in zip(*[(x.frame_idx, x.t, x.evicted, x.gap, x.walks["w"]["n_since_open"]) for x in simulate._replay("d", 4000.0, 100.0, 300.0, {"w": moves}, simulate.Replay())])]
     assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(whole, parts)) and len(whole[0]) > 10_000
+
+
+NARROW = [
+    "agg28_state_shift",
+    "data07_rollout_relabel",
+    # names
+]
+
+
+@pytest.mark.parametrize("name", NARROW)
+def test_samples_are_not_moved_on_the_way(spark, data, name):
+    """What is shuffled are frames and outcomes by stream, streams, and counts made where the samples are."""
+    plan = catalog.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Generate", "Sort")), plan
+    assert sum("Join" in x for x in plan.splitlines()) == 1 and "MapInArrow" in plan

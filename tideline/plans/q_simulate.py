@@ -88,7 +88,8 @@ def rollout(s: SparkSession, d: str) -> DataFrame:
 @core.query("data07_rollout_relabel", with_(_SIM, _states("ro", _ERR)) + " SELECT action, event_open, label AS target, count(*) AS n FROM ro WHERE escalated GROUP BY ALL")
 def rollout_relabel(s: SparkSession, d: str) -> DataFrame:
     """States the policy visited with what should have been done there, counted."""
-    return _rollout(s, d)[0].filter("escalated").groupBy("action", "event_open", F.col("label").alias("target")).agg(F.count("*").alias("n"))
+    w = _walks(s, d, "escalated", "label", "ro.action", "ro.event_open").filter("escalated")
+    return w.groupBy(F.col("ro_action").alias("action"), F.col("ro_event_open").alias("event_open"), F.col("label").alias("target")).agg(F.count("*").alias("n"))
 
 
 @core.query("data08_simulate_many", with_(_SIM) + ", gp AS (SELECT *, t - lag(t) OVER (PARTITION BY stream_id ORDER BY x) AS gap FROM sm) SELECT label, count(*) AS n_ticks, count(*) FILTER (escalated) AS n_escalated, CAST(sum(evicted) AS BIGINT) AS evictions, max(window_frames) AS window_max, round(avg(gap), 5) AS gap_mean FROM gp GROUP BY label")
