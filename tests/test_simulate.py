@@ -144,6 +144,7 @@ def test_walks_beside_the_replay_in_small_blocks(spark, monkeypatch):
 NARROW = [
     "agg28_state_shift",
     "data07_rollout_relabel",
+    "join09_teacher_forced",
     # names
 ]
 

@@ -107,9 +107,8 @@ _SHIFT = "SELECT stream_id, avg(CAST(event_open AS INT)) AS o, avg(event_tokens)
 @core.query("join09_teacher_forced", with_(_SIM, _states("ro", _ERR), _states("tf", "label")) + " SELECT ro.stream_id, count(*) AS n, count(*) FILTER (ro.event_open <> tf.event_open) AS n_mismatch FROM ro JOIN tf USING (stream_id, x) GROUP BY ro.stream_id")
 def teacher_forced(s: SparkSession, d: str) -> DataFrame:
     """The two walks side by side, tick by tick."""
-    ro, tf = _rollout(s, d)
-    j = ro.select("stream_id", "frame_idx", "event_open").join(tf.select("stream_id", "frame_idx", F.col("event_open").alias("forced")), ["stream_id", "frame_idx"])
-    return j.groupBy("stream_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_open") != F.col("forced")).alias("n_mismatch"))
+    w = _walks(s, d, "ro.event_open", "tf.event_open").filter("stream_id is not null")
+    return w.groupBy("stream_id").agg(F.count("*").alias("n"), F.count_if(F.col("ro_event_open") != F.col("tf_event_open")).alias("n_mismatch"))
 
 
 @core.query(
