@@ -50,13 +50,9 @@ def _streams(s: SparkSession, d: str) -> DataFrame:
     return f.join(o, "stream_id", "left")
 
 
-def _simulated(s: SparkSession, d: str) -> DataFrame:
-    return simulate.simulate(_streams(s, d))
-
-
 def _rollout(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The policy's own walk and the one forced to the targets."""
-    t = cut_lineage(_simulated(s, d))
+    t = cut_lineage(simulate.simulate(_streams(s, d)))
     act = F.when(u01("act", F.col("stream_id"), F.col("frame_idx")) < 0.8, F.col("label")).when(F.col("label") == "clear", "flag").when(F.col("label") == "flag", "hold").otherwise("clear")
     return simulate.states(t, act), simulate.states(t, F.col("label"))
 
@@ -76,7 +72,7 @@ def _walks(s: SparkSession, d: str, *columns: str) -> DataFrame:
 @core.query("data05_stream_simulator", with_(_SIM) + " SELECT stream_id, x AS frame_idx, round(t, 4) AS t_s, alarmed, escalated, evicted, window_frames, in_event, label FROM sm")
 def stream_simulator(s: SparkSession, d: str) -> DataFrame:
     """Each stream replayed: jittered samples, dense after the alarm, buffered for 16 seconds, with the target action."""
-    return _simulated(s, d).select("stream_id", "frame_idx", F.round("t", 4).alias("t_s"), "alarmed", "escalated", "evicted", "window_frames", "in_event", "label")
+    return simulate.simulate(_streams(s, d)).select("stream_id", "frame_idx", F.round("t", 4).alias("t_s"), "alarmed", "escalated", "evicted", "window_frames", "in_event", "label")
 
 
 @core.query("data06_rollout", with_(_SIM, _states("ro", _ERR)) + " SELECT stream_id, x AS frame_idx, action, event_open, CAST(event_tokens AS BIGINT) AS event_tokens, CAST(n_since_open AS BIGINT) AS n_since_open FROM ro")
@@ -97,7 +93,7 @@ def simulate_many(s: SparkSession, d: str) -> DataFrame:
     """All streams replayed and counted by target: positives come from many streams, not from repeats of one (rows D8 and A27)."""
     from tideline.operators.ordered import previous
 
-    g = previous(_simulated(s, d), ["stream_id"], "frame_idx", F.col("t"), "p")
+    g = previous(simulate.simulate(_streams(s, d)), ["stream_id"], "frame_idx", F.col("t"), "p")
     return g.groupBy("label").agg(F.count("*").alias("n_ticks"), F.count_if("escalated").alias("n_escalated"), F.sum("evicted").alias("evictions"), F.max("window_frames").alias("window_max"), F.round(F.avg(F.col("t") - F.col("p")), 5).alias("gap_mean"))
 
 
