@@ -146,6 +146,7 @@ NARROW = [
     "data07_rollout_relabel",
     "join09_teacher_forced",
     "data05_stream_simulator",
+    "data08_simulate_many",
     # names
 ]
 

@@ -91,10 +91,8 @@ def rollout_relabel(s: SparkSession, d: str) -> DataFrame:
 @core.query("data08_simulate_many", with_(_SIM) + ", gp AS (SELECT *, t - lag(t) OVER (PARTITION BY stream_id ORDER BY x) AS gap FROM sm) SELECT label, count(*) AS n_ticks, count(*) FILTER (escalated) AS n_escalated, CAST(sum(evicted) AS BIGINT) AS evictions, max(window_frames) AS window_max, round(avg(gap), 5) AS gap_mean FROM gp GROUP BY label")
 def simulate_many(s: SparkSession, d: str) -> DataFrame:
     """All streams replayed and counted by target: positives come from many streams, not from repeats of one (rows D8 and A27)."""
-    from tideline.operators.ordered import previous
-
-    g = previous(simulate.simulate(_streams(s, d)), ["stream_id"], "frame_idx", F.col("t"), "p")
-    return g.groupBy("label").agg(F.count("*").alias("n_ticks"), F.count_if("escalated").alias("n_escalated"), F.sum("evicted").alias("evictions"), F.max("window_frames").alias("window_max"), F.round(F.avg(F.col("t") - F.col("p")), 5).alias("gap_mean"))
+    g = simulate.simulate(_streams(s, d), columns=("label", "escalated", "evicted", "window_frames", "gap"))
+    return g.groupBy("label").agg(F.count("*").alias("n_ticks"), F.count_if("escalated").alias("n_escalated"), F.sum("evicted").alias("evictions"), F.max("window_frames").alias("window_max"), F.round(F.avg("gap"), 5).alias("gap_mean"))
 
 
 _SHIFT = "SELECT stream_id, avg(CAST(event_open AS INT)) AS o, avg(event_tokens) AS k, avg(n_since_open) AS s FROM {} GROUP BY stream_id"
