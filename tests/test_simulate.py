@@ -147,7 +147,7 @@ NARROW = [
     "join09_teacher_forced",
     "data05_stream_simulator",
     "data08_simulate_many",
-    # names
+    "data06_rollout",
 ]
 
 

@@ -50,13 +50,6 @@ def _streams(s: SparkSession, d: str) -> DataFrame:
     return f.join(o, "stream_id", "left")
 
 
-def _rollout(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The policy's own walk and the one forced to the targets."""
-    t = cut_lineage(simulate.simulate(_streams(s, d)))
-    act = F.when(u01("act", F.col("stream_id"), F.col("frame_idx")) < 0.8, F.col("label")).when(F.col("label") == "clear", "flag").when(F.col("label") == "flag", "hold").otherwise("clear")
-    return simulate.states(t, act), simulate.states(t, F.col("label"))
-
-
 def _erring(x: simulate.Ticks) -> np.ndarray:
     """As _ERR: right four times in five, else the next action in turn (clear, flag, hold)."""
     (u,) = u01_many(["act"], x.stream_id, x.frame_idx)
@@ -78,7 +71,8 @@ def stream_simulator(s: SparkSession, d: str) -> DataFrame:
 @core.query("data06_rollout", with_(_SIM, _states("ro", _ERR)) + " SELECT stream_id, x AS frame_idx, action, event_open, CAST(event_tokens AS BIGINT) AS event_tokens, CAST(n_since_open AS BIGINT) AS n_since_open FROM ro")
 def rollout(s: SparkSession, d: str) -> DataFrame:
     """The state a policy walks into by its own actions."""
-    return _rollout(s, d)[0].select("stream_id", "frame_idx", "action", "event_open", "event_tokens", "n_since_open")
+    out = ("action", "event_open", "event_tokens", "n_since_open")
+    return _walks(s, d, "frame_idx", *[f"ro.{c}" for c in out]).select("stream_id", "frame_idx", *[F.col(f"ro_{c}").alias(c) for c in out])
 
 
 @core.query("data07_rollout_relabel", with_(_SIM, _states("ro", _ERR)) + " SELECT action, event_open, label AS target, count(*) AS n FROM ro WHERE escalated GROUP BY ALL")
