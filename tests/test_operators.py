@@ -297,3 +297,29 @@ def test_references_in_blocks(spark):
         for r in against(df, refs, "k", "v", "y", block).collect():
             assert math.isclose(r.cache, (np.exp(-5 * (1 - cos[r.k])) * y).mean(), abs_tol=1e-9) and math.isclose(r.ood, min(1, max(0, 1 - cos[r.k].max())), abs_tol=1e-9)
     assert against(df, refs.limit(0), "k", "v", "y").filter("ood = 0 and cache is null").count() == 60
+
+
+def test_coverage_of_known_vectors_and_agreement_with_each_policy(spark, monkeypatch):
+    """Centres of rows that name their vector are those of rows that carry it, in groups walked at once and in groups by rounds; what is
+    kept at all budgets together is what each policy keeps by itself."""
+    import numpy as np
+
+    from tideline.operators import evict
+
+    v = spark.createDataFrame([(i, [float(x) for x in np.random.default_rng(i).normal(size=6)]) for i in range(11)], "vec_id bigint, v array<double>")
+    ids = spark.range(900).select(F.when(F.col("id") < 300, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 70)).alias("key"), F.col("id").alias("tick"), (F.col("id") * 7 % 11).alias("vec_id"), (F.col("id") * 37 % 101 / 50).alias("score"), (F.col("id") % 7 == 0).alias("keyframe"), (F.col("id") / 3).alias("t_s"))
+    ids = ids.unionByName(ids.limit(3).withColumn("key", F.lit("short")))
+    known, rows = evict.Known.of(v, "vec_id", "v"), ids.join(v, "vec_id").localCheckpoint()
+    want = {tuple(r) for r in evict.coverage(rows, "key", "tick", "v", 5).collect()}
+    for group in (1 << 22, 100):
+        monkeypatch.setattr(evict, "GROUP", group)
+        assert {tuple(r) for r in evict.coverage_of_known(ids, ["key"], "tick", "vec_id", known, 5).collect()} == want
+    cols = evict.Columns(vector="vec_id", known=known)
+    got = {tuple(r) for r in evict.kept(ids, ["key"], "tick", [2, 5], list(evict.POLICIES), cols).select("policy", "keep", "key", "tick").collect()}
+    for name, policy in evict.POLICIES.items():
+        for k in (2, 5):
+            one = policy(rows, ["key"], "tick", k).select("key", "tick").collect()
+            assert {(name, k, *r) for r in one} == {x for x in got if x[:2] == (name, k)}, (name, k)
+    assert evict.Known.of(v.union(v), "vec_id", "v") is None
+    plan = evict.kept(ids, ["key"], "tick", [2, 5], ["coverage"], cols)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array<double>" not in plan and "Join" not in plan

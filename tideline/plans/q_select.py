@@ -63,11 +63,12 @@ def _hybrid(k: int) -> str:
     return f"(SELECT stream_id, tick, 'coverage' AS why FROM {c} UNION ALL SELECT stream_id, tick, 'salience' FROM (SELECT t.stream_id, t.tick, row_number() OVER (PARTITION BY t.stream_id ORDER BY t.tick) AS q, h.have FROM {_top(k)} t JOIN (SELECT stream_id, count(*) AS have FROM {c} GROUP BY stream_id) h USING (stream_id) WHERE NOT EXISTS (SELECT 1 FROM {c} x WHERE x.stream_id = t.stream_id AND x.tick = t.tick)) WHERE q <= {k} - have)"
 
 
-def _stream_rows(s: SparkSession, d: str) -> DataFrame:
+def _stream_rows(s: SparkSession, d: str, vector: bool = True) -> DataFrame:
+    """Frames with their vector, or with its number only (of vectors few enough to be sent along)."""
     e = table(s, d, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("v"))
     n = e.count()
     f = frames(s, d, "t_s", "score").withColumn("vec_id", F.col("tick") % n).withColumn("keyframe", F.col("tick") % 7 == 0)
-    return f.join(e, "vec_id").drop("vec_id")
+    return f.join(e, "vec_id").drop("vec_id") if vector else f.join(F.broadcast(e.select("vec_id")), "vec_id")
 
 
 @core.query("select04_salience", with_(_SEEN) + f" SELECT stream_id, tick, round(salience, 6) AS salience FROM {_top(8)}")
@@ -101,7 +102,11 @@ def _agree(k: int) -> str:
 def agreement_at_budget(s: SparkSession, d: str) -> DataFrame:
     """All five policies at two budgets: for how many streams "any score of 1.5 or more" is still answered alike (rows E8 and E9)."""
     judge = F.bool_or(F.coalesce("score", F.lit(0.0)) >= 1.5)
-    return evict.agreement(cut_lineage(_stream_rows(s, d)), ["stream_id"], "tick", judge, [4, 8])
+    e = table(s, d, "embeddings").select("vec_id", vectors.doubles(F.col("embedding")).alias("v"))
+    known = evict.Known.of(e, "vec_id", "v")
+    if known is None:
+        return evict.agreement(cut_lineage(_stream_rows(s, d)), ["stream_id"], "tick", judge, [4, 8])
+    return evict.agreement(cut_lineage(_stream_rows(s, d, vector=False)), ["stream_id"], "tick", judge, [4, 8], cols=evict.Columns(vector="vec_id", known=known))
 
 
 _IMP = FRAMES + ", y AS (SELECT stream_id, tick, coalesce(score, 0) >= 1 AS hit FROM fr), im AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY stream_id) AS pos, count(*) OVER (PARTITION BY stream_id) AS n FROM y)"
