@@ -70,10 +70,15 @@ def expected_delay(s: SparkSession, d: str) -> DataFrame:
     f = frames(s, d, "score", "t_s", "nu_s")
     nu = f.groupBy("stream_id").agg(F.first("nu_s", ignorenulls=True).alias("nu")).filter("nu is not null")
     late = F.col("t_s") >= F.col("nu")
-    g = f.join(nu, "stream_id").groupBy("stream_id").agg(F.avg(F.when(~late, F.col("score"))).alias("m0"), F.avg(F.when(late, F.col("score"))).alias("m1"), F.stddev_pop(F.when(~late, F.col("score"))).alias("sd"))
+    # Scores have few digits, so means often lie right between two values of four: they are rounded from exact sums, which no order of rows
+    # changes. Where a score doesn't fit such a sum, from the mean as it is.
+    digits = F.col("score").try_cast("decimal(30,12)")
+    exact = lambda x: F.when(F.count(F.when(x, digits)) == F.count(F.when(x, F.col("score"))), F.sum(F.when(x, digits)) / F.count(F.when(x, digits)))
+    means = [F.avg(F.when(~late, F.col("score"))).alias("m0"), F.avg(F.when(late, F.col("score"))).alias("m1"), exact(~late).alias("e0"), exact(late).alias("e1")]
+    g = f.join(nu, "stream_id").groupBy("stream_id").agg(*means, F.stddev_pop(F.when(~late, F.col("score"))).alias("sd"))
     kl = (F.col("m1") - F.col("m0")) * (F.col("m1") - F.col("m0")) / (2 * F.col("sd") * F.col("sd"))
     g = g.filter("m0 is not null and m1 is not null and sd > 0")
-    return g.select("stream_id", F.round("m0", 4).alias("mu0"), F.round("m1", 4).alias("mu1"), F.round(F.when(kl > 0, 5.0 / kl).otherwise(float("inf")), 4).alias("expected_delay"))
+    return g.select("stream_id", *[F.coalesce(F.round("e" + i, 4).cast("double"), F.round("m" + i, 4)).alias("mu" + i) for i in "01"], F.round(F.when(kl > 0, 5.0 / kl).otherwise(float("inf")), 4).alias("expected_delay"))
 
 
 @core.query(
